@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .remember import Remembered
 from .storage import write_table
 
-#: Entries that a worker remembers before it starts afresh; bounds its memory.
+#: Entries of a generation of what a worker remembers; bounds its memory.
 REMEMBERED = 300_000
 _CUT = re.compile(r" (?=\S)")
 
@@ -46,7 +47,7 @@ class Ids:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(REMEMBERED)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,11 +56,8 @@ class Ids:
         if any(s in text for s in self.special):
             return self._encode([text])[0]
         first, *later = _CUT.split(text)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        if new := list(set(later).difference(self.known)):
-            self.known.update(zip(new, self._encode([" " + s for s in new]), strict=True))
-        return (self._encode([first])[0] if first else b"") + b"".join(map(self.known.__getitem__, later))
+        known = self.known.of(later, lambda new: self._encode([" " + s for s in new]))
+        return (self._encode([first])[0] if first else b"") + b"".join(map(known.__getitem__, later))
 
 
 @lru_cache(2)

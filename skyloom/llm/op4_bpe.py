@@ -22,10 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .remember import Remembered
 from .textarrays import blocks
 
-#: Entries that a worker remembers before it starts afresh; bounds its memory.
-REMEMBERED = 200_000
+#: Entries of a generation of what a worker remembers; bounds its memory.
+REMEMBERED = 300_000
 #: Longer pre-tokens are merged with a heap, in n log n, instead of one matrix round for each merge.
 LONGEST_ROW = 512
 #: Characters of text that are encoded together.
@@ -85,8 +86,7 @@ class Bpe:
             self.sizes[rank] = len(token)
         self.places = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
         self.letters = np.frombuffer(b"".join(t for t, _ in tokens), np.uint8)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.first, self.later = Remembered(REMEMBERED // 10), Remembered(REMEMBERED)
 
     def _rows(self, pieces: list[bytes], out: dict[bytes, np.ndarray]) -> None:
         """Merges pre-tokens of similar length in one padded matrix."""
@@ -158,21 +158,17 @@ class Bpe:
             self._rows(same, out)
         return out
 
-    def _learn(self, known: dict[str, bytes], stretches: set[str], lead: str) -> None:
-        split = {s: [p.encode() for p in self.split(lead + s)] for s in stretches}
-        ids = {p: i.tobytes() for p, i in self.merge({p for ps in split.values() for p in ps}).items()}
-        known.update((s, b"".join(map(ids.__getitem__, ps))) for s, ps in split.items())
+    def _stretches(self, stretches: list[str], lead: str) -> list[bytes]:
+        split = [[p.encode() for p in self.split(lead + s)] for s in stretches]
+        ids = {p: i.tobytes() for p, i in self.merge({p for ps in split for p in ps}).items()}
+        return [b"".join(map(ids.__getitem__, ps)) for ps in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian int32; a pre-token never spans a blank that comes before a non-blank."""
         cut = [_CUT.split(t) for t in texts]
-        firsts, laters = {c[0] for c in cut}, {s for c in cut for s in c[1:]}
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first, self.later = {}, {}
-        self._learn(self.first, firsts.difference(self.first), "")
-        self._learn(self.later, laters.difference(self.later), " ")
-        later = self.later.__getitem__
-        return [self.first[c[0]] + b"".join(map(later, c[1:])) for c in cut]
+        first = self.first.of((c[0] for c in cut), lambda new: self._stretches(new, ""))
+        later = self.later.of((s for c in cut for s in c[1:]), lambda new: self._stretches(new, " "))
+        return [first[c[0]] + b"".join(map(later.__getitem__, c[1:])) for c in cut]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for."""

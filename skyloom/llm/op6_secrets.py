@@ -43,7 +43,7 @@ _EDGE = _PUNCT + 4
 KINDS, FILES = _EDGE + 1, 16
 #: Positions whose kinds a token sees, as distances from it.
 SEEN = (0, -1, -2, -3, 1)
-_STEEPEST = 2.0
+_STEEPEST = 1.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -246,7 +246,7 @@ def _examples(texts: list[str]) -> tuple[list[str], list[list[tuple[int, int]]]]
     return out, spans
 
 
-def fit(texts: list[str], rounds: int = 120, rate: float = 0.25, decay: float = 2e-4) -> Field:
+def fit(texts: list[str], rounds: int = 100, rate: float = 1.0, decay: float = 1e-6) -> Field:
     """Trains the field by gradient ascent on the likelihood of windows around labelled and random tokens."""
     texts, spans = _examples(texts)
     tokens = Tokens(texts)

@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Entries that a worker remembers before it starts afresh; bounds its memory.
+from .remember import Remembered
+
+#: Entries of a generation of what a worker remembers; bounds its memory.
 REMEMBERED = 300_000
 #: Fixed value: how the vocabulary file splits normalised text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -59,7 +61,7 @@ class Counter:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
         self.split = regex.compile(PATTERN).findall
-        self.known: dict[str, int] = {"": 0}
+        self.known = Remembered(REMEMBERED)
 
     def merged(self, word: str) -> int:
         """Tokens of a pre-token that the shortcut doesn't cover."""
@@ -73,13 +75,8 @@ class Counter:
         if any(s in text for s in self.special):
             return len(self.tokenizer.encode(text, add_special_tokens=False))
         pieces = text.split(" ")
-        new = set(pieces).difference(self.known)
-        if new:
-            if len(self.known) > REMEMBERED:
-                self.known = {"": 0}
-                new = set(pieces) - {""}
-            self.known.update((p, self.piece(p)) for p in new)
-        return sum(map(self.known.__getitem__, pieces))
+        known = self.known.of(pieces, lambda new: map(self.piece, new))
+        return sum(map(known.__getitem__, pieces))
 
 
 @lru_cache(2)
