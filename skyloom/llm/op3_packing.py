@@ -18,6 +18,7 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,36 +29,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .op8_token_counts import byte_letters
 from .remember import Remembered
 from .storage import write_table
 
 #: Entries of a generation of what a worker remembers; bounds its memory.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 _CUT = re.compile(r" (?=\S)")
 
 
+class _Odd(Exception):
+    """A stretch that doesn't begin with a non-blank."""
+
+
 class Ids:
-    """Token ids of whole texts by a tokenizer file, as little-endian uint32.
+    """Token ids of whole texts by a byte-level tokenizer file, as little-endian uint32.
 
     A pre-token never spans a blank that comes before a non-blank, so text is cut there and each new stretch is
-    encoded once. Texts that hold a special string go to the library whole.
+    given to the library's model once. Texts that hold a special string go to the library whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = str.maketrans({chr(b): letter for b, letter in byte_letters().items()})
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.known = Remembered(REMEMBERED)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _spelled(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _stretch(self, stretch: str) -> bytes:
+        if stretch.isalpha():  # with its blank, one pre-token
+            return self._spelled((" " + stretch).encode().decode("latin-1").translate(self.letters))
+        return b"".join(self._spelled(word) for word, _ in self.split(" " + stretch))
+
+    def _stretches(self, new: list[str]) -> list[bytes]:
+        if any(not s or s[0].isspace() for s in new):
+            raise _Odd
+        return [self._stretch(s) for s in new]
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return self._encode([text])[0]
-        first, *later = _CUT.split(text)
-        known = self.known.of(later, lambda new: self._encode([" " + s for s in new]))
-        return (self._encode([first])[0] if first else b"") + b"".join(map(known.__getitem__, later))
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        first, *later = text.split(" ")
+        try:
+            known = self.known.of(later, self._stretches)
+        except _Odd:
+            first, *later = _CUT.split(text)
+            known = self.known.of(later, self._stretches)
+        lead = b"".join(self._spelled(word) for word, _ in self.split(first)) if first else b""
+        return lead + b"".join(map(known.__getitem__, later))
 
 
 @lru_cache(2)
