@@ -4,12 +4,12 @@ A document's table keys are all pairs of one band from each of two small collect
 minhashes give ``BANDS`` squared keys, so the minhashes to compute are about a square root of what as many separate keys
 would need. Documents of one shingle set are one node from the start, so exact copies cost nothing later.
 
-Nodes meet in buckets of equal keys. First every node proposes the bucket mate whose sketch agrees best, and proposals are
-confirmed. What then still lies in another component, though sketches leave a link possible, is closed exactly:
-every such node is held against all members of that component, in blocks, by an inverted index over their shingles.
-So no group is ever expanded into its pairs, and no link between different texts is given up for size.
-Buckets beyond ``BLOCK`` nodes are dealt into blocks by another hash for each key, so two nodes of a large group share
-blocks of some of their many common buckets; the closing step holds a node against the whole other component again.
+Nodes meet in buckets of equal keys. A bucket's nodes whose sketches leave a link possible are tied by a spanning forest, so a
+bucket never yields more ties than nodes; ties of all buckets form candidate groups. Within a group every pair is
+decided exactly, though no pair is ever a row: the group's sets are cut into blocks of bounded size, and each node is held against
+every block by an inverted index over the block's shingles. Only links that join what was apart leave a block.
+Buckets beyond ``BUCKET`` nodes are dealt into parts by another hash for each key; two nodes of a large group share
+parts of some of their many common buckets, and the group's blocks hold all of them again.
 
 Null or wordless texts have an empty set and link with nothing. Repeated rows and repeated ids each get their row; a null id
 is never a component's id unless it has no other, and is not kept. An empty table gives an empty one; other columns are
@@ -34,8 +34,8 @@ from .textarrays import blocks, mix, ngrams, pack, unpack, words
 BANDS, ROWS = 8, 2
 #: A pair is a candidate if so many of the 32 minhashes agree; a pair of likeness 0.8 does all but once in 50,000.
 AGREE = 16
-#: Nodes that are compared in one task at a time.
-BLOCK = 2000
+#: Nodes of a bucket, and shingles of a block, that are compared in one task at a time.
+BUCKET, BLOCK = 2000, 1_000_000
 TEXT_BLOCK = 1 << 20
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -136,21 +136,24 @@ def _small(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("small").to_pylist()), np.uint8).reshape(table.num_rows, -1)
 
 
-def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each node's best agreeing bucket mate, if a link is possible."""
-    out: list[tuple] = []
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties within each bucket: a spanning forest of the nodes whose sketches leave a link possible."""
+    out: set[tuple[bytes, bytes]] = set()
     for table in _groups(batches):
         names, small = table.column("node").to_pylist(), _small(table)
-        for i in range(len(names) if len(names) > 2 else 1):
-            agree = (small == small[i]).sum(axis=1)
-            agree[i] = -1
-            best = int(agree.argmax())
-            if agree[best] >= AGREE:
-                out.append((names[i], names[best], int(agree[best])))
+        order = np.array(sorted(range(len(names)), key=names.__getitem__))
+        while len(order):  # a tree from the least name that is left
+            todo, order = [order[0]], order[1:]
+            while todo and len(order):
+                i = todo.pop()
+                near = (small[order] == small[i]).sum(axis=1) >= AGREE
+                out.update((names[i], names[k]) for k in order[near])
+                todo += order[near].tolist()
+                order = order[~near]
         if len(out) > 20_000:
-            yield _batch(out, a=pa.binary(), b=pa.binary(), agree=pa.int32())
-            out = []
-    yield _batch(out, a=pa.binary(), b=pa.binary(), agree=pa.int32())
+            yield _batch(sorted(out), a=pa.binary(), b=pa.binary())
+            out = set()
+    yield _batch(sorted(out), a=pa.binary(), b=pa.binary())
 
 
 def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
@@ -158,66 +161,62 @@ def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (node, component) of torn buckets that sketches leave possible, from the smaller component to the larger."""
-    found: set[tuple[bytes, bytes]] = set()
-    for table in _groups(batches):
-        names, small, labels = table.column("node").to_pylist(), _small(table), table.column("label").to_pylist()
-        order = sorted(set(labels))
-        place = {c: k for k, c in enumerate(order)}
-        comp, sizes = np.array([place[c] for c in labels]), table.column("size").to_numpy()
-        for i in range(len(names)):
-            larger = (comp != comp[i]) & ((sizes > sizes[i]) | (sizes == sizes[i]) & (comp < comp[i]))
-            if larger.any():
-                hit = larger & ((small == small[i]).sum(axis=1) >= AGREE)
-                found.update((names[i], order[c]) for c in np.unique(comp[hit]))
-        if len(found) > 20_000:
-            yield _batch(sorted(found), node=pa.binary(), other=pa.binary())
-            found = set()
-    yield _batch(sorted(found), node=pa.binary(), other=pa.binary())
-
-
-def _alike(a: int, b: int, both: np.ndarray | int, percent: int):
-    return 100 * both >= percent * (a + b - both)
-
-
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for i, (m, x, n, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n_a", "set_a", "n_b", "set_b")), strict=True)):
-                if 100 * min(m, n) >= percent * max(m, n):
-                    both = len(np.intersect1d(unpack(x, m, np.uint64, True), unpack(y, n, np.uint64, True), assume_unique=True))
-                    if _alike(m, n, both, percent):
-                        kept.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
-
-    return run
+def _decide(percent: int):
+    """Links within blocks, whose members come before the nodes that are only held against them."""
 
-
-def _close(percent: int):
-    """Links between the asking nodes of a block and its members, by an inverted index over the members' shingles."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("node", "n", "shingles", "asks")), strict=True))
-        members, out = [r for r in rows if not r[3]], []
-        if members:
-            sets = [unpack(r[2], r[1], np.uint64, True) for r in members]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, sets, names, out = None, [], [], []
+        flat = owner = sizes = None
+        up: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def ask(name: bytes, own: np.ndarray) -> None:
+            lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            count = hi - lo
+            at = np.repeat(hi - np.cumsum(count), count) + np.arange(count.sum())
+            both = np.bincount(owner[at], minlength=len(names))
+            for k in np.flatnonzero(100 * both >= percent * (len(own) + sizes - both)).tolist():
+                x, y = root(name), root(names[k])
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    out.append((name, names[k]))
+
+        def ready() -> None:
+            nonlocal flat, owner, sizes
             sizes = np.array([len(s) for s in sets])
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            for name, n, data, asks in rows:
-                if asks:
-                    own = unpack(data, n, np.uint64, True)
-                    lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-                    count = hi - lo
-                    at = np.repeat(hi - np.cumsum(count), count) + np.arange(count.sum())
-                    both = np.bincount(owner[at], minlength=len(sets))
-                    hit = np.flatnonzero(_alike(n, sizes, both, percent))
-                    if len(hit):  # one link joins the two components
-                        out.append((name, members[hit[0]][0]))
-        return pa.Table.from_batches([_batch(out, a=pa.binary(), b=pa.binary())])
+            for name, own in zip(names, sets, strict=True):
+                ask(name, own)
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("label", "part", "member", "node", "n", "shingles"))
+            for label, part, member, node, n, data in zip(*columns, strict=True):
+                if place != (label, part):
+                    if sets and flat is None:
+                        ready()
+                    place, sets, names, flat = (label, part), [], [], None
+                    up.clear()
+                own = unpack(data, n, np.uint64, True)
+                if member:
+                    names.append(node)
+                    sets.append(own)
+                else:
+                    if flat is None:
+                        ready()
+                    ask(node, own)
+            if len(out) > 20_000:
+                yield _batch(out, a=pa.binary(), b=pa.binary())
+                out = []
+        if sets and flat is None:
+            ready()
+        yield _batch(out, a=pa.binary(), b=pa.binary())
 
     return run
 
@@ -257,15 +256,13 @@ def near_duplicates(
     keyed = write_table(nodes.mapInArrow(_keyed, "node binary, small binary, keys array<long>"), "keys")
     spread = keyed.select("node", F.explode("keys").alias("key"))
     crowded = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cut = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / (BLOCK // 2)))).otherwise(0)
+    cut = F.when(F.col("n") > BUCKET, F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / (BUCKET // 2)))).otherwise(0)
     met = spread.join(crowded, "key").select("key", cut.cast("int").alias("cut"), "node")
     mates = write_table(met.join(keyed.select("node", "small"), "node"), "mates")
 
     by_bucket = mates.repartition("key", "cut").sortWithinPartitions("key", "cut")
-    best = by_bucket.select("key", "cut", "node", "small").mapInArrow(_proposals, "a binary, b binary, agree int")
-    proposed = best.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-    ordered = F.array_sort(F.array("a", "b"))
-    proposed = write_table(proposed.select(ordered[0].alias("a"), ordered[1].alias("b")).distinct(), "proposed")
+    ties = by_bucket.select("key", "cut", "node", "small").mapInArrow(_forest, "a binary, b binary")
+    grouped = write_table(components(ties, "ties"), "groups")
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,31 +274,20 @@ def near_duplicates(
                     ["node", "n", "shingles"],
                 )
 
-    # one document of each node that has a mate; its set is made again from its whole text
-    wanted = mates.select("node").distinct().join(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id")), "node")
+    # one document of each node that is in a group; its set is made again from its whole text
+    wanted = grouped.select("node").join(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id")), "node")
     wanted = wanted.select("id").distinct()
     texts = chosen.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text").where("text is not null")
     sets = write_table(texts.mapInArrow(set_rows, "node binary, n long, shingles binary").dropDuplicates(["node"]), "sets")
 
-    a = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
-    links = write_table(proposed.join(a, "a").join(b, "b").mapInArrow(_confirm(percent), "a binary, b binary"), "links")
-
-    first = components(links)
-    grouped = write_table(mates.select("node").distinct().join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "grouped")
-    sizes = grouped.groupBy("label").agg(F.count("*").alias("size"))
-    labelled = mates.join(grouped, "node").join(sizes, "label")
-    torn = labelled.groupBy("key", "cut").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key", "cut")
-    mixed = labelled.join(torn, ["key", "cut"], "left_semi").repartition("key", "cut").sortWithinPartitions("key", "cut")
-    mixed = mixed.select("key", "cut", "node", "small", "label", "size")
-    asking = write_table(mixed.mapInArrow(_open, "node binary, other binary").distinct(), "asking")
-    asked = asking.select(F.col("other").alias("label")).distinct().join(sizes, "label")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = grouped.join(asked, "label").join(sets, "node").select("label", F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("part"), "node", "n", "shingles", F.lit(False).alias("asks"))
-    askers = asking.withColumnRenamed("other", "label").join(asked, "label").join(sets, "node")
-    askers = askers.select("label", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("part"), "node", "n", "shingles", F.lit(True).alias("asks"))
-    closed = members.union(askers).groupBy("label", "part").applyInArrow(_close(percent), "a binary, b binary")
-    last = components(links.union(write_table(closed, "closed")))
+    sized = sets.join(grouped, "node")
+    totals = sized.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
+    placed = sized.join(totals, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # a node is a member of its own block, and is held against the blocks before it
+    rows = placed.select("label", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("part"), "own", "node", "n", "shingles")
+    rows = rows.withColumn("member", F.col("part") == F.col("own")).drop("own")
+    blocked = rows.repartition("label", "part").sortWithinPartitions("label", "part", F.desc("member"))
+    last = components(blocked.mapInArrow(_decide(percent), "a binary, b binary"), "links")
 
     of = write_table(
         sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(last, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least"), "labels"
