@@ -56,24 +56,23 @@ def _words(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return types[unpack(row["index"], row["n_words"], np.int32)], np.frombuffer(row["counts"], np.int64)
 
 
-def _asked(order: int, buckets: int):
+def _asked(n: int, buckets: int):
     """Distinct n-grams of each batch with their counts, dealt by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 hashes, counts = _words(row)
-                for n in range(1, order + 1):
-                    types, times = np.unique(ngrams(hashes, counts, n)[0], return_counts=True)
-                    bucket = (types >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(types)])) if len(types) else np.zeros(1, int)
-                    out = [
-                        (int(bucket[a]), row["batch"], n, int(b - a), pack(types[a:b], True), pack(times[a:b].astype(np.int32)))
-                        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
-                    ]
-                    if out:
-                        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "batch", "n", "size", "types", "times"])
+                types, times = np.unique(ngrams(hashes, counts, n)[0], return_counts=True)
+                bucket = (types >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(types)])) if len(types) else np.zeros(1, int)
+                out = [
+                    (int(bucket[a]), row["batch"], n, int(b - a), pack(types[a:b], True), pack(times[a:b].astype(np.int32)))
+                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+                ]
+                if out:
+                    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "batch", "n", "size", "types", "times"])
 
     return run
 
@@ -139,9 +138,12 @@ def score(docs: DataFrame, order: int = 3, least: int = 2, id_col: str = "doc_id
     packed = write_table(chosen.mapInArrow(*_packed(kind)), "words")
     all_words = int(packed.agg(F.sum("n_words")).first()[0] or 0)
     buckets = max(1, all_words // BUCKET)
-    asked = packed.mapInArrow(_asked(order, buckets), "bucket int, batch long, n int, size long, types binary, times binary")
-    answered = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_counted, "batch long, n int, bucket int, size long, totals binary")
-    answered = write_table(answered, "answers")
+    answered = None
+    for n in range(1, order + 1):  # one order at a time, so its exchange is gone before the next one's begins
+        asked = packed.mapInArrow(_asked(n, buckets), "bucket int, batch long, n int, size long, types binary, times binary")
+        counted = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_counted, "batch long, n int, bucket int, size long, totals binary")
+        own = write_table(counted, f"answers-{n}")
+        answered = own if answered is None else answered.unionByName(own)
     by_batch = answered.groupBy("batch").agg(F.collect_list(F.struct("n", "bucket", "size", "totals")).alias("answers"))
     joined = packed.join(by_batch, "batch", "left")
     out = joined.mapInArrow(_scored(order, least, all_words), f"doc_id {kind}, n_words long, score_micro long, n_by_order array<long>")
