@@ -1,11 +1,610 @@
-"""Queries of the library's own operators and their SQL."""
+"""Queries of the library's own operators over the driver's tables, and SQL for those that SQL can express.
+
+Roles: candidates are all rows of ``embeddings`` and their nights its labels; the query rows are its first six vectors with weight
+1 / (1 + vec_id); papers are ``orders``, references ``lineitem``, the corpus ``part``; caches, logs and archives are ``events``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import dates, text, vectors
+from ..operators import archive, cluster, gate, grade, match, rank, store
+from ..sources import feeds
+from . import render
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+ROWS = 6
+GATE = gate.Gate()
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# similarity and the gate
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.doubles(F.col("embedding")).alias("vector"))
+
+
+def _rows(candidates: DataFrame) -> DataFrame:
+    few = candidates.where(F.col("vec_id") < ROWS)  # the query rows; all candidates are graded
+    return few.select(F.col("vec_id").cast("int").alias("row_idx"), F.concat(F.lit("row-"), F.col("vec_id").cast("string")).alias("label"), (1 / (1 + F.col("vec_id"))).alias("weight"), "vector")
+
+
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir)
+    return grade.grade(c, _rows(c)).select("vec_id", "label", F.round("grade", 6).alias("grade"))
+
+
+def _assay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir)
+    return grade.cosines(c, _rows(c), "vec_id")
+
+
+_E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), r AS (SELECT vec_id AS row_idx, 1.0 / (1 + vec_id) AS w, v AS rv FROM e WHERE vec_id < 6)"
+_G = _E + ", g AS (SELECT vec_id, label, round(sum(w * list_dot_product(v, rv)) / sum(w), 6) AS grade FROM e, r GROUP BY vec_id, label)"
+
+
+def _gate_sql(g: gate.Gate, by: str = "") -> str:
+    part, on = (f"PARTITION BY {by} ", f"USING ({by})") if by else ("", "ON true")
+    cols = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    return f"""{_G}, m AS (SELECT {cols}list_sort(list(grade))[count(*) // 2 + 1] AS med FROM g {group}),
+d AS (SELECT {cols}list_sort(list(abs(grade - med)))[count(*) // 2 + 1] AS mad FROM g JOIN m {on} {group}),
+z AS (SELECT g.*, CASE WHEN mad > 0 THEN (grade - med) / ({gate.MAD_SCALE} * mad) END AS z FROM g JOIN m {on} JOIN d {on}),
+k AS (SELECT *, row_number() OVER ({part}ORDER BY grade DESC, vec_id) AS rank, count(*) FILTER (z >= {g.ship}) OVER ({part.strip()}) AS ship,
+  count(*) FILTER (z >= {min(g.long_z, g.ship)}) OVER ({part.strip()}) AS longs FROM z),
+s AS (SELECT vec_id, label, grade, z, CAST(rank AS INTEGER) AS rank, CASE WHEN z >= {g.min_z} THEN 'paydirt' WHEN z >= {g.ship} THEN 'look' ELSE 'longshot' END AS band FROM k
+  WHERE rank <= {g.max_items} AND (z IS NULL OR rank <= CASE WHEN ship < {g.floor} THEN least(longs, {g.floor}) ELSE ship END))"""
+
+
+_SHIPPED = "SELECT vec_id, label, grade, round(z, 4) AS z, rank, band FROM s"
+
+
+def _shipped(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", "label", "grade", F.round("z", 4).alias("z"), "rank", "band")
+
+
+@query("grade_candidates", f"WITH {_G} SELECT vec_id, label, grade FROM g")
+def grade_candidates(spark, sf_dir):
+    return _graded(spark, sf_dir)
+
+
+@query("best_row", f"WITH {_E}, c AS (SELECT vec_id, row_idx, round(list_dot_product(v, rv), 6) AS cosine FROM e, r) SELECT vec_id, 'row-' || CAST(arg_min(row_idx, struct_pack(a := -cosine, b := row_idx)) AS VARCHAR) AS label, max(cosine) AS cosine FROM c GROUP BY vec_id")
+def best_row(spark, sf_dir):
+    return grade.best_row(_assay(spark, sf_dir).withColumn("cosine", F.round("cosine", 6)), "vec_id")
+
+
+@query("assay_matrix_long", f"WITH {_E} SELECT vec_id, CAST(row_idx AS INTEGER) AS row_idx, round(list_dot_product(v, rv), 6) AS cosine FROM e, r")
+def assay_matrix_long(spark, sf_dir):
+    return _assay(spark, sf_dir).select("vec_id", "row_idx", F.round("cosine", 6).alias("cosine"))
+
+
+@query("assay_matrix_wide", f"WITH {_G} SELECT vec_id, {', '.join(f'max(CASE WHEN row_idx = {i} THEN round(list_dot_product(v, rv), 6) END) AS row_{i}' for i in range(ROWS))}, max(grade) AS grade FROM e JOIN g USING (vec_id), r GROUP BY vec_id")
+def assay_matrix_wide(spark, sf_dir):
+    return grade.assay_matrix(_assay(spark, sf_dir), _graded(spark, sf_dir), "vec_id", list(range(ROWS)))
+
+
+def _gate_query(name: str, g: gate.Gate, by: str = "") -> None:
+    def run(spark, sf_dir):
+        return _shipped(gate.select(_graded(spark, sf_dir), g, "vec_id", [by] if by else None))
+
+    query(name, f"WITH {_gate_sql(g, by)} {_SHIPPED}")(run)
+
+
+for _name, _gate, _by in (
+    ("gate_default", GATE, ""), ("gate_strict", gate.Gate(min_z=3.0, soft_z=2.5, min_items=1, max_items=5), ""), ("gate_floor", gate.Gate(min_z=4.0, soft_z=4.0, long_z=0.0, min_items=20, max_items=30), ""),
+    ("gate_shiny", gate.PRESETS["shiny"], ""), ("gate_by_night", GATE, "label"),
+):
+    _gate_query(_name, _gate, _by)
+
+
+@query("gate_degenerate", "WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings) SELECT vec_id, 0.5 AS grade, CAST(NULL AS DOUBLE) AS z, CAST(rank AS INTEGER) AS rank, 'longshot' AS band FROM r WHERE rank <= 8".replace("0.5 AS", "CAST(0.5 AS DOUBLE) AS"))
+def gate_degenerate(spark, sf_dir):
+    flat = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(0.5).alias("grade"))
+    return gate.select(flat, GATE, "vec_id").select("vec_id", "grade", "z", "rank", "band")
+
+
+@query("gate_report_row", f"WITH {_gate_sql(GATE)} SELECT (SELECT count(*) FROM g) AS n, count(*) AS kept, count(*) FILTER (z >= {GATE.min_z}) AS hard, count(*) FILTER (z IS NULL OR z < {GATE.ship}) AS floored, round(max(z), 4) AS best_z, min(grade) AS cut_grade FROM s")
+def gate_report_row(spark, sf_dir):
+    return gate.readout(_graded(spark, sf_dir), GATE, "vec_id").withColumn("best_z", F.round("best_z", 4))
+
+
+@query("z_scores", f"WITH {_gate_sql(GATE)} SELECT vec_id, round(z, 4) AS z FROM z")
+def z_scores(spark, sf_dir):
+    return gate.z_scores(_graded(spark, sf_dir)).select("vec_id", F.round("z", 4).alias("z"))
+
+
+@query("clearing_counts", f"WITH {_gate_sql(GATE)} SELECT count(*) FILTER (z >= 1.0) AS z1, count(*) FILTER (z >= 1.5) AS z15, count(*) FILTER (z >= 2.0) AS z2 FROM z")
+def clearing_counts(spark, sf_dir):
+    z = gate.z_scores(_graded(spark, sf_dir))
+    return z.agg(gate.clearing(z, 1.0).alias("z1"), gate.clearing(z, 1.5).alias("z15"), gate.clearing(z, 2.0).alias("z2"))
+
+
+_COUNTS = "SELECT label, count(*) FILTER (band = 'paydirt') AS paydirt, count(*) FILTER (band = 'look') AS look, count(*) FILTER (band = 'longshot') AS longshot FROM s GROUP BY label"
+
+
+@query("band_counts", f"WITH {_gate_sql(GATE, 'label')} {_COUNTS}")
+def band_counts(spark, sf_dir):
+    return gate.band_counts(gate.select(_graded(spark, sf_dir), GATE, "vec_id", ["label"]), ["label"])
+
+
+@query("tally_sentence", f"""WITH {_gate_sql(GATE, 'label')}, c AS ({_COUNTS}),
+t AS (SELECT *, concat_ws(' · ', CASE WHEN look > 0 THEN look || ' worth a look' END, CASE WHEN longshot > 0 THEN longshot || CASE WHEN longshot = 1 THEN ' long shot' ELSE ' long shots' END END) AS rest FROM c)
+SELECT label, CASE WHEN paydirt + look + longshot = 0 THEN '' WHEN paydirt = 0 THEN 'No pay dirt today' || CASE WHEN rest <> '' THEN ' — ' || rest ELSE '' END || '.'
+  ELSE concat_ws(' · ', paydirt || ' pay dirt', nullif(rest, '')) || '.' END AS tally FROM t""")
+def tally_sentence(spark, sf_dir):
+    return band_counts(spark, sf_dir).select("label", gate.tally(F.col("paydirt"), F.col("look"), F.col("longshot")).alias("tally"))
+
+
+def _banded(spark, sf_dir) -> DataFrame:
+    z = gate.z_scores(_graded(spark, sf_dir))
+    return grade.ranked(z, "vec_id").withColumn("band", gate.band(F.col("z"), GATE))
+
+
+@query("report_paydirt", f"WITH {_gate_sql(GATE)} SELECT vec_id, grade, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 25")
+def report_paydirt(spark, sf_dir):
+    every = _banded(spark, sf_dir)
+    return gate.report(every, every, "paydirt", 25, key="vec_id").select("vec_id", "grade", "rank")
+
+
+@query("report_picked", f"WITH {_gate_sql(GATE)} SELECT vec_id, CASE WHEN z >= {GATE.min_z} THEN 'paydirt' WHEN z >= {GATE.ship} THEN 'look' ELSE 'picked' END AS band FROM z WHERE label = 3")
+def report_picked(spark, sf_dir):
+    every = _banded(spark, sf_dir)
+    return gate.report(every, every, "picked", 0, every.where("label = 3"), key="vec_id").select("vec_id", "band")
+
+
+@query("lamp_domain", f"WITH {_G}, l AS (SELECT list_sort(list(grade)) AS x FROM g), b AS (SELECT x[CAST(floor(0.05 * (len(x) - 1)) AS BIGINT) + 1] AS lo, x[len(x)] AS hi FROM l) SELECT CASE WHEN hi - lo >= 0.03 THEN lo ELSE 0.0 END AS lo, CASE WHEN hi - lo >= 0.03 THEN hi ELSE 0.45 END AS hi FROM b")
+def lamp_domain(spark, sf_dir):
+    return gate.lamp_domain(_graded(spark, sf_dir))
+
+
+@query("colour_buckets", f"WITH {_G} SELECT CAST(floor(least(1.0, greatest(0.0, grade / 0.55)) * 7 + 0.5) AS INTEGER) AS step, count(*) AS n FROM g GROUP BY 1")
+def colour_buckets(spark, sf_dir):
+    return _graded(spark, sf_dir).groupBy(gate.bucket(F.col("grade"), 0.0, 0.55, 7).alias("step")).agg(F.count("*").alias("n"))
+
+
+# centring, coupling, clusters
+
+_UNIT = "u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings)"
+_CENTROID = _UNIT + ", p AS (SELECT unnest(range(len(v))) AS pos, unnest(v) AS x FROM u), c AS (SELECT pos, avg(x) AS mean FROM p GROUP BY pos)"
+
+
+@query("centroid_by_dim", f"WITH {_CENTROID} SELECT CAST(pos AS INTEGER) AS pos, round(mean, 8) AS mean FROM c")
+def centroid_by_dim(spark, sf_dir):
+    return cluster.centroid(_candidates(spark, sf_dir)).select("pos", F.round("mean", 8).alias("mean"))
+
+
+@query("centroid_norm", f"WITH {_CENTROID} SELECT round(sqrt(sum(mean * mean)), 8) AS norm FROM c")
+def centroid_norm(spark, sf_dir):
+    return cluster.centroid_array(cluster.centroid(_candidates(spark, sf_dir))).select(F.round("norm", 8).alias("norm"))
+
+
+@query("center_vectors", f"WITH {_CENTROID}, a AS (SELECT list(mean ORDER BY pos) AS m FROM c), s AS (SELECT vec_id, list_transform(range(1, len(v) + 1), lambda i: v[i] - m[i]) AS d FROM u, a) SELECT vec_id, round(d[1] / sqrt(list_dot_product(d, d)), 6) AS first, round(d[len(d)] / sqrt(list_dot_product(d, d)), 6) AS last FROM s")
+def center_vectors(spark, sf_dir):
+    out = cluster.centered(_candidates(spark, sf_dir))
+    return out.select("vec_id", F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.round(F.element_at("vector", -1), 6).alias("last"))
+
+
+_PAIRS = _UNIT + ", s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS sim FROM u a JOIN u b ON a.vec_id < b.vec_id)"
+
+
+@query("coupling_percentiles", f"WITH {_PAIRS}, l AS (SELECT list_sort(list(round(sim, 6))) AS x, count(*) AS n FROM s) SELECT x[least(n - 1, CAST(floor(0.05 * n) AS BIGINT)) + 1] AS p5, x[least(n - 1, CAST(floor(0.5 * n) AS BIGINT)) + 1] AS p50, x[least(n - 1, CAST(floor(0.95 * n) AS BIGINT)) + 1] AS p95, round(x[least(n - 1, CAST(floor(0.95 * n) AS BIGINT)) + 1] - x[least(n - 1, CAST(floor(0.05 * n) AS BIGINT)) + 1], 6) AS spread FROM l")
+def coupling_percentiles(spark, sf_dir):
+    found = cluster.percentiles(cluster.similarity_histogram(_candidates(spark, sf_dir), "vec_id"), {"p5": 0.05, "p50": 0.5, "p95": 0.95})
+    return found.withColumn("spread", F.round(F.col("p95") - F.col("p5"), 6))
+
+
+@query("coupling_edges_degree", f"WITH {_PAIRS}, e AS (SELECT a AS vec_id, sim FROM s WHERE sim >= 0.25 UNION ALL SELECT b, sim FROM s WHERE sim >= 0.25) SELECT vec_id, count(*) AS degree, round(max(sim), 6) AS strongest FROM e GROUP BY vec_id")
+def coupling_edges_degree(spark, sf_dir):
+    return cluster.degrees(_candidates(spark, sf_dir), "vec_id", 0.25).withColumn("strongest", F.round("strongest", 6))
+
+
+def _merges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c = _candidates(spark, sf_dir)
+    return c, cluster.merges(c, "label", "vec_id")
+
+
+@query("clusters_at_threshold")
+def clusters_at_threshold(spark, sf_dir):
+    c, found = _merges(spark, sf_dir)
+    return cluster.cluster_ids(cluster.cut(c, found, "label", "vec_id", 0.3), "label").select("label", "vec_id", "root", "cluster", "size")
+
+
+@query("cluster_sweep")
+def cluster_sweep(spark, sf_dir):
+    _, found = _merges(spark, sf_dir)
+    return cluster.sweep(None, found, "label")
+
+
+@query("cluster_best_cut")
+def cluster_best_cut(spark, sf_dir):
+    c, found = _merges(spark, sf_dir)
+    return cluster.best_cut(cluster.sweep(c, found, "label"), c.groupBy("label").agg(F.count("*").alias("n")), "label")
+
+
+@query("cluster_centers", f"WITH {_UNIT}, s AS (SELECT a.label, a.vec_id, count(*) AS n, sum(CASE WHEN a.vec_id <> b.vec_id THEN list_dot_product(a.v, b.v) ELSE 0 END) AS s FROM u a JOIN u b USING (label) GROUP BY a.label, a.vec_id) SELECT label, vec_id, n, round(s, 6) AS sum, round(CASE WHEN n > 1 THEN s / (n - 1) ELSE 1.0 END, 6) AS centrality FROM s")
+def cluster_centers(spark, sf_dir):
+    return cluster.centers(_candidates(spark, sf_dir), "label", "vec_id")
+
+
+@query("cluster_top_category", "WITH c AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY ALL) SELECT user_id, arg_max(event_type, struct_pack(a := n, b := -last)) AS category, max(n) AS n FROM c GROUP BY user_id")
+def cluster_top_category(spark, sf_dir):
+    return cluster.top_category(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@query("cluster_keys", "SELECT c_nationkey, sha256(string_agg(CAST(c_custkey AS VARCHAR) || chr(9) || c_name, chr(10) ORDER BY CAST(c_custkey AS VARCHAR) || chr(9) || c_name)) AS cluster_key FROM customer GROUP BY c_nationkey")
+def cluster_keys(spark, sf_dir):
+    return cluster.keys(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", "c_name")
+
+
+@query("cluster_shares", "SELECT label, count(*) AS n, CAST(floor(100 * count(*) / sum(count(*)) OVER () + 0.5) AS INTEGER) AS percent FROM embeddings GROUP BY label")
+def cluster_shares(spark, sf_dir):
+    sizes = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n")).withColumn("haul", F.lit(0))
+    return cluster.shares(sizes, "haul").select("label", "n", "percent")
+
+
+# text
+
+_WS = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+_COLLAPSED = f"trim(regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g'))"
+
+
+@query("text_sha_dedup", f"WITH s AS (SELECT doc_id, sha256({_COLLAPSED}) AS sha FROM documents) SELECT sha, min(doc_id) AS doc_id, count(*) AS n FROM s GROUP BY sha")
+def text_sha_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.text_sha(F.col("text")).alias("sha"))
+    return docs.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@query("first_wins_dedup", "WITH s AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) AS n FROM documents) SELECT source, lang, doc_id FROM s WHERE n = 1")
+def first_wins_dedup(spark, sf_dir):
+    return match.first_seen(table(spark, sf_dir, "documents").select("source", "lang", "doc_id"), "source", ["lang", "doc_id"])
+
+
+@query("norm_title_match", "WITH b AS (SELECT regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t, min(item_id) AS item_id FROM benchmark GROUP BY 1), d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]', '', 'g') AS t FROM documents) SELECT d.doc_id, item_id, length(d.t) AS size FROM d LEFT JOIN b ON d.t = b.t")
+def norm_title_match(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").groupBy(text.norm_title(F.col("text")).alias("t")).agg(F.min("item_id").alias("item_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.norm_title(F.col("text")).alias("t"))
+    return docs.join(items, "t", "left").select("doc_id", "item_id", F.length("t").cast("long").alias("size"))
+
+
+@query("slugs", "SELECT p_partkey, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM part)")
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.slugify(F.col("p_name")).alias("slug"))
+
+
+@query("clip_labels", f"WITH c AS (SELECT doc_id, {_COLLAPSED} AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 80 THEN rtrim(substr(t, 1, 79)) || '…' ELSE t END AS label FROM c")
+def clip_labels(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.clip_label(F.col("text")).alias("label"))
+
+
+@query("xml_escaped", "SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) AS sha FROM pages")
+def xml_escaped(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.xml_escape(F.col("html")), 256).alias("sha"))
+
+
+@query("html_titles", "SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS size FROM pages")
+def html_titles(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"), F.length(F.regexp_replace("html", "<[^>]*>", "")).cast("long").alias("size"))
+
+
+@query("word_lists", r"SELECT page_id, len(list_distinct(list_filter(list_transform(string_split_regex(url, '[/?#&=.]'), lambda x: trim(x)), lambda x: x <> ''))) AS n FROM pages")
+def word_lists(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(text.distinct_list(F.col("url"), "[/?#&=.]")).cast("long").alias("n"))
+
+
+@query("doi_forms", "SELECT item_id, 'doi:10.5555/' || item_id AS doi_key, '10.5555/' || item_id AS doi, '10.48550/arxiv.2401.' || lpad(CAST(item_id AS VARCHAR), 5, '0') AS arxiv_doi FROM benchmark")
+def doi_forms(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit(" https://DOI.org/10.5555/"), "item_id").alias("raw"), F.concat(F.lit("arXiv:2401."), F.lpad(F.col("item_id").cast("string"), 5, "0"), F.lit("v3")).alias("ref"))
+    return items.select("item_id", text.doi_key(F.col("raw")).alias("doi_key"), text.normalize_doi(F.col("raw")).alias("doi"), text.arxiv_doi(F.col("ref")).alias("arxiv_doi"))
+
+
+# signals and ranking
+
+
+def _papers(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    return o.select(
+        key.cast("string").alias("cite_key"), key.alias("pos"), F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("published"),
+        F.when(key % 3 != 0, F.least(F.lit(1.0), F.col("o_totalprice") / 400000)).alias("relevance_score"), F.when(key % 4 != 0, (key % 11) / 10.0).alias("centrality"),
+        F.when(key % 5 != 0, (key % 30).cast("int")).alias("scites"), F.when(key % 7 == 0, F.to_date("o_orderdate")).alias("briefed_on"), (key % 2 == 0).alias("relevant"),
+        F.concat(F.lit("Paper "), key.cast("string")).alias("title"), F.concat(F.lit("2401."), key.cast("string")).alias("arxiv_id"), F.col("o_orderpriority").alias("filter_reason"),
+    )
+
+
+_WEIGHTS = {"llm": 0.6, "centrality": 0.3, "scites": 0.1}
+_P = """p AS (SELECT CAST(o_orderkey AS VARCHAR) AS cite_key, o_orderkey AS pos, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS published,
+CASE WHEN o_orderkey % 3 <> 0 THEN least(1.0, o_totalprice / 400000) END AS relevance_score, CASE WHEN o_orderkey % 4 <> 0 THEN CAST((o_orderkey % 11) / 10.0 AS DOUBLE) END AS centrality,
+CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 30 AS INTEGER) END AS scites, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderdate AS DATE) END AS briefed_on,
+o_orderkey % 2 = 0 AS relevant, o_orderpriority AS filter_reason FROM orders),
+i AS (SELECT *, round(coalesce((coalesce(CAST(0.6 AS DOUBLE) * relevance_score, 0) + coalesce(CAST(0.3 AS DOUBLE) * centrality, 0) + CASE WHEN scites IS NOT NULL THEN CAST(0.1 AS DOUBLE) * CAST(least(scites / 20.0, 1.0) AS DOUBLE) ELSE 0 END)
+ / nullif(CASE WHEN relevance_score IS NOT NULL THEN CAST(0.6 AS DOUBLE) ELSE 0 END + CASE WHEN centrality IS NOT NULL THEN CAST(0.3 AS DOUBLE) ELSE 0 END + CASE WHEN scites IS NOT NULL THEN CAST(0.1 AS DOUBLE) ELSE 0 END, 0), 0.0), 10) AS importance FROM p)"""
+
+
+def _important(spark, sf_dir) -> DataFrame:
+    return rank.importance(_papers(spark, sf_dir), _WEIGHTS).withColumn("importance", F.round("importance", 10))
+
+
+@query("blend_renormalised", f"WITH {_P} SELECT cite_key, importance FROM i")
+def blend_renormalised(spark, sf_dir):
+    return _important(spark, sf_dir).select("cite_key", "importance")
+
+
+@query("rank_topn", f"WITH {_P} SELECT cite_key, importance FROM i WHERE briefed_on IS NULL ORDER BY importance DESC NULLS LAST, cite_key LIMIT 20")
+def rank_topn(spark, sf_dir):
+    return rank.top_ranked(_important(spark, sf_dir), 20).select("cite_key", "importance")
+
+
+@query("also_evaluated", f"WITH {_P}, t AS (SELECT cite_key FROM i WHERE briefed_on IS NULL ORDER BY importance DESC NULLS LAST, cite_key LIMIT 20) SELECT cite_key, relevant, importance FROM i WHERE briefed_on IS NULL AND cite_key NOT IN (SELECT cite_key FROM t)")
+def also_evaluated(spark, sf_dir):
+    papers = _important(spark, sf_dir)
+    return rank.also_evaluated(papers, rank.top_ranked(papers, 20)).select("cite_key", "relevant", "importance")
+
+
+@query("status_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def status_counts(spark, sf_dir):
+    return store.status_counts(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("work_list", "SELECT CAST(o_orderkey AS VARCHAR) AS cite_key, CAST(o_orderdate AS DATE) AS published FROM orders WHERE o_orderstatus = 'O'")
+def work_list(spark, sf_dir):
+    return store.with_status(_papers(spark, sf_dir), "O").select("cite_key", "published")
+
+
+@query("relevance_gate", "SELECT CAST(o_orderkey AS VARCHAR) AS cite_key, CASE WHEN o_orderkey % 2 = 0 THEN 'filtered' ELSE o_orderstatus END AS status, list_filter([o_orderpriority, 'other', o_orderpriority], lambda x: x IN ('1-URGENT', '2-HIGH')) AS t FROM orders".replace("list_filter([", "array_to_string(list_filter([").replace("'2-HIGH')) AS t", "'2-HIGH')), ',') AS topics"))
+def relevance_gate(spark, sf_dir):
+    papers = _papers(spark, sf_dir).withColumn("matched", F.array("filter_reason", F.lit("other"), F.col("filter_reason")))
+    return rank.relevance(papers, ["1-URGENT", "2-HIGH"]).select("cite_key", "status", F.array_join("topics", ",").alias("topics"))
+
+
+# the store
+
+
+@query("upsert_enrich", "WITH patch AS (SELECT l_orderkey AS k, CASE WHEN count(*) > 3 THEN sum(l_linenumber) END AS s FROM lineitem GROUP BY l_orderkey UNION ALL SELECT -1, 7) SELECT coalesce(o_orderkey, k) AS k, o_orderpriority AS p, CASE WHEN k IS NOT NULL THEN CAST(s AS BIGINT) ELSE CAST(o_custkey AS BIGINT) END AS s FROM orders FULL JOIN patch ON o_orderkey = k")
+def upsert_enrich(spark, sf_dir):
+    current = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"), F.col("o_custkey").cast("long").alias("s"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.when(F.count("*") > 3, F.sum("l_linenumber")).alias("s"))
+    return store.upsert(current, lines.unionByName(spark.createDataFrame([(-1, 7)], "k long, s long")), ["k"])
+
+
+@query("insert_if_absent", "SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT c_custkey, max(c_name) FROM customer WHERE c_custkey NOT IN (SELECT n_nationkey FROM nation) GROUP BY c_custkey")
+def insert_if_absent(spark, sf_dir):
+    have = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v"))
+    return store.insert_absent(have, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v")), ["k"])
+
+
+@query("replace_children", "WITH n AS (SELECT o_orderkey AS k, 0 AS pos, o_orderpriority AS v FROM orders WHERE o_orderstatus = 'F') SELECT l_orderkey AS k, l_linenumber AS pos, l_returnflag AS v FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM n) UNION ALL SELECT * FROM n")
+def replace_children(spark, sf_dir):
+    children = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("v"))
+    new = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("pos"), F.col("o_orderpriority").alias("v"))
+    return store.replace_children(children, new, "k")
+
+
+@query("prune_cascade", "WITH d AS (SELECT o_orderkey FROM orders WHERE o_orderdate < DATE '1995-01-01') SELECT 'papers' AS table_name, count(*) AS n FROM d UNION ALL SELECT 'refs', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM d)")
+def prune_cascade(spark, sf_dir):
+    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("published"))
+    refs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
+    return store.prune_counts({"papers": papers, "refs": refs}, store.old_papers(papers, F.lit("1995-01-01").cast("date")), "k")
+
+
+@query("vector_first_wins", "SELECT user_id, event_type, arg_min(value, event_id) AS value, arg_max(CAST(ts AS DATE), event_id) AS seen_at FROM events GROUP BY user_id, event_type")
+def vector_first_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.to_date("ts").alias("seen_at"))
+    return store.first_vectors(rows, "event_id", ["user_id", "event_type"])
+
+
+@query("latest_per_key", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 4 <> 0 THEN ts END DESC NULLS LAST, event_id) AS n FROM events) SELECT user_id, event_id, value FROM r WHERE n = 1")
+def latest_per_key(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("created_at", F.when(F.col("event_id") % 4 != 0, F.col("ts")))
+    return store.latest(rows, ["user_id"], [F.desc_nulls_last("created_at"), F.col("event_id")]).select("user_id", "event_id", "value")
+
+
+@query("cache_hit_miss", f"WITH s AS (SELECT DISTINCT sha256({_COLLAPSED}) AS sha, FROM documents), c AS (SELECT DISTINCT sha256({_COLLAPSED}) AS sha FROM documents WHERE lang = 'en') SELECT count(*) FILTER (c.sha IS NOT NULL) AS hits, count(*) FILTER (c.sha IS NULL) AS misses FROM s LEFT JOIN c USING (sha)".replace("AS sha, FROM", "AS sha FROM"))
+def cache_hit_miss(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(text.text_sha(F.col("text")).alias("text_sha"), "lang")
+    cache = docs.where("lang = 'en'").select("text_sha").distinct().select("text_sha", F.lit("m").alias("model"), F.lit(1).alias("dim"), F.array(F.lit(1.0)).alias("vector"))
+    found = store.cache_lookup(docs, cache, "m", 1)
+    return found.agg(F.count_if(F.col("vector").isNotNull()).alias("hits"), F.count_if(F.col("vector").isNull()).alias("misses"))
+
+
+@query("visible_rows", "SELECT user_id, count(*) AS n FROM events WHERE user_id IN (0, 7) GROUP BY user_id")
+def visible_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("user_id", F.when(F.col("user_id") == 0, "").otherwise(F.col("user_id").cast("string")))
+    own = store.visible(rows, "7").groupBy("user_id").agg(F.count("*").alias("n"))
+    return own.withColumn("user_id", F.when(F.col("user_id") == "", "0").otherwise(F.col("user_id")).cast("long"))
+
+
+# matching
+
+
+def _corpus(spark, sf_dir) -> DataFrame:
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    return p.select(
+        key.alias("corpus_pos"), F.concat(F.lit("P"), key).alias("cite_key"), F.concat(F.lit("W"), key).alias("openalex_id"),
+        F.when(key % 3 == 0, F.concat(F.lit("https://doi.org/10.1000/"), key)).when(key % 3 == 1, F.concat(F.lit("10.48550/arXiv.2401."), F.lpad(key.cast("string"), 5, "0"))).alias("doi"), F.col("p_name").alias("title"),
+    )
+
+
+def _refs(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    kind, key = F.col("l_linenumber") % 4, F.col("l_partkey")
+    return lines.select(
+        F.col("l_orderkey").alias("cite_key"), F.col("l_linenumber").alias("ref_pos"), F.when(kind == 1, F.concat(F.lit("doi:10.1000/"), key)).alias("ref_doi"),
+        F.when(kind == 2, F.concat(F.lit("2401."), F.lpad(key.cast("string"), 5, "0"))).alias("ref_arxiv"), F.when(kind == 3, F.upper("p_name")).alias("ref_title"),
+    )
+
+
+_M = """t AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS t, min(p_partkey) AS k FROM part GROUP BY 1),
+m AS (SELECT l_orderkey AS cite_key, l_linenumber AS ref_pos, CASE WHEN l_linenumber % 4 = 1 AND l_partkey % 3 = 0 THEN 'P' || l_partkey
+ WHEN l_linenumber % 4 = 2 AND l_partkey % 3 = 1 THEN 'P' || l_partkey WHEN l_linenumber % 4 = 3 THEN 'P' || t.k END AS matched_key
+ FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN t ON t.t = regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')),
+o AS (SELECT cite_key, matched_key, min(ref_pos) AS pos FROM m WHERE matched_key IS NOT NULL GROUP BY ALL)"""
+
+
+@query("match_cascade", f"WITH {_M} SELECT cite_key, ref_pos, matched_key FROM m")
+def match_cascade(spark, sf_dir):
+    return match.match_refs(_refs(spark, sf_dir), _corpus(spark, sf_dir)).select("cite_key", "ref_pos", "matched_key")
+
+
+@query("bibliography_matches", f"WITH {_M} SELECT cite_key, string_agg(matched_key, ' ' ORDER BY pos, matched_key) AS matched FROM o GROUP BY cite_key")
+def bibliography_matches(spark, sf_dir):
+    found = match.bibliography_matches(match.match_refs(_refs(spark, sf_dir), _corpus(spark, sf_dir)))
+    return found.select("cite_key", F.array_join("matched", " ").alias("matched"))
+
+
+@query("overlap_ordered", "WITH n AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS at FROM lineitem), f AS (SELECT l_orderkey AS cite_key, l_suppkey AS s, min(at) AS pos FROM n WHERE l_suppkey % 2 = 0 GROUP BY ALL) SELECT cite_key, string_agg('S' || s, ' ' ORDER BY pos) AS matched FROM f GROUP BY cite_key")
+def overlap_ordered(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("cite_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: F.concat(F.lit("W"), x.l_suppkey)).alias("referenced_works"))
+    s = F.col("s_suppkey")
+    corpus = table(spark, sf_dir, "supplier").where(s % 2 == 0).select(s.alias("corpus_pos"), F.concat(F.lit("S"), s).alias("cite_key"), F.concat(F.lit("W"), s).alias("openalex_id"), F.lit(None).cast("string").alias("doi"), F.col("s_name").alias("title"))
+    return match.overlap(lines, corpus).select("cite_key", F.array_join("matched", " ").alias("matched"))
+
+
+@query("connect_decision", f"""WITH {_M}, b AS (SELECT cite_key, count(*) AS n FROM o GROUP BY cite_key),
+x AS (SELECT o_orderkey AS cite_key, b.n AS bib, o_orderkey % 3 AS kind, 'P' || CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS hit FROM orders LEFT JOIN b ON b.cite_key = o_orderkey)
+SELECT CAST(cite_key AS VARCHAR) AS cite_key, CASE WHEN bib IS NOT NULL THEN least(bib / 10.0, 1.0) WHEN kind = 2 THEN CASE WHEN cite_key % 2 = 0 THEN 0.1 ELSE 0.0 END END AS centrality,
+ bib IS NOT NULL OR kind = 2 AS connected, CASE WHEN bib IS NULL AND kind > 0 THEN 'O' || cite_key END AS openalex_id FROM x""".replace("least(bib / 10.0, 1.0)", "CAST(least(bib / 10.0, 1.0) AS DOUBLE)").replace("THEN 0.1 ELSE 0.0 END END", "THEN CAST(0.1 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END END"))
+def connect_decision(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("cite_key"), F.col("o_orderkey").alias("n"))
+    refs = match.match_refs(_refs(spark, sf_dir), corpus).withColumn("cite_key", F.col("cite_key").cast("string"))
+    works = F.when(F.col("n") % 3 == 2, F.when(F.col("n") % 2 == 0, F.array(F.lit("W1"))).otherwise(F.array(F.lit("W-none")))).otherwise(F.array().cast("array<string>"))
+    resolved = papers.where("n % 3 > 0").select("cite_key", F.concat(F.lit("O"), "cite_key").alias("openalex_id"), F.lit(None).cast("string").alias("doi"), works.alias("referenced_works"))
+    return match.connect(papers.select("cite_key"), refs, resolved, corpus).select("cite_key", "centrality", "connected", "openalex_id")
+
+
+# ingestion
+
+
+@query("weekday_cutoff", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), w AS (SELECT d, CAST(x AS DATE) AS x, row_number() OVER (PARTITION BY d ORDER BY x DESC) AS n FROM (SELECT d, unnest(range(d - INTERVAL 12 DAY, CAST(d AS TIMESTAMP), INTERVAL 1 DAY)) AS x FROM d) WHERE isodow(x) <= 5) SELECT d AS day, x AS cutoff FROM w WHERE n = 3")
+def weekday_cutoff(spark, sf_dir):
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return days.select("day", dates.weekday_cutoff(F.col("day"), 3).alias("cutoff"))
+
+
+@query("take_while_cutoff", "WITH b AS (SELECT o_custkey, min(CASE WHEN o_orderdate < DATE '1995-06-01' THEN o_orderkey END) AS stop FROM orders GROUP BY o_custkey) SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last FROM orders JOIN b USING (o_custkey) WHERE stop IS NULL OR o_orderkey < stop GROUP BY o_custkey")
+def take_while_cutoff(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("pos"), F.to_date("o_orderdate").alias("published"))
+    kept = feeds.take_while(rows, F.lit("1995-06-01").cast("date"), keys=["o_custkey"])
+    return kept.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+
+
+@query("union_sources_dedup", "SELECT coalesce(n.n_nationkey, c.k) AS arxiv_id, CASE WHEN n.n_nationkey IS NOT NULL THEN 0 ELSE 1 END AS source FROM nation n FULL JOIN (SELECT DISTINCT c_nationkey + 10 AS k FROM customer) c ON c.k = n.n_nationkey")
+def union_sources_dedup(spark, sf_dir):
+    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("arxiv_id"), F.col("n_nationkey").cast("long").alias("pos"))
+    b = table(spark, sf_dir, "customer").select((F.col("c_nationkey") + 10).alias("arxiv_id"), F.col("c_custkey").alias("pos"))
+    return feeds.merge_sources([a, b]).select("arxiv_id", F.col("_source").alias("source"))
+
+
+@query("cap_results", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 200")
+def cap_results(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "ts").orderBy(F.desc("ts"), "event_id").limit(200)
+
+
+# archive, documents, meters
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    band = F.when(F.col("value") >= 80, "paydirt").when(F.col("value") >= 50, "look").otherwise("longshot")
+    return e.select(F.to_date("ts").alias("date"), F.col("event_type").alias("slug"), F.col("event_id").cast("string").alias("id"), F.coalesce(band, F.lit("longshot")).alias("band"))
+
+
+_ITEMS = "it AS (SELECT CAST(ts AS DATE) AS date, event_type AS slug, CAST(event_id AS VARCHAR) AS id, CASE WHEN value >= 80 THEN 'paydirt' WHEN value >= 50 THEN 'look' ELSE 'longshot' END AS band FROM events)"
+
+
+@query("archive_rollup", f"WITH {_ITEMS} SELECT strftime(date, '%Y-%m') AS month, date, slug, count(*) AS items, count(*) FILTER (band = 'paydirt') AS paydirt FROM it GROUP BY ALL")
+def archive_rollup(spark, sf_dir):
+    return archive.index(_items(spark, sf_dir))
+
+
+@query("archive_replace_day", f"WITH {_ITEMS}, m AS (SELECT max(date) AS d FROM it) SELECT date, count(*) AS n FROM it, m WHERE date <> d GROUP BY date UNION ALL SELECT d, (SELECT count(*) FROM it, m WHERE date = d AND slug = 'click') AS n FROM m WHERE n > 0")
+def archive_replace_day(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    newest = items.agg(F.max("date").alias("date"))
+    again = items.join(F.broadcast(newest), "date").where("slug = 'click'").select(*items.columns)
+    return archive.merge_days(items.join(F.broadcast(newest), "date", "left_anti"), again).groupBy("date").agg(F.count("*").alias("n"))
+
+
+@query("manifest_merge", f"WITH {_ITEMS}, t AS (SELECT slug, count(*) AS items, count(*) FILTER (band = 'paydirt') AS paydirt FROM it WHERE slug <> 'view' GROUP BY slug), p AS (SELECT DISTINCT slug FROM it) SELECT p.slug, CASE WHEN t.slug IS NOT NULL THEN t.items WHEN p.slug = 'view' THEN 5 END AS items, CASE WHEN t.slug IS NOT NULL THEN t.paydirt WHEN p.slug = 'view' THEN 1 END AS paydirt, CASE WHEN t.slug IS NOT NULL THEN 'today' WHEN p.slug = 'view' THEN 'before' END AS updated FROM p LEFT JOIN t USING (slug)")
+def manifest_merge(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    today = items.where("slug <> 'view'").groupBy("slug").agg(F.count("*").alias("items"), F.count_if(F.col("band") == "paydirt").alias("paydirt")).withColumn("updated", F.lit("today"))
+    prior = spark.createDataFrame([("view", 5, 1, "before"), ("gone", 9, 9, "before")], "slug string, items long, paydirt long, updated string")
+    return archive.manifest(items.select("slug").distinct().withColumn("name", F.col("slug")), today, prior).drop("name")
+
+
+@query("feed_overlap", "WITH s AS (SELECT DISTINCT event_type AS slug, user_id AS id FROM events), n AS (SELECT slug, count(*) AS n FROM s GROUP BY slug), b AS (SELECT x.slug AS a, y.slug AS b, count(*) AS shared FROM s x JOIN s y USING (id) WHERE x.slug < y.slug GROUP BY ALL) SELECT a, b, shared, round(shared / CAST(p.n + q.n - shared AS DOUBLE), 6) AS jaccard FROM b JOIN n p ON p.slug = a JOIN n q ON q.slug = b")
+def feed_overlap(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("slug"), F.col("user_id").alias("id"))
+    return archive.jaccard(rows).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("budget_spend")
+def budget_spend(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    want = F.when(F.col("event_type") == "refund", -2).otherwise((F.col("event_id") % 4 + 1).cast("int"))
+    rows = e.select(F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("client"), want.alias("want"))
+    return archive.spend(rows, client_cap=10, global_cap=100)
+
+
+@query("brief_lines", f"""WITH {_P}, d AS (SELECT max(briefed_on) AS d FROM i), s AS (SELECT i.* FROM i, d WHERE briefed_on = d), o AS (SELECT * FROM i WHERE briefed_on IS NULL),
+c AS (SELECT (SELECT count(*) FROM s) AS n, (SELECT count(*) FROM o) AS m, (SELECT count(*) FROM o WHERE relevant) AS r, (SELECT d FROM d) AS d)
+SELECT 0 AS section, CAST(0 AS BIGINT) AS pos, '# Morning brief, ' || CAST(d AS VARCHAR) || chr(10) || chr(10) || '*' || n || ' of ' || (n + m) || ' papers made the cut, ' || (n + r) || ' were on topic.*' AS line FROM c
+UNION ALL SELECT 1, row_number() OVER (ORDER BY importance DESC NULLS LAST, cite_key), '## ' || row_number() OVER (ORDER BY importance DESC NULLS LAST, cite_key) || '. Paper ' || cite_key || chr(10) || chr(10) || '**Why it matters:** —' || chr(10) || chr(10) || '**Connection:** —' || chr(10) || chr(10) || '**Verdict: skim** · [arXiv:2401.' || cite_key || '](https://arxiv.org/abs/2401.' || cite_key || ') · [PDF](https://arxiv.org/pdf/2401.' || cite_key || ')' || chr(10) || chr(10) || '<sub>Paper ' || cite_key || '</sub>' FROM s
+UNION ALL SELECT 2, 0, '## Also evaluated (' || m || ')' || chr(10) || chr(10) || '| Paper | On topic | Why not |' || chr(10) || '|---|---|---|' FROM c
+UNION ALL SELECT 3, row_number() OVER (ORDER BY relevant DESC NULLS LAST, importance DESC NULLS LAST, cite_key), '| [Paper ' || cite_key || '](https://arxiv.org/abs/2401.' || cite_key || ') | ' || CASE WHEN relevant THEN 'yes' ELSE 'no' END || ' | ' || replace(filter_reason, '|', '\\|') || ' |' FROM o""")
+def brief_lines(spark, sf_dir):
+    papers = _important(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("claim", "stakes", "connection", "verdict")})
+    day = papers.agg(F.max("briefed_on")).first()[0]
+    return render.brief(papers, str(day))
+
+
+@query("rss_guids", f"WITH {_ITEMS} SELECT id, slug || ':' || CAST(date AS VARCHAR) || ':' || id AS guid FROM it")
+def rss_guids(spark, sf_dir):
+    return _items(spark, sf_dir).select("id", render.guid(F.col("slug"), F.col("date").cast("string"), F.col("id")).alias("guid"))
+
+
+@query("rss_items")
+def rss_items(spark, sf_dir):
+    shipped = gate.select(_graded(spark, sf_dir), GATE, "vec_id", ["label"])
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("abstract"))
+    items = shipped.join(docs, "vec_id", "left").select(
+        F.concat(F.lit("night-"), "label").alias("slug"), F.lit("2026-01-01").alias("day"), F.col("vec_id").cast("string").alias("id"), F.lit("").alias("title"), F.concat(F.lit("https://example.org/"), "vec_id").alias("link"),
+        "grade", "z", "band", F.lit("row-0").alias("label"), F.lit("").alias("authors"), F.coalesce("abstract", F.lit("")).alias("abstract"),
+    )
+    return render.rss(items, "https://example.org/")
+
+
+@query("dialogue_openers", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id, role, sha256(coalesce(text, '')) AS sha FROM r WHERE n = 1")
+def dialogue_openers(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return rows.withColumn("n", first).where("n = 1").select("conv_id", "role", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
