@@ -479,7 +479,7 @@ def bibliography_matches(spark, sf_dir):
     return found.select("cite_key", F.array_join("matched", " ").alias("matched"))
 
 
-@query("overlap_ordered", "WITH n AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS at FROM lineitem), f AS (SELECT l_orderkey AS cite_key, l_suppkey AS s, min(at) AS pos FROM n WHERE l_suppkey % 2 = 0 GROUP BY ALL) SELECT cite_key, string_agg('S' || s, ' ' ORDER BY pos) AS matched FROM f GROUP BY cite_key")
+@query("overlap_ordered", "WITH n AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS spot FROM lineitem), f AS (SELECT l_orderkey AS cite_key, l_suppkey AS s, min(spot) AS pos FROM n WHERE l_suppkey % 2 = 0 GROUP BY ALL) SELECT cite_key, string_agg('S' || s, ' ' ORDER BY pos) AS matched FROM f GROUP BY cite_key")
 def overlap_ordered(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("cite_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: F.concat(F.lit("W"), x.l_suppkey)).alias("referenced_works"))
     s = F.col("s_suppkey")

@@ -39,7 +39,7 @@ def sanitize(raw: Column, name: str = "untitled") -> Column:
         F.lit(VERSION).alias("version"), c.preset.alias("preset"), label.alias("name"), F.coalesce(c.blurb, F.lit("")).alias("blurb"), c.saved.alias("saved"), scout.alias("scout"),
         touchstones.alias("touchstones"), cores.alias("cores"), F.greatest(F.coalesce(c.blend.paydirt_n, F.lit(5)), F.lit(1)).alias("paydirt_n"), select.alias("select"),
     )
-    return F.when(F.ltrim(raw).startswith("{") & (F.coalesce(c.arxave_claim, F.lit(VERSION)) <= VERSION), whole)
+    return F.when(F.ltrim(raw).startswith("{") & (F.coalesce(c.claim_version, F.lit(VERSION)) <= VERSION), whole)
 
 
 def to_json(claim: Column) -> Column:

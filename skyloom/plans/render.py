@@ -74,7 +74,7 @@ def rss_item(items: DataFrame) -> DataFrame:
     item = F.concat(
         F.lit("<item><title>"), text.xml_escape(F.coalesce(F.nullif("title", F.lit("")), F.col("id"))), F.lit("</title><link>"), text.xml_escape(F.col("link")),
         F.lit('</link><guid isPermaLink="false">'), text.xml_escape(guid(F.col("slug"), F.col("day"), F.col("id"))), F.lit("</guid><description>"), text.xml_escape(body),
-        F.lit("</description><dig:band>"), F.col("band"), F.lit("</dig:band><dig:grade>"), fixed(F.col("grade"), 3), F.lit("</dig:grade></item>"),
+        F.lit("</description><x:band>"), F.col("band"), F.lit("</x:band><x:grade>"), fixed(F.col("grade"), 3), F.lit("</x:grade></item>"),
     )
     return items.withColumn("pos", pos).select("slug", "pos", item.alias("item"))
 
@@ -85,7 +85,7 @@ def rss(items: DataFrame, site: str) -> DataFrame:
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), "\n")
     each = rss_item(items).groupBy("slug").agg(listed.alias("_items")).join(counts, "slug")
     head = F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0" xmlns:dig="urn:dig:feed"><channel>\n<title>'), text.xml_escape(F.col("slug")), F.lit("</title><link>"),
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0" xmlns:x="urn:skyloom:feed"><channel>\n<title>'), text.xml_escape(F.col("slug")), F.lit("</title><link>"),
         text.xml_escape(F.concat(F.lit(site), F.lit("?preset="), F.url_encode("slug"))), F.lit("</link><description>"), text.xml_escape("_tally"), F.lit("</description>\n"),
     )
     return each.select("slug", F.concat(head, "_items", F.lit("\n</channel></rss>\n")).alias("document"))

@@ -18,7 +18,7 @@ FEED_SCHEMA = (
 )
 ENTRY_SCHEMA = "id string, title string, summary string, published string, author array<struct<name: string>>, `arxiv:primary_category` struct<_term: string>"
 CLAIM_SCHEMA = (
-    "arxave_claim int, preset string, name string, blurb string, saved string, scout struct<categories: string, lookback_days: int, max_results: int>, "
+    "claim_version int, preset string, name string, blurb string, saved string, scout struct<categories: string, lookback_days: int, max_results: int>, "
     "touchstones array<struct<text: string, weight: string, preset: string>>, cores array<struct<doi: string, weight: string>>, "
     "blend struct<paydirt_n: int>, select struct<min_z: double, min_items: int, soft_z: double, long_z: double, max_items: int>"
 )
