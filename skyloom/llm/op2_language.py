@@ -87,10 +87,10 @@ class Automaton:
         state, count, first = np.zeros(rows.shape[1], np.int32), np.zeros(rows.shape[1], np.int64), self.table
         for symbols in rows:
             to = first[state + symbols]
-            over = (to == 0) & (symbols > 0)
-            count += over
+            over = to == 0
+            count += (over | (state == 0)) & (symbols > 0)  # at the root a phrase has yet to begin
             state = np.where(over, first[symbols], to)
-        return count + 1
+        return count
 
 
 class Languages:

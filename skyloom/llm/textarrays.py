@@ -86,10 +86,12 @@ def blocks(texts: Sequence, limit: int) -> Iterator[tuple[int, int]]:
 
 def pack(values: np.ndarray, delta: bool = False) -> bytes:
     """An integer array as zstd bytes, its bytes dealt by place; ``delta``: differences of a sorted array."""
-    if delta and len(values):
+    if not len(values):
+        return b""
+    if delta:
         values = np.concatenate((values[:1], np.diff(values)))
     planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes, count: int, dtype, delta: bool = False) -> np.ndarray:
