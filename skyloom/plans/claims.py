@@ -34,7 +34,7 @@ def sanitize(raw: Column, name: str = "untitled") -> Column:
         text.distinct_list(c.scout.categories).alias("categories"), F.greatest(F.coalesce(c.scout.lookback_days, F.lit(1)), F.lit(1)).alias("lookback_days"),
         F.greatest(F.coalesce(c.scout.max_results, F.lit(200)), F.lit(1)).alias("max_results"),
     )
-    label = F.coalesce(F.nullif(F.trim(c.name), F.lit("")), F.lit(name))
+    label = F.coalesce(F.nullif(F.trim(c["name"]), F.lit("")), F.lit(name))
     whole = F.struct(
         F.lit(VERSION).alias("version"), c.preset.alias("preset"), label.alias("name"), F.coalesce(c.blurb, F.lit("")).alias("blurb"), c.saved.alias("saved"), scout.alias("scout"),
         touchstones.alias("touchstones"), cores.alias("cores"), F.greatest(F.coalesce(c.blend.paydirt_n, F.lit(5)), F.lit(1)).alias("paydirt_n"), select.alias("select"),

@@ -23,9 +23,9 @@ def first_within(stream: DataFrame, key: list[str], ts: str, late: str) -> DataF
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
-def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
+def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Handles all that is there, batch by batch, and ends."""
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def append_available(stream: DataFrame, checkpoint: str, path: str) -> None:
