@@ -35,6 +35,10 @@ from .storage import write_table
 
 #: Entries of a generation of what a worker remembers; bounds its memory.
 REMEMBERED = 500_000
+#: New words that the library gets as one text.
+TOGETHER = 10_000
+#: Marks after a word; a run of them is one pre-token, spelled as itself.
+MARKS = ".,;:!?"
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -46,7 +50,7 @@ class Ids:
     """Token ids of whole texts by a byte-level tokenizer file, as little-endian uint32.
 
     A pre-token never spans a blank that comes before a non-blank, so text is cut there and each new stretch is
-    given to the library's model once. Texts that hold a special string go to the library whole.
+    given to the library once, and a word that only differs in the marks after it isn't given again. Texts that hold a special string go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -55,20 +59,33 @@ class Ids:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = str.maketrans({chr(b): letter for b, letter in byte_letters().items()})
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.known = Remembered(REMEMBERED)
+        self.known, self.words, self.tails = Remembered(REMEMBERED), Remembered(REMEMBERED // 2), Remembered(REMEMBERED // 50)
 
     def _spelled(self, word: str) -> bytes:
         return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
-    def _stretch(self, stretch: str) -> bytes:
-        if stretch.isalpha():  # with its blank, one pre-token
-            return self._spelled((" " + stretch).encode().decode("latin-1").translate(self.letters))
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words, each one pre-token with its blank; many go to the library as one text, told apart by its pre-tokens."""
+        for lo in range(0, len(words), TOGETHER):
+            some = words[lo : lo + TOGETHER]
+            found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            number = np.array(found.word_ids, np.int64)
+            if number[-1] + 1 != len(some):  # letters to Python and not to the library
+                yield from map(self._any, some)
+                continue
+            ids, ends = np.array(found.ids, "<u4").tobytes(), (4 * np.searchsorted(number, np.arange(len(some) + 1))).tolist()
+            yield from map(ids.__getitem__, map(slice, ends, ends[1:]))
+
+    def _any(self, stretch: str) -> bytes:
         return b"".join(self._spelled(word) for word, _ in self.split(" " + stretch))
 
     def _stretches(self, new: list[str]) -> list[bytes]:
         if any(not s or s[0].isspace() for s in new):
             raise _Odd
-        return [self._stretch(s) for s in new]
+        stems = [s.rstrip(MARKS) for s in new]
+        known = self.words.of((w for w in stems if w.isalpha()), self._words)
+        tails = self.tails.of((s[len(w) :] for s, w in zip(new, stems, strict=True) if s != w and w.isalpha()), lambda t: map(self._spelled, t))
+        return [known[w] + (tails[s[len(w) :]] if s != w else b"") if w.isalpha() else self._any(s) for s, w in zip(new, stems, strict=True)]
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
