@@ -33,6 +33,9 @@ BASE, FIELD = ("assign", "access", "hex"), "field"
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS, _HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]{16,}")
 _KEYWORD = re.compile(r"(?ai)password|passwd|pwd|secret|token|api[_-]?key|credential|private[_-]?key|access[_-]?key")
+#: All that the two patterns above can begin with, in lower case; a place that holds none of them can't match.
+_ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+_KEYWORD_NAMES = (*_ASSIGN_NAMES, "pwd", "api-key", "credential", *(f"{a}{b}key" for a in ("private", "access") for b in ("", "_", "-")))
 #: Documents of the training sample, characters read of each, and tokens on either side of a labelled one.
 TRAIN_DOCS, TRAIN_CHARS, AROUND = 600, 20_000, 12
 BLOCK = 1 << 19
@@ -46,9 +49,25 @@ SEEN = (0, -1, -2, -3, 1)
 _STEEPEST = 1.0
 
 
+def _named(pattern: re.Pattern, names: tuple[str, ...], text: str) -> Iterator[re.Match]:
+    """What ``pattern.finditer`` gives, tried only where ``text`` holds one of ``names``, in either case."""
+    low = text.replace("\u0130", " ").lower()  # the one letter whose lower case is longer
+    places = []
+    for name in names:
+        at = low.find(name)
+        while at >= 0:
+            places.append(at)
+            at = low.find(name, at + 1)
+    end = 0
+    for at in sorted(places):
+        if at >= end and (m := pattern.match(text, at)):
+            end = m.end()
+            yield m
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """Start, kind number and end of each base match, in order."""
-    out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+    out = [(m.start(), 0, m.end()) for m in _named(_ASSIGN, _ASSIGN_NAMES, text) if m.end(2) - m.start(2) >= 12]
     out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     return sorted(out)
@@ -102,7 +121,7 @@ class Tokens:
         turn = np.digitize(turns[self.ends] - turns[np.minimum(self.starts + 1, self.ends)], (1, 3, 6))
         shape = (lower > 0) * 8 + (upper > 0) * 4 + (digit > 0) * 2 + marks * 1
         key = np.zeros(len(self.starts), np.int64)
-        for m in _KEYWORD.finditer(self.text):
+        for m in _named(_KEYWORD, _KEYWORD_NAMES, self.text):
             key[np.searchsorted(self.starts, m.start(), "right") - 1] = 1
         kinds = ((shape * 8 + np.digitize(length, (2, 4, 8, 12, 16, 24, 40))) * 4 + turn) * 2 + key
         at = np.flatnonzero(cls[self.starts] == 5)
