@@ -1,8 +1,9 @@
 """Coupling of candidates and average-linkage clusters.
 
 Pairs are never rows: blocks of vectors meet as matrices, and what leaves a block is a histogram, a degree or, for clusters, a
-merge list. Agglomeration is sequential by nature, so it runs once for each haul (one group of at most ``MOST`` members,
-checked beforehand); hauls run side by side.
+merge list. Agglomeration is sequential by nature, so it runs once for each haul; hauls run side by side. A haul of at most
+``MOST`` members is agglomerated over its matrix; a larger one by nearest-neighbour chains over vector sums, whose memory
+grows with its members, not with their pairs. Both are exact, and the time of both grows with the square of the members.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 
-#: Vectors of a block; members of a haul that can be agglomerated (their matrix takes 8 bytes a pair).
+#: Vectors of a block; members of a haul that is agglomerated over its matrix (8 bytes a pair).
 BLOCK, MOST = 1024, 8000
 #: Cuts of the sweep: 0.20 to 0.70 by 0.005.
 CUTS = [k / 200 for k in range(40, 141)]
@@ -140,18 +141,58 @@ def agglomerate(sims: np.ndarray) -> list[tuple[int, int, float]]:
     return merges
 
 
+def chained(vectors: np.ndarray) -> list[tuple[int, int, float]]:
+    """The merges of ``agglomerate`` without its matrix, by nearest-neighbour chains.
+
+    The mean similarity of two groups is the inner product of their vector sums over the product of their sizes. Average
+    linkage never makes a group more alike to a third than the more alike of its parts was, so groups that are each other's
+    nearest merge in any order; the merges are then sorted. Only where similarities tie may other groups of the same
+    likeness come first.
+    """
+    n = len(vectors)
+    sums, sizes, names = vectors.astype(float).copy(), np.ones(n), np.arange(n)
+    at, live, left = np.arange(n), np.ones(n, bool), n  # places of names; places that hold a group
+    height, found = np.full(n, np.inf), []
+    chain: list[tuple[int, float]] = []  # names, with the similarity to the one before
+    while left > 1:
+        if not chain:
+            chain.append((int(names[live.argmax()]), -np.inf))
+        tip, last = chain[-1]
+        i = at[tip]
+        sims = sums @ sums[i]
+        sims /= sizes * sizes[i]
+        sims[~np.isfinite(sims)] = -2  # vectors that are not finite come last
+        sims[~live] = -np.inf
+        sims[i] = -np.inf
+        j = int(sims.argmax())
+        if sims[j] > last and all(names[j] != c for c, _ in chain):
+            chain.append((int(names[j]), float(sims[j])))
+            continue
+        # the tip and the one before it are each other's nearest
+        chain.pop()
+        a, b = sorted((tip, chain.pop()[0]))
+        height[a] = min(last, height[a], height[b])  # a merge comes after those of its parts, whatever the rounding
+        found.append((a, b, float(height[a])))
+        sums[at[a]] += sums[at[b]]
+        sizes[at[a]] += sizes[at[b]]
+        live[at[b]] = False
+        left -= 1
+        if 2 * left < len(live):
+            sums, sizes, names = sums[live], sizes[live], names[live]
+            live = np.ones(left, bool)
+            at[names] = np.arange(left)
+    return sorted(found, key=lambda m: -m[2])
+
+
 def merges(rows: DataFrame, haul: str, key: str, vector: str = "vector") -> DataFrame:
     """Each haul's merge list: ``haul, merge_no, a, b, sim`` with members by key."""
-    sizes = rows.groupBy(haul).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if sizes > MOST:
-        raise ValueError(f"a haul of {sizes} is more than one task can agglomerate ({MOST}); cap or split hauls first")
     own = rows.where(F.col(vector).isNotNull()).select(haul, F.col(key).cast("long").alias("id"), vectors.unit(vectors.doubles(F.col(vector))).alias("v"))
     kind = rows.schema[haul].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
         ids, data = group.id.to_numpy(), np.array(group.v.tolist())
-        found = agglomerate(data @ data.T)
+        found = agglomerate(data @ data.T) if len(data) <= MOST else chained(data)
         return pd.DataFrame({haul: group[haul].iloc[0], "merge_no": range(len(found)), "a": [ids[a] for a, _, _ in found], "b": [ids[b] for _, b, _ in found], "sim": [s for *_, s in found]})
 
     return own.groupBy(haul).applyInPandas(run, f"{haul} {kind}, merge_no int, a long, b long, sim double")
