@@ -4,8 +4,9 @@ Each stage works on all that the stage before it kept, written as Parquet and re
 columns of ``documents``; the last returns the packed pieces.
 
 * language: documents without a language (null text, or none of its characters is a letter) go.
-* near duplicates: one document of each group of near copies stays, the one of the smallest id (of repeated rows of
-  that id, one); documents without words stay.
+* near duplicates: one document of each group of near copies stays, the one of the smallest id (of several texts of
+  that id, the one of the least digest; of repeated rows, one); documents without words stay. Rows are told apart by id
+  and text, so a repeated id loses only the texts that are near copies.
 * secrets: spans are masked in the text, whose ``n_chars`` is counted again; no document goes.
 * packing: whole texts as token sequences of 2048.
 
@@ -35,12 +36,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (five-word shingles, likeness 0.8 or more)."""
-    found = op5_minhash.near_duplicates(docs, shingle=5, percent=80)
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    digest = F.unhex(F.sha2("text", 256))
+    found = op5_minhash.near_duplicates(docs, shingle=5, percent=80, mark=digest)
+    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    kept = docs.withColumn("__text", digest).join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__text") == F.col("__mark")), "left_anti")
     twice = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    once = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_anti")
-    several = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_semi").withColumn("__text", F.sha2("text", 256))
+    once = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_anti").drop("__text")
+    several = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_semi")
     first = Window.partitionBy("doc_id", "__text").orderBy("__text")
     return once.unionByName(several.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__text"))
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import write_table
@@ -95,8 +95,8 @@ def _sketched(n: int):
                 sketch = [np.array(of[i], np.uint64).tobytes() if i in of else None for i in range(len(sets))]
                 node = [_node(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(sketch, pa.binary())],
-                    ["doc_id", "n_shingles", "node", "sketch"],
+                    [*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(sketch, pa.binary())],
+                    [*batch.schema.names[:-1], "n_shingles", "node", "sketch"],
                 )
 
     return run
@@ -246,11 +246,16 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``. Links: 100 x intersection >= percent x union."""
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = chosen.schema["doc_id"].dataType.simpleString()
+    """One row per document: ``doc_id, n_shingles, component_id, kept``. Links: 100 x intersection >= percent x union.
+
+    With a binary ``mark`` that tells texts of one id apart, there is a column ``mark`` and of a component's rows of the least
+    id only those of the least mark are kept.
+    """
+    marks = [] if mark is None else [mark.alias("mark")]
+    chosen = docs.select(F.col(id_col).alias("doc_id"), *marks, F.col(text_col).cast("string").alias("text"))
+    kind = chosen.schema["doc_id"].dataType.simpleString() + ", mark binary" * len(marks)
     sketched = write_table(chosen.mapInArrow(_sketched(shingle), f"doc_id {kind}, n_shingles long, node binary, sketch binary"), "sketches")
     nodes = sketched.where("node is not null").groupBy("node").agg(F.any_value("sketch").alias("sketch"))
     keyed = write_table(nodes.mapInArrow(_keyed, "node binary, small binary, keys array<long>"), "keys")
@@ -289,10 +294,12 @@ def near_duplicates(
     blocked = rows.repartition("label", "part").sortWithinPartitions("label", "part", F.desc("member"))
     last = components(blocked.mapInArrow(_decide(percent), "a binary, b binary"), "links")
 
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark")) if marks else F.col("doc_id")
     of = write_table(
-        sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(last, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least"), "labels"
+        sketched.where("node is not null").groupBy("node").agg(F.min(own).alias("least")).join(last, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least"), "labels"
     )
-    ids = of.join(of.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
+    ids = of.join(of.groupBy("label").agg(F.min("least").alias("first")), "label").select("node", "first")
     out = sketched.drop("sketch").join(ids, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first")["doc_id"] if marks else F.col("first"))
+    kept = F.when(F.col("node").isNull(), F.col("doc_id").isNotNull()).otherwise(F.coalesce(own == F.col("first"), F.lit(False)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *["mark"] * len(marks))

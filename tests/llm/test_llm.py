@@ -425,6 +425,15 @@ def test_stages_on_odd_rows(spark, odd, none):
     assert masked[5].text == 'a [SECRET]" b' and masked[5].n_chars == len(masked[5].text) and masked[11].text == ODD[-1][1] and masked[1].text is None
 
 
+def test_repeated_ids_lose_only_near_copies(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*base[:-1], "end"]), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, " ".join(base)), (2, near), (2, other), (3, "q " * 30 + "one"), (3, "q " * 30 + "One"), (4, other + " more"), (5, " ".join(f"u{i}" for i in range(30))), (5, " ".join(f"t{i}" for i in range(30)))]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF_DIR)
+    left = [tuple(r) for r in got.collect()]
+    assert got.columns == ["doc_id", "text"] and sorted(r for r in left if r[0] != 3) == sorted([rows[0], rows[2], rows[6], rows[7]]) and sum(r[0] == 3 for r in left) == 1
+
+
 def test_pipeline(spark):
     got = corpus_pipeline.run(spark, SF_DIR)
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
