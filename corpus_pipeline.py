@@ -3,7 +3,8 @@
 Each stage works on all that the stage before it kept, written as Parquet and read again. The first three return the
 columns of ``documents``; the last returns the packed pieces.
 
-* language: documents without a language (null text, or none of its characters is a letter) go.
+* language: documents without a language (null text, or none of its characters is a letter) go. If no row is labelled,
+  no language can be told apart and all other texts stay.
 * near duplicates: one document of each group of near copies stays, the one of the smallest id (of several texts of
   that id, the one of the least digest; of repeated rows, one); documents without words stay. Rows are told apart by id
   and text, so a repeated id loses only the texts that are near copies.
@@ -29,8 +30,10 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is known; learned from the labelled rows of the same documents."""
+    """Keeps documents whose language is known, or that have a letter if there is no labelled row to learn from."""
     model = op2_language.learn(docs)
+    if not model:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return docs.where(op2_language.language(model, F.col("text")).getField("lang_pred") != op2_language.UNKNOWN)
 
 

@@ -425,6 +425,12 @@ def test_stages_on_odd_rows(spark, odd, none):
     assert masked[5].text == 'a [SECRET]" b' and masked[5].n_chars == len(masked[5].text) and masked[11].text == ODD[-1][1] and masked[1].text is None
 
 
+def test_unlabelled_corpus_stays(spark, odd):
+    blank = corpus_pipeline.language(spark, odd.withColumn("lang", F.lit(None).cast("string")), SF_DIR)
+    known = corpus_pipeline.language(spark, odd, SF_DIR)
+    assert sorted(map(str, blank.collect())) == sorted(str(r).replace("lang='clash'", "lang=None") for r in known.collect()) and blank.count() == 9
+
+
 def test_repeated_ids_lose_only_near_copies(spark):
     base = [f"w{i}" for i in range(60)]
     near, other = " ".join([*base[:-1], "end"]), " ".join(f"v{i}" for i in range(40))
