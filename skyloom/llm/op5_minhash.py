@@ -8,8 +8,8 @@ Nodes meet in buckets of equal keys. A bucket's nodes whose sketches leave a lin
 bucket never yields more ties than nodes; ties of all buckets form candidate groups. Within a group every pair is
 decided exactly, though no pair is ever a row: the group's sets are cut into blocks of bounded size, and each node is held against
 every block by an inverted index over the block's shingles. Only links that join what was apart leave a block.
-Buckets beyond ``BUCKET`` nodes are dealt into parts by another hash for each key; two nodes of a large group share
-parts of some of their many common buckets, and the group's blocks hold all of them again.
+Buckets beyond ``BUCKET`` nodes are dealt into parts by another hash for each key. Their sketches aren't compared: one node
+is in every part and all nodes of a part are tied, so the whole bucket is in one group, whose blocks decide every pair.
 
 Null or wordless texts have an empty set and link with nothing. Repeated rows and repeated ids each get their row; a null id
 is never a component's id unless it has no other, and is not kept. An empty table gives an empty one; other columns are
@@ -34,7 +34,7 @@ from .textarrays import blocks, mix, ngrams, pack, unpack, words
 BANDS, ROWS = 8, 2
 #: A pair is a candidate if so many of the 32 minhashes agree; a pair of likeness 0.8 does all but once in 50,000.
 AGREE = 16
-#: Nodes of a bucket, and shingles of a block, that are compared in one task at a time.
+#: Nodes of a bucket whose sketches are compared, and shingles of a block that is decided, in one task at a time.
 BUCKET, BLOCK = 2000, 1_000_000
 TEXT_BLOCK = 1 << 20
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -137,10 +137,18 @@ def _small(table: pa.Table) -> np.ndarray:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties within each bucket: a spanning forest of the nodes whose sketches leave a link possible."""
+    """Ties within each bucket: a spanning forest of the nodes whose sketches leave a link possible.
+
+    A part of a divided bucket is tied as a whole.
+    """
     out: set[tuple[bytes, bytes]] = set()
     for table in _groups(batches):
-        names, small = table.column("node").to_pylist(), _small(table)
+        names = table.column("node").to_pylist()
+        if table.column("divided")[0].as_py():
+            least = min(names)
+            out.update((least, name) for name in names if name != least)
+            names = []
+        small = _small(table)
         order = np.array(sorted(range(len(names)), key=names.__getitem__))
         while len(order):  # a tree from the least name that is left
             todo, order = [order[0]], order[1:]
@@ -260,13 +268,15 @@ def near_duplicates(
     nodes = sketched.where("node is not null").groupBy("node").agg(F.any_value("sketch").alias("sketch"))
     keyed = write_table(nodes.mapInArrow(_keyed, "node binary, small binary, keys array<long>"), "keys")
     spread = keyed.select("node", F.explode("keys").alias("key"))
-    crowded = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cut = F.when(F.col("n") > BUCKET, F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / (BUCKET // 2)))).otherwise(0)
-    met = spread.join(crowded, "key").select("key", cut.cast("int").alias("cut"), "node")
+    crowded = spread.groupBy("key").agg(F.count("*").alias("n"), F.min(F.xxhash64("node")).alias("least")).where("n > 1")
+    parts, divided = F.ceil(F.col("n") / (BUCKET // 2)), F.col("n") > BUCKET
+    everywhere = F.when(F.xxhash64("node") == F.col("least"), F.sequence(F.lit(0).cast("long"), parts - 1))
+    cut = F.when(divided, F.coalesce(everywhere, F.array(F.pmod(F.xxhash64("key", "node"), parts)))).otherwise(F.array(F.lit(0).cast("long")))
+    met = spread.join(crowded, "key").select("key", F.explode(cut.cast("array<int>")).alias("cut"), "node", divided.alias("divided"))
     mates = write_table(met.join(keyed.select("node", "small"), "node"), "mates")
 
     by_bucket = mates.repartition("key", "cut").sortWithinPartitions("key", "cut")
-    ties = by_bucket.select("key", "cut", "node", "small").mapInArrow(_forest, "a binary, b binary")
+    ties = by_bucket.select("key", "cut", "node", "small", "divided").mapInArrow(_forest, "a binary, b binary")
     grouped = write_table(components(ties, "ties"), "groups")
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
