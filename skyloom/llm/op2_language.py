@@ -3,7 +3,8 @@
 A suffix automaton of labelled text is built for each language. Reading a text through it from the start yields phrases, each
 the longest match of the training text from where the last one ended; the language whose automaton needs the fewest
 phrases for each letter wins, ties going to the first name. Whole texts are read: a batch is cut into rows of ``ROW``
-letters that go through each automaton's table in step, so no text is a loop of its own.
+letters that go through each automaton's table in step, so no text is a loop of its own. A row is first read as if a phrase
+began with it; then its beginning is read again from where the row before it ended, until both readings meet.
 
 A text is null or has no letter: language ``und``, score 0. The score is how far the best language is ahead of the second,
 as a share of the second's phrases (1 where only one language was learned). Without labelled rows all texts are ``und``.
@@ -82,15 +83,37 @@ class Automaton:
                 self.table[state, c] = to * size
         self.table = self.table.ravel()
 
-    def phrases(self, rows: np.ndarray) -> np.ndarray:
-        """Phrases in each column of ``rows`` (symbols by place); symbol 0 is padding and adds none."""
-        state, count, first = np.zeros(rows.shape[1], np.int32), np.zeros(rows.shape[1], np.int64), self.table
-        for symbols in rows:
-            to = first[state + symbols]
-            over = to == 0
-            count += (over | (state == 0)) & (symbols > 0)  # at the root a phrase has yet to begin
-            state = np.where(over, first[symbols], to)
-        return count
+    def _step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase begins."""
+        to = self.table[state + symbols]
+        over = to == 0
+        begun = (over | (state == 0)) & (symbols > 0)  # at the root a phrase has yet to begin
+        return np.where(over, self.table[symbols], to), begun
+
+    def phrases(self, rows: np.ndarray, goes_on: np.ndarray | None = None) -> np.ndarray:
+        """Phrases that begin in each column of ``rows`` (symbols by place); symbol 0 is padding and adds none.
+
+        A column that ``goes_on`` is read from the state that the column before it ends in.
+        """
+        states, begun = np.empty(rows.shape, np.int32), np.empty(rows.shape, bool)
+        state = np.zeros(rows.shape[1], np.int32)
+        for place, symbols in enumerate(rows):
+            states[place], begun[place] = state, _ = self._step(state, symbols)
+        again = np.zeros(0, int) if goes_on is None else np.flatnonzero(goes_on)
+        again = again[states[-1, again - 1] != 0]
+        while len(again):
+            state = states[-1, again - 1]
+            for place, symbols in enumerate(rows):
+                state, begun[place, again] = self._step(state, symbols[again])
+                apart = state != states[place, again]
+                again, state = again[apart], state[apart]
+                states[place, again] = state
+                if not len(again):
+                    break
+            # columns after those whose last state has changed
+            again = again[again + 1 < rows.shape[1]] + 1
+            again = again[goes_on[again]]
+        return np.count_nonzero(begun, axis=0)
 
 
 class Languages:
@@ -121,9 +144,11 @@ class Languages:
         symbols = np.ascontiguousarray(symbols.T)
         full = rows > 0
         at = (np.cumsum(rows) - rows)[full]
+        goes_on = np.ones(rows.sum(), bool)
+        goes_on[at] = False
         rates = np.full((len(self.automata), len(texts)), np.inf)
         for k, automaton in enumerate(self.automata):
-            rates[k, full] = np.add.reduceat(automaton.phrases(symbols), at) / sizes[full]
+            rates[k, full] = np.add.reduceat(automaton.phrases(symbols, goes_on), at) / sizes[full]
         best = rates.argmin(axis=0)
         ahead = np.ones(len(texts))
         if len(self.automata) > 1:

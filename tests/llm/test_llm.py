@@ -110,6 +110,18 @@ def test_phrases_against_brute_force():
         assert automaton.phrases(np.array(row, np.uint16)[:, None])[0] == brute_phrases(spell(train), spell(row))
 
 
+@pytest.mark.parametrize("letters", ["abcd", "a"])
+def test_long_texts_are_parsed_whole(letters):
+    rng = random.Random(2)
+    spell = lambda n, more="": "".join(rng.choice(letters + more) for _ in range(n))
+    train = {"x": spell(400), "y": spell(333)}
+    model = op2_language.Languages(tuple(train.items()))
+    texts = [spell(rng.randint(1, 1500), "e" * (k % 2)) for k in range(40)]
+    for text, name, score in zip(texts, *model.classify(texts), strict=True):
+        n = {k: brute_phrases(t, text) for k, t in train.items()}
+        assert name == min(n, key=n.get) and score == pytest.approx(abs(n["x"] - n["y"]) / max(n.values()))
+
+
 def test_language_odd(odd, none):
     model = (("de", "ein kurzer satz über nichts und wieder nichts"), ("en", "the same text twice over and over no id here at all word"))
     got = {r.doc_id: (r.lang_pred, r.score) for r in op2_language.identify(odd, model).collect()}
