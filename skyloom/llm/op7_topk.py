@@ -9,6 +9,8 @@ Vectors that are null or hold a null or non-finite component take no part, nor d
 count as padded with zeros; a query meets no row of its own id. Repeated candidate rows each count, ties going to the
 smaller id; repeated queries of one id must be equal vectors, else the best of them all are kept.
 An empty table gives an empty one; other columns are not read.
+A vector of a scaled squared length of 2^53 or more is no pivot and is scored with whole numbers of any size. What can't be
+answered is an error: squared lengths beyond float64, and a score among the best that doesn't fit into a long.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ PIVOTS = 48
 CANDIDATES, QUERIES = 8192, 1024
 #: Candidates whose scores are computed between two looks at the stopping rule.
 STEP = 512
-#: Beyond this the products of a float matrix could be inexact.
+#: Squared length from which the products of a float matrix could be inexact.
 EXACT = float(1 << 53)
+#: Stands for all scores below a long until they are known to be among the best.
+LOWEST = -(1 << 63)
 
 
 def _vectors(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
@@ -64,6 +68,19 @@ def search(query: np.ndarray, to_query: np.ndarray, own: int, ids: np.ndarray, x
     return [(int(s), i) for s, i in best], seen
 
 
+def search_large(query: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """The k best (score, id) of one query by whole numbers, which only candidates within a float's error of the best need."""
+    at = np.flatnonzero(ids != own)
+    if not len(at):
+        return []
+    near = x[at] @ query
+    error = (len(query) + 4) * 2.0**-51 * np.sqrt((x[at] * x[at]).sum(axis=1)) * np.sqrt(query @ query)
+    least = np.sort(near - error)[-min(k, len(at))]
+    whole = [int(c) for c in query]
+    found = [(sum(int(a) * b for a, b in zip(x[i], whole, strict=True)), int(ids[i])) for i in at[near + error >= least]]
+    return sorted(found, key=lambda b: (-b[0], b[1]))[:k]
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows that ``is_query`` picks, against all rows but the query's own id.
 
@@ -72,14 +89,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     spark = vectors.sparkSession
     own = F.col(vector_col).cast("array<double>")
     good = F.col(id_col).isNotNull() & own.isNotNull() & F.forall(own, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform(own, lambda x: F.floor(F.lit(float(scale)) * x).cast("double"))
+    scaled = F.transform(own, lambda x: F.lit(float(scale)) * x)
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x))  # larger ones are whole
     chosen = vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"), is_query.alias("asks"))
-    stats = chosen.agg(F.max(F.size("v")), F.max(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)"))).first()
+    square = F.expr("aggregate(v, 0D, (s, x) -> s + x * x)")
+    stats = chosen.agg(F.max(F.size("v")), F.max(square)).first()
     width, largest = int(stats[0] or 0), float(stats[1] or 0)
-    if largest >= EXACT:
-        raise ValueError("scaled components are too large for exact products")
+    if largest == float("inf"):
+        raise ValueError("a squared length is beyond float64")
     pivots = np.zeros((0, width))
-    found = chosen.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()  # a fixed number of rows
+    ordinary = chosen.where(square < EXACT) if largest >= EXACT else chosen
+    found = ordinary.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()  # a fixed number of rows
     if found:
         pivots = np.array([[*r.v, *[0.0] * (width - len(r.v))] for r in found])
     sent = spark.sparkContext.broadcast(pivots)
@@ -108,10 +128,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         pivots, out = sent.value, []
         (ids, x), (names, q) = loaded(left), loaded(right)
+        small = (x * x).sum(axis=1) < EXACT
+        large_ids, large = ids[~small], x[~small]
+        all_ids, every = ids, x
+        if len(large):
+            ids, x = ids[small], x[small]
         norms, to_pivots, to_query = (x * x).sum(axis=1), _distances(x, pivots), _distances(q, pivots)
         for i, name in enumerate(names.tolist()):
-            best, _ = search(q[i], to_query[i], name, ids, x, norms, to_pivots, k)
-            out += [(name, c, s) for s, c in best]
+            if q[i] @ q[i] >= EXACT:
+                best = search_large(q[i], name, all_ids, every, k)
+            else:
+                best, _ = search(q[i], to_query[i], name, ids, x, norms, to_pivots, k)
+                best += search_large(q[i], name, large_ids, large, k)
+            out += [(name, c, max(s, LOWEST)) for s, c in best]
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
@@ -123,4 +152,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     right = right.toDF("to", "by", "ids", "block")
     scored = left.groupBy("place", "number").cogroup(right.groupBy("to", "by")).applyInArrow(answer, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    score = F.when(F.col("score") == LOWEST, F.raise_error(F.lit("a score doesn't fit into a long")).cast("long")).otherwise(F.col("score"))
+    return best.select("query_id", "rank", "vec_id", (score if largest >= EXACT else F.col("score")).alias("score"))

@@ -360,6 +360,27 @@ def test_top_k(spark):
     assert op7_topk.top_k(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_of_large_vectors(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(300, 6)).round(2)
+    v[80] = np.abs(v[80])
+    v[11], v[40], v[80], v[81] = 4e5 * v[11], 1e6 * v[40], 3e6 * v[80], 3e6 * v[80]
+    v[81, 0] += 1 / 256
+    v[100] = 0
+    v[100, 0] = -1e30
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    whole = [[int(np.floor(256 * c)) for c in x] for x in v]
+    dot = lambda a, b: sum(s * t for s, t in zip(whole[a], whole[b], strict=True))
+    asked = [q for q in range(0, 300, 20) if v[q, 0] > 0 and max(dot(q, i) for i in range(300) if i != q) < 2**63]
+    assert len(asked) > 4 and 80 in asked
+    got = {}
+    for r in op7_topk.top_k(df, F.col("vec_id").isin(asked), k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in asked:
+        best = sorted((-dot(q, i), i) for i in range(300) if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
 def test_pivots_save_work():
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(c, 1, (200, 4)).round() for c in (0, 200, 400, 600, 800)])
