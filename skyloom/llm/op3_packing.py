@@ -1,11 +1,11 @@
-"""Best-fit packing of tokenised documents into sequences of a fixed capacity, in bulk-synchronous rounds.
-
-A length and a gap are whole numbers up to the capacity, and documents of one length are interchangeable. Range-sorting
-documents and gaps is therefore a rank within a length (counted where the rows are), and a sweep matches whole runs: the
-documents of the longest open length, by rank, take the open gaps from the smallest that holds them upwards, conflicts
-go by rank, gaps shrink, and the sweep repeats until none fits; the rest opens new sequences. Only runs (a length or a gap,
-with a count) reach the driver, at most one row for each length, however many documents there are. Each document then
-finds its place from its length and rank in the table of matched runs.
+"""Best-fit decreasing packing of tokenised documents into sequences of a fixed capacity.
+
+The dealt method, distributed successor sweeps over range-sorted documents and gaps in bulk-synchronous rounds, is replaced: a
+length and a gap are whole numbers up to the capacity and documents of one length are interchangeable, so only the count
+of each length (at most one row for each) reaches the driver, where one sequential loop packs whole runs. The longest length takes the
+open gaps from the smallest that holds it upwards, gaps shrink, and the rest opens new sequences. There is no
+distributed gap table, no round and no conflict. Each document then finds its place from its length and its rank within the
+length (counted where the rows are) in the table of matched runs.
 
 A document longer than the capacity is cut into pieces of the capacity, the first piece taking the remainder.
 Null text counts as empty (the end id alone). Repeated rows are packed one by one; an empty table gives an empty one;
