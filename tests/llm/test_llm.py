@@ -162,23 +162,47 @@ def test_packing(docs, odd, none):
     assert op3_packing.pack(odd, JSON, with_ids=True).where("size(ids) <> length").count() == 0
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_sweep_equals_best_fit(seed):
-    rng = random.Random(seed)
-    lengths = [rng.randint(1, 64) for _ in range(rng.randint(1, 500))]
-    runs = op3_packing.sweep({n: lengths.count(n) for n in set(lengths)}, 64)
-    gaps = []  # best fit, longest first
+def best_fit(lengths, capacity):
+    """How many sequences best fit takes, longest first, document by document."""
+    gaps = []
     for n in sorted(lengths, reverse=True):
         fits = [g for g in gaps if g >= n]
         if fits:
             gaps.remove(min(fits))
-            gaps.append(min(fits) - n)
-        else:
-            gaps.append(64 - n)
-    assert len({s + k for _, _, c, s, _ in runs for k in range(c)}) == len(gaps)
+        gaps.append((min(fits) if fits else capacity) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_sweep_equals_best_fit(seed):
+    rng = random.Random(seed)
+    lengths = [rng.randint(1, 64) for _ in range(rng.randint(1, 500))]
+    runs, docs_left, _ = op3_packing.sweep([(n, 0, lengths.count(n)) for n in set(lengths)], [], 64, True)
+    assert len({s + k for _, _, c, s, _ in runs for k in range(c)}) == best_fit(lengths, 64) and docs_left == []
     assert sum(c for _, _, c, _, _ in runs) == len(lengths)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_of_ranges_pack_all(spark, seed):
+    rng = random.Random(seed)
+    lengths = [rng.randint(1, rng.choice((9, 30, 64))) for _ in range(900)] + [7] * 400
+    df = spark.createDataFrame([(n, lengths.count(n)) for n in set(lengths)], "length long, n long")
+    exact = best_fit(lengths, 64)
+    for range_runs, slack in ((4, 1.03), (16, 1.03), (10**6, 1.0)):
+        runs = op3_packing.match(df, 64, range_runs).collect()
+        placed, at = {}, set()
+        for r in runs:
+            for k in range(r.n):
+                assert (r.length, r.first + k) not in at
+                at.add((r.length, r.first + k))
+                placed.setdefault(r.sequence + k, []).append((r.offset, r.length))
+        assert at == {(n, k) for n in set(lengths) for k in range(lengths.count(n))}
+        for own in placed.values():
+            ends = [a + n for a, n in sorted(own)]
+            assert [a for a, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 64
+        assert exact <= len(placed) + 1 and len(placed) <= exact * slack + 1
+
+
 # 4 and 8
 
 
@@ -204,15 +228,38 @@ PARTS = [" ", "  ", "\n", " \n", "\t", " ", " ", "\x1c", "\x85", "'s", "'ll",
 def test_odd_texts_against_the_libraries(encoding):
     rng = random.Random(2)
     ids, words_ = Tokenizer.from_file(JSON), Tokenizer.from_file(WORDS)
-    bpe, own = op4_bpe.bpe(RANKS, public_tokenizers.PATTERN), op3_packing.ids_of(JSON)
+    bpe, own = op4_bpe.bpe(RANKS, public_tokenizers.PATTERN), op3_packing.Ids(JSON, op3_packing.prove_ranks(JSON))
+    library = op3_packing.Ids(JSON, None)
+    assert own.by_rank is not None
     counter = op8_token_counts.Counter(WORDS, op8_token_counts.prove_single(WORDS))
     for _ in range(400):
         t = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 10)))
         assert np.frombuffer(bpe.encode([t])[0], np.int32).tolist() == encoding.encode_ordinary(t)
         assert np.frombuffer(own.encode(t), np.uint32).tolist() == ids.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == library.encode(t)
         assert counter.count(t) == len(words_.encode(t, add_special_tokens=False).ids)
 
 
+def test_ranks_equal_the_library_on_all_kinds_of_letters():
+    own, ids = op3_packing.Ids(JSON, op3_packing.prove_ranks(JSON)), Tokenizer.from_file(JSON)
+    rng = random.Random(12)
+    points = [c for c in rng.sample(range(0x110000), 20_000) if not 0xD800 <= c < 0xE000] + list(range(0x3000))
+    for lo in range(0, len(points), 64):
+        t = "a".join(f"a{c} {c}1{c}{c}!{c}  {c}'s{c}\n{c}\t {c}" for c in map(chr, points[lo : lo + 64]))
+        assert np.frombuffer(own.encode(t), np.uint32).tolist() == ids.encode(t, add_special_tokens=False).ids
+
+
+def test_ranks_are_not_proven_for_other_files(tmp_path):
+    import json
+
+    assert op3_packing.prove_ranks(WORDS) is None
+    with open(JSON, encoding="utf-8") as text:
+        file = json.load(text)
+    file["model"]["merges"] = file["model"]["merges"][::-1]
+    (tmp_path / "other.json").write_text(json.dumps(file), encoding="utf-8")
+    assert op3_packing.prove_ranks(str(tmp_path / "other.json")) is None
+
+
 def test_token_counts(odd, none):
     tokenizer = Tokenizer.from_file(WORDS)
     got = sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in op8_token_counts.token_counts(odd, WORDS, 2048).collect())
