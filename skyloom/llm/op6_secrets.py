@@ -5,8 +5,9 @@ begin, inside or outside from its own shape, the shapes of three tokens before a
 and features of the whole file. The field is trained here, on a bounded sample of documents in which the base patterns
 and secrets made by rule are the labels. Base spans always stay; runs that the field tags are added where they overlap none.
 
-Decoding is exact but mostly skipped: a token whose outside score leads by more than all transitions around it could return
-is outside on every best path, so Viterbi only runs over what lies between such tokens.
+Decoding is exact and costs the same whatever the weights and lengths of texts are: all tokens of a block are one chain, cut into
+rows of ``ROW`` tokens. The best scores from each label before a row to each label at its end are found for all rows in
+step, the rows are chained, and the path within each row is traced for all rows in step.
 
 Null text counts as empty (no spans). Repeated rows and null ids stay; an empty table gives an empty one, and teaches the
 field from rule-made lines alone; other columns are not read.
@@ -36,8 +37,10 @@ _KEYWORD = re.compile(r"(?ai)password|passwd|pwd|secret|token|api[_-]?key|creden
 #: All that the two patterns above can begin with, in lower case; a place that holds none of them can't match.
 _ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _KEYWORD_NAMES = (*_ASSIGN_NAMES, "pwd", "api-key", "credential", *(f"{a}{b}key" for a in ("private", "access") for b in ("", "_", "-")))
-#: Documents of the training sample, characters read of each, and tokens on either side of a labelled one.
-TRAIN_DOCS, TRAIN_CHARS, AROUND = 600, 20_000, 12
+#: Tokens on either side of a labelled one that are learned from, and tokens of a row that is decoded in step with others.
+AROUND, ROW = 12, 64
+#: Runs of tagged tokens with fewer characters are no secrets.
+SHORTEST = 8
 BLOCK = 1 << 19
 OUT, BEGIN, INSIDE = 0, 1, 2
 _MARKS = {'"': 0, "'": 0, "`": 0, ":": 1, "=": 2}
@@ -46,7 +49,6 @@ _EDGE = _PUNCT + 4
 KINDS, FILES = _EDGE + 1, 16
 #: Positions whose kinds a token sees, as distances from it.
 SEEN = (0, -1, -2, -3, 1)
-_STEEPEST = 1.0
 
 
 def _named(pattern: re.Pattern, names: tuple[str, ...], text: str) -> Iterator[re.Match]:
@@ -165,37 +167,46 @@ class Field:
         return out
 
     def decode(self, e: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The best labels of all sequences, which begin at ``starts``."""
-        n, labels = len(e), np.zeros(len(e), np.int8)
+        """The best labels of all sequences, which begin at ``starts``; each is entered as if from outside."""
+        n = len(e)
         if not n:
-            return labels
-        reach = self.steps[np.isfinite(self.steps)]
-        back = 3 * (reach.max() - reach.min()) + max(0.0, float((e[:, INSIDE] - e[:, BEGIN]).max()))
-        open_ = e[:, OUT] - np.maximum(e[:, BEGIN], e[:, INSIDE]) <= back
-        head = np.zeros(n, bool)
+            return np.zeros(0, np.int8)
+        rows = -(-n // ROW)
+        head = np.zeros(rows * ROW, bool)
         head[starts[starts < n]] = True
-        begin = np.flatnonzero(open_ & (head | ~np.concatenate(([False], open_[:-1]))))
-        if not len(begin):
-            return labels
-        closed = np.flatnonzero(np.concatenate((~open_ | head, [True])))
-        end = closed[np.searchsorted(closed, begin, "right")]
-        order = np.argsort(begin - end, kind="stable")  # longest first, so those at work stay in front
-        begin, size = begin[order], (end - begin)[order]
-        # a window is entered from outside (or a text's start) and left to outside, both with the same scores
-        score = e[begin] + self.steps[OUT]
-        came = np.zeros((int(size[0]), len(begin), 3), np.int8)
-        for t in range(1, int(size[0])):
-            m = int(np.searchsorted(-size, -t, "left"))
-            paths = score[:m, :, None] + self.steps
-            came[t, :m] = paths.argmax(axis=1)
-            score[:m] = paths.max(axis=1) + e[begin[:m] + t]
-        last = (score + np.where(head[np.minimum(begin + size, n - 1)][:, None] | (begin + size == n)[:, None], 0, self.steps[:, OUT])).argmax(axis=1)
-        for t in range(int(size[0]) - 1, -1, -1):
-            m = int(np.searchsorted(-size, -t, "left"))
-            labels[begin[:m] + t] = last[:m]
+        head[n:] = True
+        scores = np.zeros((rows * ROW, 3))
+        scores[:n] = e
+        head, scores = np.ascontiguousarray(head.reshape(rows, ROW).T), np.ascontiguousarray(scores.reshape(rows, ROW, 3).transpose(1, 2, 0))
+        fresh = np.broadcast_to(self.steps[OUT], (3, 3))
+        # by place: from label, to label, row
+        step = [np.where(head[t], fresh[..., None], self.steps[..., None]) if head[t].any() else self.steps[..., None] for t in range(ROW)]
+        whole = step[0] + scores[0]
+        if whole.shape[2] != rows:
+            whole = np.repeat(whole, rows, axis=2)
+        for t in range(1, ROW):
+            whole = np.stack([(whole + step[t][:, k]).max(axis=1) + scores[t, k] for k in range(3)], axis=1)
+        best, came = (0.0, -np.inf, -np.inf), []
+        for row in whole.transpose(2, 1, 0).tolist():
+            paths = [[b + x for b, x in zip(best, to, strict=True)] for to in row]
+            best = [max(p) for p in paths]
+            came.append([p.index(b) for p, b in zip(paths, best, strict=True)])
+        ends = np.zeros(rows + 1, np.int64)
+        ends[rows] = best.index(max(best))
+        for w in range(rows - 1, -1, -1):
+            ends[w] = came[w][ends[w + 1]]
+        entry = np.where(head[0], self.steps[OUT][:, None], self.steps[ends[:-1]].T)
+        path, back = entry + scores[0], np.zeros((ROW, 3, rows), np.int8)
+        for t in range(1, ROW):
+            ways = path[:, None] + step[t]
+            back[t] = ways.argmax(axis=0)
+            path = ways.max(axis=0) + scores[t]
+        labels, label, every = np.zeros((ROW, rows), np.int8), ends[1:], np.arange(rows)
+        for t in range(ROW - 1, -1, -1):
+            labels[t] = label
             if t:
-                last[:m] = came[t, np.arange(m), last[:m]]
-        return labels
+                label = back[t, label, every]
+        return labels.T.ravel()[:n]
 
 
 def _spans(tokens: Tokens, labels: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -219,7 +230,7 @@ def find(field: Field, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     out = []
     for text, added in zip(texts, _spans(tokens, labels), strict=True):
         base = base_spans(text)
-        spans = base + [(a, 3, b) for a, b in added if not any(a < y and x < b for x, _, y in base)]
+        spans = base + [(a, 3, b) for a, b in added if b - a >= SHORTEST and not any(a < y and x < b for x, _, y in base)]
         out.append([((*BASE, FIELD)[k], a, b) for a, k, b in sorted(spans)])
     return out
 
@@ -227,37 +238,61 @@ def find(field: Field, texts: list[str]) -> list[list[tuple[str, int, int]]]:
 # training
 
 
-def _made(rng: random.Random) -> tuple[str, str]:
-    """A line with a secret made by rule, and one that only looks alike."""
-    letters, every = string.ascii_lowercase, string.ascii_letters + string.digits
+_LOWER, _EVERY = string.ascii_lowercase, string.ascii_letters + string.digits
+_NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "client_secret", "access_key", "auth_token", "credential", "pwd", "private_key")
+
+
+def made_secret(rng: random.Random) -> tuple[str, str, str]:
+    """What comes before a secret made by rule, the secret, and what comes after it."""
     word = lambda a, n: "".join(rng.choice(a) for _ in range(n))
     secret = rng.choice((
-        lambda: word("0123456789abcdef", rng.choice((32, 40, 64))), lambda: word(every, rng.randint(16, 48)), lambda: "AKIA" + word(string.ascii_uppercase + string.digits, 16),
-        lambda: base64.b64encode(rng.randbytes(rng.randint(12, 40))).decode().rstrip("="), lambda: word(letters, 2) + "_" + word(every, rng.randint(24, 40)), lambda: word(every + "_-", rng.randint(14, 30)),
+        lambda: word("0123456789abcdef", rng.choice((32, 40, 64))), lambda: word(_EVERY, rng.randint(16, 48)), lambda: "AKIA" + word(string.ascii_uppercase + string.digits, 16),
+        lambda: base64.b64encode(rng.randbytes(rng.randint(12, 40))).decode().rstrip("="), lambda: word(_LOWER, rng.randint(2, 4)) + "_" + word(_EVERY, rng.randint(24, 40)), lambda: word(_EVERY + "_-", rng.randint(14, 30)),
     ))()
-    name = rng.choice(("password", "passwd", "secret", "token", "api_key", "apikey", "client_secret", "access_key", "auth_token", "credential", "pwd"))
     quote = rng.choice(("", '"', "'"))
-    lead = name + rng.choice((" = ", ": ", "=", " : ")) + quote
-    plain = rng.choice((
-        lambda: f"{word(letters, 5)}.{rng.randint(1, 99)}@{word(letters, 5)}{rng.randint(1, 9)}.example.com", lambda: f"+{rng.randint(1, 99)} (555) {rng.randint(100, 999)}-{rng.randint(1000, 9999)}", lambda: f"version {rng.randint(1, 20)}.{rng.randint(0, 20)}",
-        lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda: f"https://{word(letters, 6)}.example.com/{word(letters, 4)}/{rng.randint(1, 99999)}.html", lambda: f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}",
-        lambda: f"the {name} of {word(letters, 6)}", lambda: word(letters, rng.randint(12, 30)), lambda: word(string.ascii_uppercase, rng.randint(4, 20)), lambda: f"{word(letters, 5)}-{word(letters, 7)}-{word(letters, 4)}", lambda: f"{name}: {word(letters, rng.randint(2, 7))}", lambda: f"{word(letters, 4)} = {rng.randint(0, 999)}",
+    return rng.choice(_NAMES) + rng.choice((" = ", ": ", "=", " : ", " is ")) + quote, secret, quote
+
+
+def made_plain(rng: random.Random) -> str:
+    """A line that looks like a secret's and holds none: addresses, numbers, dates, paths, names, key words in prose."""
+    word = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    name, any_case = rng.choice(_NAMES), string.ascii_letters
+    return rng.choice((
+        lambda: f"{word(_LOWER, rng.randint(3, 9))}.{rng.randint(1, 99)}@{word(_LOWER, rng.randint(4, 9))}{rng.randint(1, 9)}.example.{word(_LOWER, 3)}", lambda: f"+{rng.randint(1, 99)} (555) {rng.randint(100, 999)}-{rng.randint(1000, 9999)}",
+        lambda: f"{rng.randint(100, 999)}-{rng.randint(1000, 9999)}", lambda: f"version {rng.randint(1, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 200)}", lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        lambda: f"{rng.choice(('host', 'ip', 'server', name))} {'.'.join(str(rng.randint(0, 255)) for _ in range(4))}:{rng.randint(80, 9999)}", lambda: f"https://{word(_LOWER, 6)}.example.com/{word(_LOWER, rng.randint(3, 20))}/{rng.randint(1, 99999)}.html",
+        lambda: f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}:{rng.randint(10, 59)}", lambda: f"{rng.randint(10**5, 10**12)}", lambda: f"the {name} of {word(_LOWER, 6)}",
+        lambda: f"{name} {rng.choice(('is', 'for', 'and', 'was'))} {word(_LOWER, rng.randint(3, 18))}", lambda: word(any_case, rng.randint(12, 30)), lambda: word(string.ascii_uppercase, rng.randint(4, 20)),
+        lambda: "-".join(word(_LOWER, rng.randint(3, 8)) for _ in range(3)), lambda: "_".join(word(_LOWER, rng.randint(3, 8)) for _ in range(3)), lambda: f"{name}: {word(_LOWER, rng.randint(2, 12))}", lambda: f"{word(_LOWER, 4)} = {rng.randint(0, 999)}",
+        lambda: "/" + "/".join(word(_LOWER, rng.randint(3, 9)) for _ in range(4)), lambda: f"{word(_LOWER, 5)}{rng.randint(1, 999)}.{word(_LOWER, 3)}",
     ))()
-    return lead + "\0" + secret + "\0" + quote, plain
+
+
+def planted(rng: random.Random, text: str, secrets: int = 1, plain: int = 4) -> tuple[str, list[tuple[int, int]]]:
+    """``text`` with made lines put at its blanks, and the places of the made secrets."""
+    words = text.split(" ")
+    lines = [made_secret(rng) for _ in range(secrets)] + [("", "", made_plain(rng)) for _ in range(plain)]
+    before: dict[int, list] = {}
+    for line in lines:
+        before.setdefault(rng.randint(0, len(words)), []).append(line)
+    out, size, marked = [], 0, []
+    for k in range(len(words) + 1):
+        for lead, secret, rest in before.get(k, []):
+            if secret:
+                marked.append((size + len(lead), size + len(lead) + len(secret)))
+            out.append(lead + secret + rest)
+            size += len(out[-1]) + 1
+        if k < len(words):
+            out.append(words[k])
+            size += len(words[k]) + 1
+    return " ".join(out), marked
 
 
 def _examples(texts: list[str]) -> tuple[list[str], list[list[tuple[int, int]]]]:
-    """Training texts and the spans in them: base matches' values, and lines made by rule put between words."""
+    """Training texts and the spans in them: base matches' values, and secrets made by rule."""
     rng, out, spans = random.Random(7), [], []
-    texts = texts or ["the quick brown fox jumps over the lazy dog " * 3] * 200
-    for text in texts:
-        secret, plain = _made(rng)
-        own = text[:TRAIN_CHARS]
-        for new in (secret, plain):
-            blank = own.find(" ", rng.randrange(max(1, len(own))))
-            own = f"{own} {new}" if blank < 0 else f"{own[: blank + 1]}{new}{own[blank:]}"
-        a, b, c = own.split("\0") if own.count("\0") == 2 else (own.replace("\0", " "), "", "")
-        own, marked = a + b + c, [(len(a), len(a) + len(b))] if b else []
+    for text in texts or ["the quick brown fox jumps over the lazy dog " * 3] * 200:
+        own, marked = planted(rng, text)
         marked += [(m.start(2), m.end(2)) for m in _ASSIGN.finditer(own) if m.end(2) - m.start(2) >= 12]
         marked += [(x, y) for x, k, y in base_spans(own) if k]
         out.append(own)
@@ -265,7 +300,7 @@ def _examples(texts: list[str]) -> tuple[list[str], list[list[tuple[int, int]]]]
     return out, spans
 
 
-def fit(texts: list[str], rounds: int = 100, rate: float = 1.0, decay: float = 1e-6) -> Field:
+def fit(texts: list[str], rounds: int = 80, rate: float = 1.0, decay: float = 1e-6) -> Field:
     """Trains the field by gradient ascent on the likelihood of windows around labelled and random tokens."""
     texts, spans = _examples(texts)
     tokens = Tokens(texts)
@@ -276,7 +311,7 @@ def fit(texts: list[str], rounds: int = 100, rate: float = 1.0, decay: float = 1
             lo, hi = np.searchsorted(tokens.ends, tokens.offsets[t] + a, "right"), np.searchsorted(tokens.starts, tokens.offsets[t] + b, "left")
             labels[lo:hi] = INSIDE
             labels[lo : lo + (hi > lo)] = BEGIN
-    odd = np.flatnonzero((labels == BEGIN) | (np.random.default_rng(7).random(len(labels)) < min(1.0, 3 * len(texts) / max(1, len(labels)))))
+    odd = np.flatnonzero((labels == BEGIN) | (np.random.default_rng(7).random(len(labels)) < min(1.0, 8 * len(texts) / max(1, len(labels)))))
     width = 2 * AROUND
     at = np.clip(odd[:, None] - AROUND + np.arange(width), 0, len(labels) - 1)
     at = at[(np.diff(at, axis=1) > 0).all(axis=1)]
@@ -290,16 +325,16 @@ def fit(texts: list[str], rounds: int = 100, rate: float = 1.0, decay: float = 1
     pairs = np.einsum("nti,ntj->ij", one[:, :-1], one[:, 1:])
     for _ in range(rounds if n else 0):
         e = field.file[f] + sum(field.seen[k][s[k]] for k in range(len(SEEN)))
-        fore, aft = np.empty_like(e), np.zeros_like(e)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            fore[:, 0] = e[:, 0] + field.steps[OUT]
-            for t in range(1, width):
-                fore[:, t] = e[:, t] + np.logaddexp.reduce(fore[:, t - 1, :, None] + field.steps, axis=1)
-            for t in range(width - 2, -1, -1):
-                aft[:, t] = np.logaddexp.reduce(field.steps + (e[:, t + 1] + aft[:, t + 1])[:, None, :], axis=2)
-            total = np.logaddexp.reduce(fore[:, -1], axis=1)[:, None, None]
-            p = np.exp(fore + aft - total)
-            joint = np.exp(fore[:, :-1, :, None] + field.steps + (e + aft)[:, 1:, None, :] - total[..., None]).sum(axis=(0, 1))
+        x, step = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(field.steps)
+        fore, aft, scale = np.empty_like(x), np.ones_like(x), np.empty((n, width, 1))
+        for t in range(width):  # probabilities, scaled to sum to one at each place
+            fore[:, t] = x[:, t] * (fore[:, t - 1] @ step if t else step[OUT])
+            scale[:, t, 0] = fore[:, t].sum(axis=1)
+            fore[:, t] /= scale[:, t]
+        for t in range(width - 2, -1, -1):
+            aft[:, t] = (x[:, t + 1] * aft[:, t + 1] / scale[:, t + 1]) @ step.T
+        p = fore * aft
+        joint = step * np.einsum("nti,ntj->ij", fore[:, :-1], (x * aft / scale)[:, 1:])
         miss = (one - p) / n
         new = [np.zeros_like(x) for x in (field.seen, field.file, field.steps)]
         for c in range(3):
@@ -312,15 +347,15 @@ def fit(texts: list[str], rounds: int = 100, rate: float = 1.0, decay: float = 1
             x = np.where(good, x - decay * np.where(good, w, 0), 0)
             g += x * x
             w += np.where(good, rate * x / (np.sqrt(g) + 1e-8), 0)
-        field.steps = np.where(np.isfinite(field.steps), np.clip(field.steps, -_STEEPEST, _STEEPEST), -np.inf)
     return field
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Trains the field on up to TRAIN_DOCS documents in hash order of the id: the bound of the fitted sample."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.left(F.col(text_col), F.lit(TRAIN_CHARS)).alias("text"))
-    few = rows.select(F.col("id").alias("chosen")).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS).distinct()
-    found = rows.join(F.broadcast(few), F.col("id").eqNullSafe(F.col("chosen")), "left_semi").limit(2 * TRAIN_DOCS).collect()
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = 600, longest: int = 20_000) -> Field:
+    """Trains the field on a bounded sample: the whole texts of up to ``most_docs`` documents of at most ``longest`` characters, in
+    hash order of the id."""
+    rows = docs.where(F.length(text_col) <= longest).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    few = rows.select(F.col("id").alias("chosen")).orderBy(F.xxhash64("id"), "id").limit(most_docs).distinct()
+    found = rows.join(F.broadcast(few), F.col("id").eqNullSafe(F.col("chosen")), "left_semi").limit(2 * most_docs).collect()
     return fit(sorted(r.text for r in found))
 
 

@@ -376,16 +376,46 @@ def path_score(e, steps, path):
 @pytest.mark.parametrize("seed", range(8))
 def test_decoding_is_exact(seed):
     rng = np.random.default_rng(seed)
-    steps = rng.uniform(-1, 1, (3, 3))
+    steps = rng.uniform(-1, 1, (3, 3)) * (1, 4)[seed % 2]
     steps[0, 2] = -np.inf
     field = op6_secrets.Field(np.zeros((5, 1, 3)), np.zeros((1, 3)), steps)
-    e = rng.normal(0, 2, (60, 3))
-    e[:, 0] += rng.choice([0, 20], 60)
-    starts = np.array([0, 20, 45])
+    n = (60, 64, 65, 700)[seed % 4]
+    e = rng.normal(0, 2, (n, 3))
+    e[:, 0] += rng.choice([0, 20], n) * (seed < 6)
+    starts = np.array([0, 20, 20, 45, n])  # one text has no token, nor the last
     got = field.decode(e, starts)
-    for a, b in ((0, 20), (20, 45), (45, 60)):
+    for a, b in ((0, 20), (20, 45), (45, n)):
         _, best = brute_viterbi(e[a:b], steps)
         assert path_score(e[a:b], steps, got[a:b].tolist()) == pytest.approx(best)
+    assert len(field.decode(e[:0], starts[:0])) == 0
+
+
+def test_added_spans_are_right(docs):
+    """Precision and recall of the field on made secrets in documents that it hasn't seen, and on addresses and numbers."""
+    texts = sorted(r.text for r in docs.where("length(text) < 20000").collect())
+    field, rng = op6_secrets.fit(texts[::2]), random.Random(99)
+    found = by_base = right = wrong = 0
+    for text in texts[1::2]:
+        own, marked = op6_secrets.planted(rng, text, 3, 6)
+        (spans,) = op6_secrets.find(field, [own])
+        meets = lambda x, y: any(a < y and x < b for a, b in marked)  # noqa: B023,E731
+        found += sum(any(a < y and x < b for _, x, y in spans) for a, b in marked)
+        by_base += sum(any(k != "field" and a < y and x < b for k, x, y in spans) for a, b in marked)
+        right += sum(k == "field" and meets(x, y) for k, x, y in spans)
+        wrong += sum(k == "field" and not meets(x, y) for k, x, y in spans)
+    made = 3 * len(texts[1::2])
+    assert by_base < 0.8 * made and found > 0.95 * made and right > 0.15 * made and wrong < 0.05 * (right + wrong)
+    plain = ["10.143.123.131", "write to anna.12@mail7.example.com or 555-0134", "see https://a.example.com/x/12345.html", "at 2024-10-11T12:30", "the password of the day is secret", "key/value_pairs and some-long-name", "4111 1111 1111 1111"]
+    assert not any(op6_secrets.find(field, plain))
+
+
+def test_secrets_in_long_texts():
+    """One text beyond a block beside short ones, and one without a blank."""
+    field, secret = op6_secrets.fit([], rounds=40), 'password = "0123456789abcdef01234567" '
+    texts = ["plain words " * 60_000 + secret + "more " * 60_000, "", "x" * 700_000, secret]
+    got = op6_secrets.find(field, texts)
+    assert [(k, a) for k, a, _ in got[0]] == [("assign", 720_000), ("hex", 720_012)] and [k for k, *_ in got[3]] == ["assign", "hex"] and got[1] == []
+    assert not any(k != "field" for k, *_ in got[2])
 
 
 # 7
