@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import write_table
+from .storage import SPREAD, spread_join, write_table
 from .textarrays import blocks, mix, ngrams, pack, unpack, words
 
 #: Bands in each of the two collections, and minhashes in a band: 64 keys from 32 minhashes. A pair of likeness 0.8 shares
@@ -232,7 +232,8 @@ def _decide(percent: int):
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """``node, label`` for every node of ``links`` (a, b); the label is the least node that is reachable.
 
-    Alternates large-star and small-star steps until nothing changes; all state is in written tables.
+    Alternates large-star and small-star steps until nothing changes; all state is in written tables, and the neighbours of
+    a hub are spread over tasks.
     """
     both = F.array_sort(F.array("a", "b"))
     edges = write_table(links.where("a != b").select(both[1].alias("a"), both[0].alias("b")).distinct(), name)
@@ -243,9 +244,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     while True:
         arcs = edges.select("a", "b").union(edges.select("b", "a"))
         least = arcs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = arcs.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = spread_join(arcs, F.col("b"), least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a != b").distinct()
+        small = spread_join(large, F.col("b"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a != b").distinct()
         edges = write_table(small, name)
         before, now = now, state(edges)
         if now == before:
@@ -267,12 +268,16 @@ def near_duplicates(
     sketched = write_table(chosen.mapInArrow(_sketched(shingle), f"doc_id {kind}, n_shingles long, node binary, sketch binary"), "sketches")
     nodes = sketched.where("node is not null").groupBy("node").agg(F.any_value("sketch").alias("sketch"))
     keyed = write_table(nodes.mapInArrow(_keyed, "node binary, small binary, keys array<long>"), "keys")
-    spread = keyed.select("node", F.explode("keys").alias("key"))
-    crowded = spread.groupBy("key").agg(F.count("*").alias("n"), F.min(F.xxhash64("node")).alias("least")).where("n > 1")
+    # a key that many nodes share is counted, and met, in SPREAD tasks
+    dealt = F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")
+    spread = keyed.select("node", F.explode("keys").alias("key")).withColumn("_spread", dealt)
+    counted = spread.groupBy("key", "_spread").agg(F.count("*").alias("own"), F.min(F.xxhash64("node")).alias("first"))
+    whole = Window.partitionBy("key")
+    crowded = counted.select("key", "_spread", F.sum("own").over(whole).alias("n"), F.min("first").over(whole).alias("least")).where("n > 1")
     parts, divided = F.ceil(F.col("n") / (BUCKET // 2)), F.col("n") > BUCKET
     everywhere = F.when(F.xxhash64("node") == F.col("least"), F.sequence(F.lit(0).cast("long"), parts - 1))
     cut = F.when(divided, F.coalesce(everywhere, F.array(F.pmod(F.xxhash64("key", "node"), parts)))).otherwise(F.array(F.lit(0).cast("long")))
-    met = spread.join(crowded, "key").select("key", F.explode(cut.cast("array<int>")).alias("cut"), "node", divided.alias("divided"))
+    met = spread.join(crowded, ["key", "_spread"]).select("key", F.explode(cut.cast("array<int>")).alias("cut"), "node", divided.alias("divided"))
     mates = write_table(met.join(keyed.select("node", "small"), "node"), "mates")
 
     by_bucket = mates.repartition("key", "cut").sortWithinPartitions("key", "cut")
@@ -297,7 +302,7 @@ def near_duplicates(
 
     sized = sets.join(grouped, "node")
     totals = sized.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
-    placed = sized.join(totals, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = spread_join(sized, F.col("node"), totals, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # a node is a member of its own block, and is held against the blocks before it
     rows = placed.select("label", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("part"), "own", "node", "n", "shingles")
     rows = rows.withColumn("member", F.col("part") == F.col("own")).drop("own")
@@ -308,8 +313,9 @@ def near_duplicates(
     of = write_table(
         sketched.where("node is not null").groupBy("node").agg(F.min(own).alias("least")).join(last, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least"), "labels"
     )
-    ids = of.join(of.groupBy("label").agg(F.min("least").alias("first")), "label").select("node", "first")
-    out = sketched.drop("sketch").join(ids, "node", "left")
+    firsts = of.groupBy("label").agg(F.min("least").alias("first"))
+    ids = spread_join(of, F.col("node"), firsts, "label").select("node", "first")
+    out = spread_join(sketched.drop("sketch"), F.col("doc_id"), ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first")["doc_id"] if marks else F.col("first"))
     kept = F.when(F.col("node").isNull(), F.col("doc_id").isNotNull()).otherwise(F.coalesce(own == F.col("first"), F.lit(False)))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *["mark"] * len(marks))

@@ -9,8 +9,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Parts that the rows of one join key are spread over.
+SPREAD = 32
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[str] = []
 _own: dict[str, str] = {}
@@ -49,6 +52,16 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, by: Column, others: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``others``, which has each ``key`` once; a key that many of the rows have isn't one task's.
+
+    The rows of a key are dealt into SPREAD parts by a hash of ``by``, and its row of ``others`` goes to those parts that occur.
+    """
+    dealt = rows.withColumn("_spread", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
+    parts = dealt.where(F.col(key).isNotNull()).select(key, "_spread").distinct()
+    return dealt.join(parts.join(others, key), [key, "_spread"], how).drop("_spread")
+
+
 def release(spark: SparkSession) -> None:
     """Deletes every table written so far; call it once results that read them are stored elsewhere."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -459,11 +459,37 @@ def test_top_k_of_large_vectors(spark):
 
 
 def test_pivots_save_work():
+    """On groups of alike vectors most candidates are never evaluated; among vectors equally far apart all are."""
     rng = np.random.default_rng(4)
-    x = np.concatenate([rng.normal(c, 1, (200, 4)).round() for c in (0, 200, 400, 600, 800)])
-    p = x[::50]
-    best, seen = op7_topk.search(x[0], op7_topk._distances(x[:1], p)[0], 0, np.arange(len(x)), x, (x * x).sum(axis=1), op7_topk._distances(x, p), 5)
-    assert best == sorted(((int(x[0] @ y), i) for i, y in enumerate(x) if i), key=lambda b: (-b[0], b[1]))[:5] and seen <= len(x)
+    for centres, most in ((np.eye(16)[:10] * 900, 0.35), (np.zeros((10, 16)), 1.0)):
+        x = np.concatenate([rng.normal(c, 9, (400, 16)).round() for c in centres])
+        rng.shuffle(x)
+        p = op7_topk.far_apart(x[:500], 48)
+        assert len(p) == 48 and len(np.unique(p, axis=0)) == 48
+        norms, ids, share = (x * x).sum(axis=1), np.arange(len(x)), []
+        for q in range(0, len(x), 100):
+            best = []
+            for lo in (0, 2000):
+                far = op7_topk._distances(x[lo : lo + 2000], p).T.astype(np.float32)
+                best, seen = op7_topk.search(x[q], op7_topk._distances(x[q : q + 1], p)[0], q, ids[lo : lo + 2000], x[lo : lo + 2000], norms[lo : lo + 2000], far, 5, best)
+                share.append(seen / 2000)
+            assert best == sorted(((int(x[q] @ y), i) for i, y in enumerate(x) if i != q), key=lambda b: (-b[0], b[1]))[:5]
+        assert np.mean(share) <= most
+    assert len(op7_topk.far_apart(np.ones((9, 3)), 4)) == 1 and len(op7_topk.far_apart(np.zeros((0, 3)), 4)) == 0
+
+
+def test_top_k_of_repeated_rows_in_passes(spark, monkeypatch):
+    rows = [(0, [1.0])] * 2 + [(i, [float(i)]) for i in range(1, 6)] + [(3, [3.0]), (50, [2.0])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("v", F.lit("clash")).withColumn("rank", F.lit(0))
+    whole = {i: 256 * int(v[0]) for i, v in rows}
+    for size in (op7_topk.PASS_BYTES, 1):
+        monkeypatch.setattr(op7_topk, "PASS_BYTES", size)
+        got = {}
+        for r in op7_topk.top_k(df.repartition(3), F.col("vec_id") % 50 == 0, k=5).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        for q in (0, 50):
+            best = sorted((-whole[q] * whole[i], i) for i, _ in rows if i != q)[:5]
+            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
 # 9
@@ -549,6 +575,23 @@ def test_stages_on_odd_rows(spark, odd, none):
     assert masked[5].text == 'a [SECRET]" b' and masked[5].n_chars == len(masked[5].text) and masked[11].text == ODD[-1][1] and masked[1].text is None
 
 
+def test_stages_keep_columns_of_any_name(spark, odd):
+    more = {"__text": "a", "__spans": "b", "__gone": "c", "_own_0": "d", "_spread": "e", "mark": "f", "node": "g", "kept": "h", "key": "i", "label": "j"}
+    clash = odd.select("*", *[F.lit(v).alias(k) for k, v in more.items()])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got, plain = stage(spark, clash, SF_DIR), stage(spark, odd, SF_DIR)
+        assert got.columns == clash.columns and got.where(" and ".join(f"{k} = '{v}'" for k, v in more.items())).count() == plain.count()
+    packed = corpus_pipeline.packing(spark, clash, SF_DIR)
+    assert packed.select("doc_id").distinct().count() == 12 and packed.where("piece = 0").count() == len(ODD) and corpus_pipeline.packing(spark, clash.where("false"), SF_DIR).count() == 0
+
+
+def test_hubs_and_chains(spark):
+    hub = [(b"\x00", bytes([1, k % 256, k // 256])) for k in range(700)]
+    chain = [(bytes([2, k]), bytes([2, k + 1])) for k in range(90)]
+    got = {bytes(r.node): bytes(r.label) for r in op5_minhash.components(spark.createDataFrame(hub + chain, "a binary, b binary").repartition(5)).collect()}
+    assert got == {b"\x00": b"\x00"} | {b: b"\x00" for _, b in hub} | {bytes([2, k]): bytes([2, 0]) for k in range(91)}
+
+
 def test_unlabelled_corpus_stays(spark, odd):
     blank = corpus_pipeline.language(spark, odd.withColumn("lang", F.lit(None).cast("string")), SF_DIR)
     known = corpus_pipeline.language(spark, odd, SF_DIR)
