@@ -29,6 +29,12 @@ from skyloom.llm.storage import shared_dir
 ORACLE_SQL = None
 
 
+def names(docs: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``docs`` doesn't have, in any case."""
+    have = {c.lower() for c in docs.columns}
+    return [name for name in (f"_own_{k}" for k in range(n + len(have))) if name not in have][:n]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known, or that have a letter if there is no labelled row to learn from."""
     model = op2_language.learn(docs)
@@ -39,26 +45,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (five-word shingles, likeness 0.8 or more)."""
-    digest = F.unhex(F.sha2("text", 256))
+    digest, (text, gone_id, mark, number) = F.unhex(F.sha2("text", 256)), names(docs, 4)
     found = op5_minhash.near_duplicates(docs, shingle=5, percent=80, mark=digest)
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
-    kept = docs.withColumn("__text", digest).join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__text") == F.col("__mark")), "left_anti")
-    twice = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    once = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_anti").drop("__text")
-    several = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_semi")
-    first = Window.partitionBy("doc_id", "__text").orderBy("__text")
-    return once.unionByName(several.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__text"))
+    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(gone_id), F.col("mark").alias(mark)).distinct()
+    kept = docs.withColumn(text, digest).join(gone, (F.col("doc_id") == F.col(gone_id)) & (F.col(text) == F.col(mark)), "left_anti")
+    twice = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(number)).where(F.col(number) > 1).select(F.col("doc_id").alias(gone_id))
+    once = kept.join(twice, kept["doc_id"] == twice[gone_id], "left_anti").drop(text)
+    several = kept.join(twice, kept["doc_id"] == twice[gone_id], "left_semi")
+    first = Window.partitionBy("doc_id", text).orderBy(text)
+    return once.unionByName(several.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(number, text))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts."""
-    found = docs.withColumn("__spans", op6_secrets.spans(op6_secrets.learn(docs), F.col("text")))
-    hit = F.size("__spans") > 0
-    out = found.withColumn("__masked", op6_secrets.masked(F.col("text"), F.col("__spans")))
-    columns = {"text": F.col("__masked")}
+    at, new = names(docs, 2)
+    found = docs.withColumn(at, op6_secrets.spans(op6_secrets.learn(docs), F.col("text")))
+    out = found.withColumn(new, op6_secrets.masked(F.col("text"), F.col(at)))
+    columns = {"text": F.col(new)}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(hit, F.length("__masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+        columns["n_chars"] = F.when(F.size(at) > 0, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
