@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from .textarrays import blocks
 
 UNKNOWN = "und"
-#: Characters of a language's training text, and documents that it is taken from: the bound of the fitted sample.
-TRAIN_CHARS, TRAIN_DOCS = 40_000, 60
 #: Letters of a row that is read in step with others.
 ROW = 128
 BLOCK = 1 << 20
@@ -163,21 +161,24 @@ def languages(texts: tuple[tuple[str, str], ...]) -> Languages:
     return Languages(texts)
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
-    """The training text of each language: whole texts in hash order of the id, up to the bounds of the sample.
+def learn(
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 40, usual: int = 2000
+) -> tuple[tuple[str, str], ...]:
+    """The training text of each language: the whole texts of a bounded sample of ``most_docs`` documents.
 
+    Documents of at most ``usual`` characters come first, in hash order of the id, then longer ones, shortest first.
     Rows with a null language or text, or text without a letter, teach nothing.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("place", F.xxhash64("id"))
-    order = Window.partitionBy("lang").orderBy("place", "id")
-    few = rows.select("lang", "place", "id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_DOCS)
+    order = Window.partitionBy("lang").orderBy("size", "place", "id")
+    sized = rows.select("lang", "place", "id", F.greatest(F.length("text"), F.lit(usual)).alias("size"))
+    few = sized.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_docs).drop("size")
     texts = rows.join(F.broadcast(few.drop("n").distinct()), ["lang", "place", "id"], "left_semi")
-    short = texts.select("lang", "place", "id", F.left("text", F.lit(TRAIN_CHARS)).alias("text")).dropDuplicates(["lang", "place", "id"])
     found: dict[str, list] = {}
-    for r in short.collect():  # at most TRAIN_DOCS rows of TRAIN_CHARS for a language
+    for r in texts.dropDuplicates(["lang", "place", "id"]).collect():  # at most ``most_docs`` rows for a language
         found.setdefault(r.lang, []).append((r.place, r.id, r.text))
-    return tuple((lang, "\n".join(t for *_, t in sorted(own))[:TRAIN_CHARS]) for lang, own in sorted(found.items()))
+    return tuple((lang, "\n".join(t for *_, t in sorted(own, key=lambda r: (r[0], r[1] or "")))) for lang, own in sorted(found.items()))
 
 
 def language(model: tuple[tuple[str, str], ...], text: Column) -> Column:
