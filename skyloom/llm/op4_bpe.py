@@ -3,6 +3,8 @@
 Distinct pre-tokens of a batch are dealt by length into padded integer matrices. In each round every row merges its
 leftmost pair of least rank; ranks come from a hashed pair table, finished rows leave, and the columns close up.
 What a stretch of text encodes to is remembered in a bounded table, so each batch only merges what is new to it.
+A very long pre-token is a matrix of its own of one row, in which a round merges all pairs of the least rank, leftmost first. That
+is the same result, since a merge makes no pair of lower or equal rank (see ``own_pairs``).
 
 Null text counts as empty (no ids). Repeated rows are encoded one by one, an empty table gives an empty one, null ids of
 documents stay, and columns besides the id and the text are not read.
@@ -11,7 +13,6 @@ documents stay, and columns besides the id and the text are not read.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +28,7 @@ from .textarrays import blocks
 
 #: Entries of a generation of what a worker remembers; bounds its memory.
 REMEMBERED = 300_000
-#: Longer pre-tokens are merged with a heap, in n log n, instead of one matrix round for each merge.
+#: Longer pre-tokens aren't padded together with others.
 LONGEST_ROW = 512
 #: Characters of text that are encoded together.
 BLOCK = 1 << 20
@@ -64,6 +65,26 @@ class PairTable:
         return flat.reshape(left.shape)
 
 
+def own_pairs(ranks: dict[bytes, int]) -> dict[int, int]:
+    """For each token the one pair that is ever merged to it: what its bytes become by merges of lower rank, if that is a pair.
+
+    When a pair has the least rank of all, nothing lower is left to merge between its ends, so its bytes are in the state in
+    which the token's bytes alone are. Both members have been merged before, so a pair's rank is higher than that of any token in it.
+    """
+    pairs: dict[int, int] = {}
+    for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+        parts = [ranks[token[k : k + 1]] for k in range(len(token))]
+        while len(parts) > 2:
+            found = [pairs.get(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+            if (least := min(found)) == _NONE:
+                break
+            at = found.index(least)
+            parts[at : at + 2] = [int(least)]
+        if len(parts) == 2:
+            pairs[parts[0] << 32 | parts[1]] = rank
+    return pairs
+
+
 class Bpe:
     """A rank vocabulary: encodes pre-tokens, whole texts, and decodes ids."""
 
@@ -71,13 +92,7 @@ class Bpe:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.split = regex.compile(pattern).findall
-        pairs = {}
-        for token, rank in self.ranks.items():
-            for k in range(1, len(token)):
-                a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
-                if a is not None and b is not None:
-                    pairs[a << 32 | b] = rank
-        self.pairs, self.python_pairs = PairTable(pairs), pairs
+        self.pairs = PairTable(own_pairs(self.ranks))
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         tokens = sorted(self.ranks.items(), key=lambda x: x[1])
         most = tokens[-1][1] + 1
@@ -124,24 +139,20 @@ class Bpe:
             ranks[left, best[left] - 1] = self.pairs.find(before[left], here[left])
 
     def _long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one very long pre-token, by a heap over a linked list."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before, get = list(range(1, n + 1)), list(range(-1, n - 1)), self.python_pairs.get
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 32 | ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else n
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := get(ids[x] << 32 | ids[y])) is not None:
-                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return np.array([i for i in ids if i >= 0], np.int32)
+        """The same merges for one very long pre-token, all pairs of the least rank in a round."""
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.find(ids[:-1], ids[1:])
+        while len(ranks) and (least := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == least)
+            place = np.arange(len(at))
+            begun = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) == 1, 0, place))
+            at = at[(place - begun) % 2 == 0]  # of pairs that overlap every second one
+            ids[at] = least
+            ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
+            at -= np.arange(len(at))
+            near = np.concatenate((at[at < len(ranks)], at[at > 0] - 1))
+            ranks[near] = self.pairs.find(ids[near], ids[near + 1])
+        return ids
 
     def merge(self, pieces: set[bytes]) -> dict[bytes, np.ndarray]:
         """Ids of each pre-token; one that is itself a token has that id."""
