@@ -7,7 +7,10 @@ the share of a text's distinct chunk bytes whose chunks the other text has too.
 
 Null text counts as empty; an empty text's fingerprint is empty, wholly contained in an empty one and not at all in
 others. Repeated rows and ids each get a row (neighbours of one id by text, null ids come last). An empty table gives an
-empty one; other columns are not read.
+empty one; other columns are not read. Ids must be of a whole-number type; a table whose ids are not is refused.
+
+Texts are range-sorted by id into parts, one task each; null ids are range-sorted among themselves by their texts' digests. A part
+is streamed, and gets the first document of the next one besides its own.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textarrays import mix, spans_hash
 
@@ -98,20 +102,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. Ids must be whole numbers.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} must be a whole number")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    size = chosen.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
-    parts = min(PARTS, max(1, int(size[0] or 0) // PART_BYTES + 1))
+    bytes_of = lambda known: F.sum(F.when(F.col("doc_id").isNotNull() == known, F.octet_length("text")))
+    size = chosen.agg(bytes_of(True), F.count("doc_id"), bytes_of(False)).first()
+    parts, nulls = (min(PARTS, max(1, int(n or 0) // PART_BYTES + 1)) for n in (size[0], size[2]))
     # part borders from quantiles of the ids: as many numbers as parts
     quantiles = chosen.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if size[1] and parts > 1 else []
     borders = np.array(sorted({int(x) for x in quantiles}), np.int64)
 
     @F.arrow_udf("int")
     def part_of(ids: pa.Array) -> pa.Array:
-        found = np.searchsorted(borders, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
-        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, found).astype(np.int32))
+        return pa.array(np.searchsorted(borders, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right").astype(np.int32))
 
-    dealt = chosen.withColumn("part", part_of("doc_id"))
+    start = F.conv(F.left(F.sha2("text", 256), F.lit(8)), 16, 10).cast("long")
+    among_nulls = F.shiftright(start * nulls, 32).cast("int")
+    dealt = chosen.withColumn("part", F.when(F.col("doc_id").isNull(), among_nulls).otherwise(part_of("doc_id") + nulls))
     # the first document of each part, in descending order, follows the last one of the part before
     key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.sha2("text", 256).alias("digest"))
     heads = sorted(((r.part, r.doc_id, r.digest) for r in dealt.groupBy("part").agg(F.max(key).alias("k")).select("part", "k.doc_id", "k.digest").collect()), reverse=True)  # a row a part
@@ -142,5 +150,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    sorted_parts = every.repartition(parts + 1, "part").sortWithinPartitions(*order)
+    sorted_parts = every.repartitionById(parts + nulls, F.col("part")).sortWithinPartitions(*order)
     return sorted_parts.select("doc_id", "text", "part", "ghost").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
