@@ -122,6 +122,14 @@ def test_long_texts_are_parsed_whole(letters):
         assert name == min(n, key=n.get) and score == pytest.approx(abs(n["x"] - n["y"]) / max(n.values()))
 
 
+def test_training_texts_are_whole(spark):
+    rows = [(i, "ab " * (10 + i), "x") for i in range(9)] + [(20, "long " * 900, "x"), (21, "long " * 700, "y"), (22, "longer " * 700, "y"), (23, None, "y"), (24, "...", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    (x, own), (y, other) = op2_language.learn(df, most_docs=9)
+    assert (x, y) == ("x", "y") and sorted(own.split("\n")) == sorted(t for _, t, g in rows[:9]) and sorted(other.split("\n")) == [rows[10][1], rows[11][1]]
+    assert op2_language.learn(df, most_docs=1)[1][1] == rows[10][1]
+
+
 def test_language_odd(odd, none):
     model = (("de", "ein kurzer satz über nichts und wieder nichts"), ("en", "the same text twice over and over no id here at all word"))
     got = {r.doc_id: (r.lang_pred, r.score) for r in op2_language.identify(odd, model).collect()}
@@ -240,6 +248,18 @@ def test_odd_texts_against_the_libraries(encoding):
         assert counter.count(t) == len(words_.encode(t, add_special_tokens=False).ids)
 
 
+def test_long_pre_tokens_against_the_library(encoding):
+    rng = random.Random(13)
+    bpe = op4_bpe.bpe(RANKS, public_tokenizers.PATTERN)
+    assert all(rank > max(key >> 32, key & 0xFFFFFFFF) or rank < 256 for key, rank in op4_bpe.own_pairs(bpe.ranks).items())
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "abcdefghijklmnopqrstuvwxyzABCDEF", "aaab", "é中文字的a", "=-+") for n in (513, 4000)] + ["x" * 900_000, "ab" * 300_001, " " * 5000]
+    texts += ["".join(rng.choice("abc ") for _ in range(600_000))]
+    for t in texts:
+        want = encoding.encode_ordinary(t)
+        assert np.frombuffer(bpe.encode([t])[0], np.int32).tolist() == want
+        assert bpe.decode(np.array(want)) == t.encode()
+
+
 def test_ranks_equal_the_library_on_all_kinds_of_letters():
     own, ids = op3_packing.Ids(JSON, op3_packing.prove_ranks(JSON)), Tokenizer.from_file(JSON)
     rng = random.Random(12)
@@ -543,9 +563,30 @@ def test_fingerprints(docs, odd, none, monkeypatch):
     assert op9_fingerprints.fingerprints(odd.where("doc_id = 5")).first().near_next == 1.0
 
 
+def test_fingerprints_of_null_ids_and_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(op9_fingerprints, "PART_BYTES", 40_000)
+    rng = random.Random(14)
+    rows = [(None, f"text {k} " * 900) for k in range(30)] + [(k, f"other {k} " * 700) for k in range(30)] + [(99, "".join(rng.choice("abcdef \n") for _ in range(1_500_000)))]
+    got = op9_fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    order = sorted((r for r in rows if r[0] is not None), reverse=True) + sorted((r for r in rows if r[0] is None), key=lambda r: hashlib.sha256(r[1].encode()).hexdigest(), reverse=True)
+    want = [(i, len(t), hashlib.sha256(op9_fingerprints.edited(t, after).encode()).hexdigest()) for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True)]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_chars, r.edited_sha256)) for r in got)
+    with pytest.raises(ValueError):
+        op9_fingerprints.fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 # 10
 
 
+def test_urls_of_many_labels_and_one_host(spark):
+    rules = spark.createDataFrame(catalog.URL_RULES, "host string, path string, verdict string")
+    urls = ["http://" + "a." * 20_000 + "net/x", "http://" + "." * 5000 + "/", "http://net./"] + ["http://b.example.com/de/1"] * 500
+    got = op10_url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules)
+    found = {r.page_id: (r.rule, r.verdict) for r in got.collect()}
+    assert len(found) == got.count() == len(urls) and found[0] == ("net/", "block") and found[1] == found[2] == (None, "allow")
+    assert all(found[k] == ("example.com/de/", "block") for k in range(3, len(urls)))
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://a.net/x", "HTTP://A.NET", "https://www.example.net/en/1?q", "https://example.net/english", "http://b.example.com/de/", "http://example.com/de#x", "https://x.org/fr/a/b", "http://notnet/", "http://net/", "http://u@example.net:80/en/", "http:///path"]
     rules = spark.createDataFrame(catalog.URL_RULES, "host string, path string, verdict string")
