@@ -8,8 +8,9 @@ Nodes meet in buckets of equal keys. A bucket's nodes whose sketches leave a lin
 bucket never yields more ties than nodes; ties of all buckets form candidate groups. Within a group every pair is
 decided exactly, though no pair is ever a row: the group's sets are cut into blocks of bounded size, and each node is held against
 every block by an inverted index over the block's shingles. Only links that join what was apart leave a block.
-Buckets beyond ``BUCKET`` nodes are dealt into parts by another hash for each key. Their sketches aren't compared: one node
-is in every part and all nodes of a part are tied, so the whole bucket is in one group, whose blocks decide every pair.
+The sketches of buckets beyond ``BUCKET`` nodes aren't compared: each of their nodes is tied to the key itself, which is a node in
+that step alone, so the whole bucket is in one group, whose blocks decide every pair. Whatever many rows share, a key, a
+hub, a group or a text, is met in many tasks.
 
 Null or wordless texts have an empty set and link with nothing. Repeated rows and repeated ids each get their row; a null id
 is never a component's id unless it has no other, and is not kept. An empty table gives an empty one; other columns are
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import SPREAD, spread_join, write_table
@@ -37,6 +38,8 @@ AGREE = 16
 #: Nodes of a bucket whose sketches are compared, and shingles of a block that is decided, in one task at a time.
 BUCKET, BLOCK = 2000, 1_000_000
 TEXT_BLOCK = 1 << 20
+#: Bytes of a node, the digest of a set.
+NODE = 16
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -80,7 +83,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _node(own: np.ndarray) -> bytes:
-    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(own.tobytes(), digest_size=NODE).digest()
 
 
 def _sketched(n: int):
@@ -113,14 +116,14 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Buckets of a partition that is sorted by key and cut; one bucket of at most a few blocks is held at a time."""
+    """Buckets of a partition that is sorted by key; one bucket of at most BUCKET nodes is held at a time."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, cut = batch.column("key").to_numpy(), batch.column("cut").to_numpy()
-        starts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (cut[1:] != cut[:-1])) + 1).tolist(), len(key)]
-        if held and (held[-1].column("key")[-1].as_py(), held[-1].column("cut")[-1].as_py()) != (key[0], cut[0]):
+        key = batch.column("key").to_numpy()
+        starts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        if held and held[-1].column("key")[-1].as_py() != key[0]:
             yield pa.Table.from_batches(held)
             held = []
         for lo, hi in zip(starts, starts[1:], strict=False):
@@ -137,17 +140,10 @@ def _small(table: pa.Table) -> np.ndarray:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties within each bucket: a spanning forest of the nodes whose sketches leave a link possible.
-
-    A part of a divided bucket is tied as a whole.
-    """
+    """Ties within each bucket: a spanning forest of the nodes whose sketches leave a link possible."""
     out: set[tuple[bytes, bytes]] = set()
     for table in _groups(batches):
         names = table.column("node").to_pylist()
-        if table.column("divided")[0].as_py():
-            least = min(names)
-            out.update((least, name) for name in names if name != least)
-            names = []
         small = _small(table)
         order = np.array(sorted(range(len(names)), key=names.__getitem__))
         while len(order):  # a tree from the least name that is left
@@ -242,11 +238,11 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
     now = state(edges)
     while True:
-        arcs = edges.select("a", "b").union(edges.select("b", "a"))
-        least = arcs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = spread_join(arcs, F.col("b"), least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        arcs = edges.union(edges.select("b", "a"))
+        least = arcs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+        large = spread_join(edges, F.col("a"), least, "b").select("a", F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = spread_join(large, F.col("b"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a != b").distinct()
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a != b").distinct()
         edges = write_table(small, name)
         before, now = now, state(edges)
         if now == before:
@@ -268,21 +264,18 @@ def near_duplicates(
     sketched = write_table(chosen.mapInArrow(_sketched(shingle), f"doc_id {kind}, n_shingles long, node binary, sketch binary"), "sketches")
     nodes = sketched.where("node is not null").groupBy("node").agg(F.any_value("sketch").alias("sketch"))
     keyed = write_table(nodes.mapInArrow(_keyed, "node binary, small binary, keys array<long>"), "keys")
-    # a key that many nodes share is counted, and met, in SPREAD tasks
-    dealt = F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")
-    spread = keyed.select("node", F.explode("keys").alias("key")).withColumn("_spread", dealt)
-    counted = spread.groupBy("key", "_spread").agg(F.count("*").alias("own"), F.min(F.xxhash64("node")).alias("first"))
-    whole = Window.partitionBy("key")
-    crowded = counted.select("key", "_spread", F.sum("own").over(whole).alias("n"), F.min("first").over(whole).alias("least")).where("n > 1")
-    parts, divided = F.ceil(F.col("n") / (BUCKET // 2)), F.col("n") > BUCKET
-    everywhere = F.when(F.xxhash64("node") == F.col("least"), F.sequence(F.lit(0).cast("long"), parts - 1))
-    cut = F.when(divided, F.coalesce(everywhere, F.array(F.pmod(F.xxhash64("key", "node"), parts)))).otherwise(F.array(F.lit(0).cast("long")))
-    met = spread.join(crowded, ["key", "_spread"]).select("key", F.explode(cut.cast("array<int>")).alias("cut"), "node", divided.alias("divided"))
-    mates = write_table(met.join(keyed.select("node", "small"), "node"), "mates")
-
-    by_bucket = mates.repartition("key", "cut").sortWithinPartitions("key", "cut")
-    ties = by_bucket.select("key", "cut", "node", "small", "divided").mapInArrow(_forest, "a binary, b binary")
-    grouped = write_table(components(ties, "ties"), "groups")
+    spread = keyed.select("node", F.explode("keys").alias("key"))
+    crowded = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # whether its key is frequent isn't known where a node is read, so all rows of a key are dealt, and each key that two have
+    dealt, parts = F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"), F.explode(F.array(*map(F.lit, range(SPREAD))))
+    met = spread.withColumn("_spread", dealt).join(crowded.withColumn("_spread", parts), ["key", "_spread"])
+    mates = write_table(met.select("key", "node", (F.col("n") > BUCKET).alias("large")), "mates")
+    name = F.concat(F.lit(b"\x00"), F.unhex(F.lpad(F.hex("key"), 16, "0")))  # a key as a node, of another length than nodes
+    whole = mates.where("large").select(name.alias("a"), F.col("node").alias("b"))
+
+    by_bucket = mates.where("not large").join(keyed.select("node", "small"), "node").repartition("key").sortWithinPartitions("key")
+    ties = by_bucket.select("key", "node", "small").mapInArrow(_forest, "a binary, b binary")
+    grouped = write_table(components(ties.unionByName(whole), "ties").where(F.octet_length("node") == NODE), "groups")
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,9 +293,10 @@ def near_duplicates(
     texts = chosen.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text").where("text is not null")
     sets = write_table(texts.mapInArrow(set_rows, "node binary, n long, shingles binary").dropDuplicates(["node"]), "sets")
 
-    sized = sets.join(grouped, "node")
+    sized = sets.select("node", "n").join(grouped, "node")
     totals = sized.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
-    placed = spread_join(sized, F.col("node"), totals, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    placed = spread_join(sized, F.col("node"), totals, "label").select("label", "node", own.alias("own")).join(sets, "node")
     # a node is a member of its own block, and is held against the blocks before it
     rows = placed.select("label", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("part"), "own", "node", "n", "shingles")
     rows = rows.withColumn("member", F.col("part") == F.col("own")).drop("own")

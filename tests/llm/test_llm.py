@@ -10,7 +10,6 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -347,17 +346,16 @@ def test_near_duplicates_odd(odd, none, spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op5_minhash.near_duplicates(df, 3, 85).collect()} == brute_components(texts, 3, 85)
 
 
-def test_divided_bucket_is_one_group():
-    names = [bytes([i]) for i in (3, 0, 1, 2, 3, 4, 5, 6, 3, 7, 8)]  # 3 is in every part
-    small = [bytes([i]) * 32 for i in (9, 1, 2, 3, 9, 4, 1, 5, 9, 6, 7)]  # 0 and 5 alike, in different parts
-    cut = [0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2]
-    batch = pa.RecordBatch.from_arrays([pa.array([7] * 11, pa.int64()), pa.array(cut, pa.int32()), pa.array(names), pa.array(small), pa.array([True] * 11)], ["key", "cut", "node", "small", "divided"])
-    ties = [t for b in op5_minhash._forest(iter([batch])) for t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    group, before = {bytes([0])}, 0
-    while len(group) > before:
-        before = len(group)
-        group |= {x for t in ties if group & set(t) for x in t}
-    assert group == set(names) and len(ties) == 8
+def test_links_in_a_crowded_bucket_of_loosely_alike_texts(spark, monkeypatch):
+    """Every pair is decided in a bucket beyond the bound, whose nodes are mostly not alike."""
+    monkeypatch.setattr(op5_minhash, "BUCKET", 10)
+    rng = random.Random(15)
+    base = [f"w{i}" for i in range(100)]
+    texts = {k: " ".join(base[:60] + [f"x{rng.randrange(10**6)}" for _ in range(40)]) for k in range(0, 120, 2)}
+    texts |= {k + 1: t.rsplit(" ", rng.randrange(1, 4))[0] for k, t in texts.items() if k % 3}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op5_minhash.near_duplicates(df, 3, 85).collect()}
+    assert got == brute_components(texts, 3, 85) and len({c for _, c in got.values()}) == 60
 
 
 # 6
