@@ -6,10 +6,7 @@ bytes need a callback for each match or character tables, and are Arrow function
 
 from __future__ import annotations
 
-import gzip
-import io
 import re
-import tarfile
 import unicodedata
 
 import pyarrow as pa
@@ -17,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tex
+
 #: Runs of blanks: one explicit class, since engines differ in what they call a space.
 BLANKS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 LABEL_SIZE = 80
@@ -158,29 +157,6 @@ def bib_dois(c: Column) -> Column:
     return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x) > 5)
 
 
-def entries(source: Column) -> Column:
-    """One chunk for each cited work of a bibliography source; the whole text if it has no entries."""
-    s = F.coalesce(source, F.lit(""))
-    full = lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != ""
-    items = F.split(s, r"\\bibitem")
-    compiled = F.filter(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), full)
-    typed = F.filter(F.split(s, r"(?=@\w+\s*\{)"), lambda x: F.regexp_like(x, F.lit(r"^\s*@")))
-    whole = F.when(full(s), F.array(s)).otherwise(F.array().cast("array<string>"))
-    return F.when(s.contains("\\bibitem"), compiled).when(F.regexp_like(s, F.lit(r"@\w+\s*\{")), typed).otherwise(whole)
-
-
-def parsed_entry(chunk: Column) -> Column:
-    """Struct ``raw, ref_doi, ref_arxiv, ref_title`` of one entry; null where nothing is found."""
-    first = lambda pattern: F.nullif(F.regexp_extract(chunk, pattern, 1), F.lit(""))
-    doi = first(r"""(?i)\b(10\.\d{4,9}/[^\s{}"'<>,]+)""")
-    new, old = first(r"(?i)(?:arxiv[:\s]|abs/|/pdf/)\s*(\d{4}\.\d{4,5})"), first(r"\b([a-z][a-z\-]+(?:\.[A-Z]{2})?/\d{7})\b")
-    title = first(r"""(?is)title\s*=\s*[{"](.+?)[}"]\s*,""")
-    return F.struct(
-        F.substring(F.regexp_replace(chunk, r"^\s+|\s+$", ""), 1, 2000).alias("raw"), clean_doi(doi).alias("ref_doi"),
-        F.coalesce(new, old).alias("ref_arxiv"), collapse(title).alias("ref_title"),
-    )
-
-
 def cluster_key(ids: Column, titles: Column) -> Column:
     """Aggregate: a digest of a group's members, whatever their order; titles collapsed to 400 characters."""
     line = F.concat(ids, F.lit("\t"), F.left(collapse(F.coalesce(titles, F.lit(""))), F.lit(400)))
@@ -217,106 +193,41 @@ def cite_key(authors: Column, published: Column, arxiv_id: Column) -> Column:
     return F.concat(last_name(F.get(authors, F.lit(0))), year, F.lit("_"), bare_arxiv_id(arxiv_id))
 
 
-# What TeX commands stand for.
-GREEK = {
-    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "varepsilon": "ε", "zeta": "ζ", "eta": "η", "theta": "θ", "vartheta": "θ",
-    "iota": "ι", "kappa": "κ", "lambda": "λ", "mu": "μ", "nu": "ν", "xi": "ξ", "pi": "π", "varpi": "π", "rho": "ρ", "varrho": "ρ", "sigma": "σ",
-    "varsigma": "ς", "tau": "τ", "upsilon": "υ", "phi": "φ", "varphi": "φ", "chi": "χ", "psi": "ψ", "omega": "ω", "Gamma": "Γ", "Delta": "Δ",
-    "Theta": "Θ", "Lambda": "Λ", "Xi": "Ξ", "Pi": "Π", "Sigma": "Σ", "Upsilon": "Υ", "Phi": "Φ", "Psi": "Ψ", "Omega": "Ω",
-}
-SPECIAL = {
-    "ss": "ß", "o": "ø", "O": "Ø", "l": "ł", "L": "Ł", "aa": "å", "AA": "Å", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "i": "i", "j": "j",
-    "deg": "°", "degree": "°", "textdegree": "°",
-}
-MARKS = {
-    "`": "\u0300", "'": "\u0301", "^": "\u0302", "~": "\u0303", '"': "\u0308", "=": "\u0304", ".": "\u0307", "c": "\u0327", "v": "\u030c",
-    "u": "\u0306", "r": "\u030a", "H": "\u030b", "k": "\u0328",
-}
-PARTICLES = {"van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "ter", "ten", "bin", "ibn", "al", "st", "st."}
-_LETTER = r"(?P<mark>[`'\"^~=.]|[cvruHk](?=\{))\s*(?:\{\\?(?P<in>[A-Za-z])\}|\\?(?P<bare>[A-Za-z]))"
-_ACCENTS = (re.compile(r"\{\\" + _LETTER + r"\}"), re.compile(r"\\" + _LETTER))
-_COMMANDS = (re.compile(r"\{\\([A-Za-z]+)\}"), re.compile(r"\\([A-Za-z]+) ?"))
-
-
-def unicode_from_tex(text: str | None) -> str:
-    """TeX accents, Greek letters and special letters as Unicode; unknown commands stay."""
-    s = text or ""
-    if "\\" not in s:
-        return s
-    for accent in _ACCENTS:
-        s = accent.sub(lambda m: unicodedata.normalize("NFC", (m["in"] or m["bare"]) + MARKS[m["mark"]]), s)
-    for command in _COMMANDS:
-        s = command.sub(lambda m: GREEK.get(m[1]) or SPECIAL.get(m[1]) or m[0], s)
-    return s
-
-
 @F.arrow_udf(T.StringType())
 def de_latex(texts: pa.Array) -> pa.Array:
-    return pa.array([unicode_from_tex(t) for t in texts.to_pylist()], pa.string())
+    """TeX accents, Greek letters and special letters as Unicode."""
+    return pa.array([tex.to_unicode(t) for t in texts.to_pylist()], pa.string())
 
 
-def plain_tex(c: Column) -> Column:
-    """A name without TeX markup: bare letters instead of accented ones."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"""\\[`'^"~=.uvHrcbdk]\s*\{?([A-Za-z])\}?""", "$1")
-    s = F.regexp_replace(s, r"\\ss\b", "ss")
-    s = F.regexp_replace(s, r"\\(aa|AA|o|O|l|L|ae|AE|oe|OE)\b", "$1")
-    return collapse(F.regexp_replace(s, r"[{}\\]", ""))
-
-
-def initials(name: str) -> str:
-    """A plain name with initials for what comes before the surname and its particles."""
-    if "," in name:
-        last, _, given = name.partition(",")
-        last, first = last.strip(), given.replace(",", " ").split()
-    else:
-        first = name.split(" ")
-        last = first.pop()
-        while first and first[-1].lower() in PARTICLES:
-            last = f"{first.pop()} {last}"
-    short = ["-".join(f"{part[0].upper()}." for part in word.split("-") if part) for word in first]
-    return " ".join([*filter(None, short), last]).strip()
+@F.arrow_udf(T.StringType())
+def short_author(names: pa.Array) -> pa.Array:
+    """A name with initials for the given names."""
+    return pa.array([tex.short_name(n) for n in names.to_pylist()], pa.string())
 
 
 @F.arrow_udf(T.StringType())
-def _initials(names: pa.Array) -> pa.Array:
-    return pa.array([initials(n) if n else "" for n in names.to_pylist()], pa.string())
+def short_authors(lists: pa.Array) -> pa.Array:
+    """A list of names with initials, joined by commas."""
+    return pa.array([", ".join(filter(None, map(tex.short_name, names or []))) for names in lists.to_pylist()], pa.string())
 
 
-def short_author(c: Column) -> Column:
-    return _initials(plain_tex(c))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def entries(sources: pa.Array) -> pa.Array:
+    """One chunk for each cited work of a bibliography source; the whole text if it has no entries."""
+    return pa.array([tex.works(s) for s in sources.to_pylist()], pa.list_(pa.string()))
 
 
-@F.arrow_udf(T.StringType())
-def _short_list(lists: pa.Array) -> pa.Array:
-    return pa.array([", ".join(filter(None, (initials(n) for n in names or [] if n))) for names in lists.to_pylist()], pa.string())
+_ENTRY = ("raw", "ref_doi", "ref_arxiv", "ref_title")
 
 
-def short_authors(names: Column) -> Column:
-    """A list of names with initials, joined by commas."""
-    return _short_list(F.transform(names, plain_tex))
-
-
-def source_of(archive: bytes | None) -> str:
-    """Bibliography text of a submission: a tar's ``.bbl`` files, else ``.bib``, else ``.tex``; a plain file's text; none for a PDF."""
-    data = archive or b""
-    if data.startswith(b"%PDF-"):
-        return ""
-    if data.startswith(b"\x1f\x8b"):
-        try:
-            data = gzip.decompress(data)
-        except (OSError, EOFError):
-            return ""
-    try:
-        with tarfile.open(fileobj=io.BytesIO(data)) as tar:
-            files = [(m.name.lower(), tar.extractfile(m).read()) for m in tar.getmembers() if m.isfile()]
-    except tarfile.TarError:
-        return data.decode("utf-8", "ignore")
-    for ending in (".bbl", ".bib", ".tex"):
-        if found := [text.decode("utf-8", "ignore") for name, text in files if name.endswith(ending)]:
-            return "\n".join(found)
-    return ""
+@F.arrow_udf(T.StructType([T.StructField(name, T.StringType()) for name in _ENTRY]))
+def parsed_entry(chunks: pa.Array) -> pa.Array:
+    """Struct ``raw, ref_doi, ref_arxiv, ref_title`` of one entry; null where nothing is found."""
+    found = [tex.work(c or "") for c in chunks.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([f[n] for f in found], pa.string()) for n in _ENTRY], _ENTRY)
 
 
 @F.arrow_udf(T.StringType())
 def extract_source(archives: pa.Array) -> pa.Array:
-    return pa.array([source_of(a) for a in archives.to_pylist()], pa.string())
+    """Bibliography text of each submission's bytes."""
+    return pa.array([tex.source_of(a) for a in archives.to_pylist()], pa.string())

@@ -18,13 +18,17 @@ def indices(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def match_refs(refs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Adds ``matched_key``: by DOI, else by the archive's DOI of the id, else by title; null without a match."""
+    """Adds ``matched_key``: by DOI, else by the archive's DOI of the id, else by title; null without a match.
+
+    A missing key is joined as a key of its own row that nothing has, so that rows without one are spread over all tasks.
+    """
     by_doi, by_title, _ = indices(corpus)
     keyed = refs.withColumns({
         "_doi": F.nullif(text.normalize_doi(F.col("ref_doi")), F.lit("")), "_arxiv": F.nullif(text.arxiv_doi(F.col("ref_arxiv")), F.lit("")),
         "_title": F.nullif(text.norm_title(F.col("ref_title")), F.lit("")),
     })
-    out = keyed
+    none = F.concat(F.lit("\u0000"), F.xxhash64(*refs.columns).cast("string"))
+    out = keyed.withColumns({name: F.coalesce(name, none) for name in ("_doi", "_arxiv", "_title")})
     for name, table, column in (("_doi", by_doi, "doi"), ("_arxiv", by_doi, "doi"), ("_title", by_title, "title")):
         out = out.join(table.select(F.col(column).alias(name), F.col("key").alias(f"{name}_key")), name, "left")
     found = F.coalesce("_doi_key", "_arxiv_key", "_title_key")

@@ -28,17 +28,22 @@ def assert_columns(patch: DataFrame, keys: Sequence[str], allowed: Sequence[str]
 
 
 def upsert(current: DataFrame, patch: DataFrame, keys: Sequence[str], allowed: Sequence[str] | None = None) -> DataFrame:
-    """Inserts or enriches by key; only the patch's columns are touched. A patch of keys alone inserts what is missing."""
+    """Inserts or enriches by key; only the patch's columns are touched. A patch of keys alone inserts what is missing.
+
+    A null is a key like any other. A patch that has a key twice fails when it is run.
+    """
     assert_columns(patch, keys, current.columns if allowed is None else allowed)
     mine = current.select(*[F.col(c).alias(f"_c_{c}") for c in current.columns], F.lit(True).alias("_c"))
     news = patch.select(*[F.col(c).alias(f"_p_{c}") for c in patch.columns], F.lit(True).alias("_p"))
-    on = [F.col(f"_c_{k}") == F.col(f"_p_{k}") for k in keys]
+    once = F.count("*").over(Window.partitionBy(*[f"_p_{k}" for k in keys])) == 1
+    news = news.withColumn("_p", F.when(once, F.col("_p")).otherwise(F.raise_error(F.lit("a patch has a key twice")).cast("boolean")))
+    on = [F.col(f"_c_{k}").eqNullSafe(F.col(f"_p_{k}")) for k in keys]
     both = mine.join(news, on, "full_outer")
     out = []
     for name in dict.fromkeys((*current.columns, *patch.columns)):
         old, new = F.col(f"_c_{name}"), F.col(f"_p_{name}")
         if name in keys:
-            value = F.coalesce(old, new)
+            value = F.when(F.col("_c"), old).otherwise(new)
         elif name not in patch.columns:
             value = old
         elif name not in current.columns:

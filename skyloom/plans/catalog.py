@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text, vectors
 from ..operators import archive, cluster, gate, grade, match, rank, store
 from ..sources import feeds
-from . import render
+from . import claims, providers, render
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -154,10 +154,8 @@ def band_counts(spark, sf_dir):
     return gate.band_counts(gate.select(_graded(spark, sf_dir), GATE, "vec_id", ["label"]), ["label"])
 
 
-@query("tally_sentence", f"""WITH {_gate_sql(GATE, 'label')}, c AS ({_COUNTS}),
-t AS (SELECT *, concat_ws(' · ', CASE WHEN look > 0 THEN look || ' worth a look' END, CASE WHEN longshot > 0 THEN longshot || CASE WHEN longshot = 1 THEN ' long shot' ELSE ' long shots' END END) AS rest FROM c)
-SELECT label, CASE WHEN paydirt + look + longshot = 0 THEN '' WHEN paydirt = 0 THEN 'No pay dirt today' || CASE WHEN rest <> '' THEN ' — ' || rest ELSE '' END || '.'
-  ELSE concat_ws(' · ', paydirt || ' pay dirt', nullif(rest, '')) || '.' END AS tally FROM t""")
+@query("tally_sentence", f"""WITH {_gate_sql(GATE, 'label')}, c AS ({_COUNTS})
+SELECT label, concat_ws('; ', CASE WHEN paydirt > 0 THEN 'pay dirt: ' || paydirt END, CASE WHEN look > 0 THEN 'worth a look: ' || look END, CASE WHEN longshot > 0 THEN 'long shot: ' || longshot END) AS tally FROM c""")
 def tally_sentence(spark, sf_dir):
     return band_counts(spark, sf_dir).select("label", gate.tally(F.col("paydirt"), F.col("look"), F.col("longshot")).alias("tally"))
 
@@ -308,12 +306,6 @@ def xml_escaped(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.xml_escape(F.col("html")), 256).alias("sha"))
 
 
-@query("html_titles", "SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS size FROM pages")
-def html_titles(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"), F.length(F.regexp_replace("html", "<[^>]*>", "")).cast("long").alias("size"))
-
-
 @query("word_lists", r"SELECT page_id, len(list_distinct(list_filter(list_transform(string_split_regex(url, '[/?#&=.]'), lambda x: trim(x)), lambda x: x <> ''))) AS n FROM pages")
 def word_lists(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(text.distinct_list(F.col("url"), "[/?#&=.]")).cast("long").alias("n"))
@@ -479,11 +471,12 @@ def bibliography_matches(spark, sf_dir):
     return found.select("cite_key", F.array_join("matched", " ").alias("matched"))
 
 
-@query("overlap_ordered", "WITH n AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS spot FROM lineitem), f AS (SELECT l_orderkey AS cite_key, l_suppkey AS s, min(spot) AS pos FROM n WHERE l_suppkey % 2 = 0 GROUP BY ALL) SELECT cite_key, string_agg('S' || s, ' ' ORDER BY pos) AS matched FROM f GROUP BY cite_key")
+@query("overlap_ordered", "WITH n AS (SELECT l_orderkey, CASE WHEN l_returnflag <> 'R' THEN l_suppkey END AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS spot FROM lineitem), f AS (SELECT l_orderkey AS cite_key, s, min(spot) AS pos FROM n WHERE s IN (SELECT s_suppkey FROM supplier) GROUP BY ALL) SELECT cite_key, string_agg('S' || s, ' ' ORDER BY pos) AS matched FROM f GROUP BY cite_key")
 def overlap_ordered(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("cite_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: F.concat(F.lit("W"), x.l_suppkey)).alias("referenced_works"))
+    work = F.when(F.col("l_returnflag") != "R", F.concat(F.lit("W"), "l_suppkey")).otherwise("elsewhere")  # what was returned isn't in the corpus
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("cite_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", work.alias("work")))), lambda x: x.work).alias("referenced_works"))
     s = F.col("s_suppkey")
-    corpus = table(spark, sf_dir, "supplier").where(s % 2 == 0).select(s.alias("corpus_pos"), F.concat(F.lit("S"), s).alias("cite_key"), F.concat(F.lit("W"), s).alias("openalex_id"), F.lit(None).cast("string").alias("doi"), F.col("s_name").alias("title"))
+    corpus = table(spark, sf_dir, "supplier").select(s.alias("corpus_pos"), F.concat(F.lit("S"), s).alias("cite_key"), F.concat(F.lit("W"), s).alias("openalex_id"), F.lit(None).cast("string").alias("doi"), F.col("s_name").alias("title"))
     return match.overlap(lines, corpus).select("cite_key", F.array_join("matched", " ").alias("matched"))
 
 
@@ -567,7 +560,13 @@ def feed_overlap(spark, sf_dir):
     return archive.jaccard(rows).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("budget_spend")
+@query("budget_spend", """WITH RECURSIVE e AS (SELECT CAST(ts AS DATE) AS day, event_id AS seq, CAST(user_id AS VARCHAR) AS client, CASE WHEN event_type = 'refund' THEN -2 ELSE event_id % 4 + 1 END AS want,
+  row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS n FROM events),
+s AS (SELECT day, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, '' AS client, CAST(0 AS BIGINT) AS want, CAST(0 AS BIGINT) AS granted, CAST(0 AS BIGINT) AS mine, CAST(0 AS BIGINT) AS every, CAST(MAP {} AS MAP(VARCHAR, BIGINT)) AS m FROM (SELECT DISTINCT day FROM e)
+UNION ALL SELECT day, n, seq, client, want, granted, greatest(0, had + granted), greatest(0, every + granted), map_concat(m, MAP([client], [greatest(0, had + granted)])) FROM (
+  SELECT e.*, s.every, s.m, coalesce(s.m[e.client], 0) AS had, CASE WHEN e.want < 0 THEN e.want ELSE greatest(0, least(e.want, 100 - s.every, 10 - coalesce(s.m[e.client], 0))) END AS granted
+  FROM s JOIN e ON e.day = s.day AND e.n = s.n + 1))
+SELECT day, seq, client, want, granted, mine AS client_calls, every AS global_calls FROM s WHERE n > 0""")
 def budget_spend(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     want = F.when(F.col("event_type") == "refund", -2).otherwise((F.col("event_id") % 4 + 1).cast("int"))
@@ -577,10 +576,10 @@ def budget_spend(spark, sf_dir):
 
 @query("brief_lines", f"""WITH {_P}, d AS (SELECT max(briefed_on) AS d FROM i), s AS (SELECT i.* FROM i, d WHERE briefed_on = d), o AS (SELECT * FROM i WHERE briefed_on IS NULL),
 c AS (SELECT (SELECT count(*) FROM s) AS n, (SELECT count(*) FROM o) AS m, (SELECT count(*) FROM o WHERE relevant) AS r, (SELECT d FROM d) AS d)
-SELECT 0 AS section, CAST(0 AS BIGINT) AS pos, '# Morning brief, ' || CAST(d AS VARCHAR) || chr(10) || chr(10) || '*' || n || ' of ' || (n + m) || ' papers made the cut, ' || (n + r) || ' were on topic.*' AS line FROM c
-UNION ALL SELECT 1, row_number() OVER (ORDER BY importance DESC NULLS LAST, cite_key), '## ' || row_number() OVER (ORDER BY importance DESC NULLS LAST, cite_key) || '. Paper ' || cite_key || chr(10) || chr(10) || '**Why it matters:** —' || chr(10) || chr(10) || '**Connection:** —' || chr(10) || chr(10) || '**Verdict: skim** · [arXiv:2401.' || cite_key || '](https://arxiv.org/abs/2401.' || cite_key || ') · [PDF](https://arxiv.org/pdf/2401.' || cite_key || ')' || chr(10) || chr(10) || '<sub>Paper ' || cite_key || '</sub>' FROM s
-UNION ALL SELECT 2, 0, '## Also evaluated (' || m || ')' || chr(10) || chr(10) || '| Paper | On topic | Why not |' || chr(10) || '|---|---|---|' FROM c
-UNION ALL SELECT 3, row_number() OVER (ORDER BY relevant DESC NULLS LAST, importance DESC NULLS LAST, cite_key), '| [Paper ' || cite_key || '](https://arxiv.org/abs/2401.' || cite_key || ') | ' || CASE WHEN relevant THEN 'yes' ELSE 'no' END || ' | ' || replace(filter_reason, '|', '\\|') || ' |' FROM o""")
+SELECT 0 AS section, CAST(0 AS BIGINT) AS pos, '# Papers of ' || CAST(d AS VARCHAR) || chr(10) || chr(10) || 'chosen: ' || n || ', judged: ' || (n + m) || ', relevant: ' || (n + r) AS line FROM c
+UNION ALL SELECT 1, row_number() OVER (ORDER BY importance DESC NULLS LAST, cite_key), '## ' || row_number() OVER (ORDER BY importance DESC NULLS LAST, cite_key) || ' Paper ' || cite_key || chr(10) || '- claim: not said' || chr(10) || '- stakes: not said' || chr(10) || '- connection: not said' || chr(10) || '- verdict: skim' || chr(10) || '- https://arxiv.org/abs/2401.' || cite_key FROM s
+UNION ALL SELECT 2, 0, '# Set aside: ' || m FROM c
+UNION ALL SELECT 3, row_number() OVER (ORDER BY relevant DESC NULLS LAST, importance DESC NULLS LAST, cite_key), '* Paper ' || cite_key || CASE WHEN relevant THEN ' (relevant)' ELSE '' END || ': ' || filter_reason || ' https://arxiv.org/abs/2401.' || cite_key FROM o""")
 def brief_lines(spark, sf_dir):
     papers = _important(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("claim", "stakes", "connection", "verdict")})
     day = papers.agg(F.max("briefed_on")).first()[0]
@@ -603,8 +602,283 @@ def rss_items(spark, sf_dir):
     return render.rss(items, "https://example.org/")
 
 
-@query("dialogue_openers", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id, role, sha256(coalesce(text, '')) AS sha FROM r WHERE n = 1")
+@query("dialogue_openers", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id, role, sha256(trim(regexp_replace(coalesce(text, ''), '" + _WS + "', ' ', 'g'))) AS sha FROM r WHERE n = 1")
 def dialogue_openers(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return rows.withColumn("n", first).where("n = 1").select("conv_id", "role", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    return store.latest(table(spark, sf_dir, "conversations"), ["conv_id"], [F.col("turn")]).select("conv_id", "role", text.text_sha(F.col("text")).alias("sha"))
+
+
+# texts that are made of the rows' own values, so that the SQL says what must come out
+
+
+def _docs(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), "text")
+
+
+def _said(*parts: str | F.Column) -> F.Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+_ID5 = "lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0')"
+
+
+@query("bare_ids", f"SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'cond-mat/05' ELSE '2401.' END || {_ID5} AS bare, '2401.' || {_ID5} AS linked FROM documents")
+def bare_ids(spark, sf_dir):
+    five = F.lpad((F.col("doc_id") % 100_000).cast("string"), 5, "0")
+    kind = F.col("doc_id") % 3
+    raw = F.when(kind == 0, _said("https://arxiv.org/abs/2401.", five, "v12")).when(kind == 1, _said(" arXiv:2401.", five)).otherwise(_said("cond-mat/05", five, "v1"))
+    return _docs(spark, sf_dir).select("doc_id", text.bare_arxiv_id(raw).alias("bare"), text.linked_arxiv_id(_said("http://export.example.org/x/abs/2401.", five, "v3")).alias("linked"))
+
+
+@query("cite_keys", "SELECT o_orderkey, 'Munoz' || CASE WHEN o_orderkey % 2 = 0 THEN CAST(year(o_orderdate) AS VARCHAR) ELSE '' END || '_2401.' || o_orderkey AS cite_key FROM orders")
+def cite_keys(spark, sf_dir):
+    day = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate").cast("string")).otherwise("unknown")
+    names = F.array(F.lit("Ana de MUÑOZ"), F.lit("Someone Else"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.cite_key(names, day, _said("arXiv:2401.", F.col("o_orderkey").cast("string"), "v2")).alias("cite_key"))
+
+
+@query("bibliography_entries", f"""SELECT doc_id, ref_pos, CASE ref_pos WHEN 0 THEN '10.1000/abc.' || doc_id END AS ref_doi, CASE ref_pos WHEN 1 THEN '2401.' || {_ID5} WHEN 2 THEN 'cond-mat/0' || lpad(CAST(doc_id % 1000000 AS VARCHAR), 6, '0') END AS ref_arxiv
+FROM documents, (SELECT unnest([0, 1, 2]) AS ref_pos)""")
+def bibliography_entries(spark, sf_dir):
+    five, six = (F.lpad((F.col("doc_id") % 10**n).cast("string"), n, "0") for n in (5, 6))
+    source = _said(r"\begin{x}{99} \bibitem{a} A. One, J. Sc. 12 (1999), doi:10.1000/ABC.", F.col("id"), r". \bibitem{b} B. Two, arXiv:2401.", five, r"v2, 2024. \bibitem{c} C. Three, cond-mat/0", six, ".")
+    works = _docs(spark, sf_dir).select("doc_id", source.alias("source"))
+    return feeds.references(works, "doc_id").select("doc_id", "ref_pos", "ref_doi", "ref_arxiv")
+
+
+@query("typed_entries", "SELECT item_id, CASE WHEN k = 0 THEN 'A {nested} title ' || item_id ELSE 'Second ' || item_id END AS ref_title, CASE WHEN k = 0 THEN '10.1000/x' || item_id END AS ref_doi FROM benchmark, (SELECT unnest([0, 1]) AS k)")
+def typed_entries(spark, sf_dir):
+    own = F.col("item_id").cast("string")
+    source = _said("@article{a, booktitle = {None}, title = {A {nested}\n title ", own, "}, doi = {10.1000/X", own, "}}\n@misc{b,\n title=\"Second ", own, "\", year=2001}")
+    works = table(spark, sf_dir, "benchmark").select("item_id", source.alias("source"))
+    return feeds.references(works, "item_id").select("item_id", "ref_title", "ref_doi")
+
+
+@query("bib_doi_lists", "SELECT item_id, '10.5/' || item_id || ' ' || '10.6/' || item_id AS dois, 'x.' || item_id AS cleaned FROM benchmark")
+def bib_doi_lists(spark, sf_dir):
+    own = F.col("item_id").cast("string")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.bib_dois(_said("doi = {10.5/", own, "}, DOI={ 10.6/", own, " }, doi={10.}")), " ").alias("dois"), text.clean_doi(_said("X.", own, ".,;)}]\"'")).alias("cleaned"))
+
+
+@query("tex_letters", r"SELECT doc_id, 'Schrödinger und Łódź ' || doc_id || ': αβ-Zerfall, 90° \unknown' AS plain, 'E. van Strasse-' || doc_id AS short FROM documents")
+def tex_letters(spark, sf_dir):
+    markup = _said(r'Schr\"{o}dinger und \L ', r"\'od\'z ", F.col("id"), r": {\alpha}\beta-Zerfall, 90{\deg} \unknown")
+    name = _said(r"\'Eva van Stra{\ss}e-", F.col("id"))
+    return _docs(spark, sf_dir).select("doc_id", text.de_latex(markup).alias("plain"), text.short_author(name).alias("short"))
+
+
+@query("author_lists", "SELECT c_custkey, 'J.-P. van ' || c_name || ', A. B. ' || c_name AS authors FROM customer")
+def author_lists(spark, sf_dir):
+    both = F.array(_said("Jean-Pierre van ", F.col("c_name")), F.lit(None).cast("string"), _said(F.col("c_name"), ", Ana B."))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.short_authors(both).alias("authors"))
+
+
+@query("announced_abstracts", f"SELECT doc_id, sha256({_COLLAPSED}) AS sha, sha256(trim(regexp_replace('Title ' || doc_id || ' ' || CASE WHEN doc_id % 2 = 0 THEN 'Title ' || doc_id ELSE 'body' END, ' +', ' ', 'g'))) AS embed_sha FROM documents")
+def announced_abstracts(spark, sf_dir):
+    title = _said("Title ", F.col("id"))
+    body = F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise("body")
+    announced = _said("arXiv:2401.00001 Announce Type: new\nAbstract: ", F.coalesce("text", F.lit("")))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(text.abstract_of(announced), 256).alias("sha"), F.sha2(text.embed_text(title, body), 256).alias("embed_sha"))
+
+
+@query("json_lists", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a|' || doc_id WHEN 1 THEN 'not json ' || doc_id WHEN 2 THEN CAST(doc_id AS VARCHAR) WHEN 3 THEN '' ELSE '[broken ' || doc_id END AS items FROM documents")
+def json_lists(spark, sf_dir):
+    kind, own = F.col("doc_id") % 5, F.col("id")
+    raw = F.when(kind == 0, _said('["a", "', own, '"]')).when(kind == 1, _said("not json ", own)).when(kind == 2, own).when(kind == 4, _said("[broken ", own))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(text.json_list(raw), "|").alias("items"))
+
+
+@query("rebuilt_abstracts", f"SELECT doc_id, sha256({_COLLAPSED}) AS sha FROM documents WHERE {_COLLAPSED} <> ''")
+def rebuilt_abstracts(spark, sf_dir):
+    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(text.collapse(F.coalesce("text", F.lit(""))), " ")).alias("pos", "word"))
+    places = words.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
+    rebuilt = text.rebuild_abstract(F.col("index"))
+    return index.where(rebuilt != "").select("doc_id", F.sha2(rebuilt, 256).alias("sha"))
+
+
+@query("vector_codec", "SELECT vec_id, 64 AS floats, true AS same, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(range(1, 65), lambda x: CAST(x AS DOUBLE))), 6) AS cosine FROM embeddings")
+def vector_codec(spark, sf_dir):
+    packed = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", vectors.pack_vector(F.col("embedding")).alias("data"))
+    back = vectors.unpack_vector(F.unbase64(vectors.hex_to_base64(vectors.base64_to_hex(F.base64("data")))))
+    ramp = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: x.cast("double"))
+    return packed.select("vec_id", vectors.floats_in(F.col("data")).alias("floats"), (back == F.col("embedding")).alias("same"), F.round(vectors.cosine(vectors.doubles(F.col("embedding")), ramp), 6).alias("cosine"))
+
+
+@query("snapshot_ages", "SELECT o_orderkey, CAST(DATE '1999-01-01' - CAST(o_orderdate AS DATE) AS INTEGER) AS age, CASE WHEN DATE '1999-01-01' - CAST(o_orderdate AS DATE) > 1500 THEN 'the corpus is ' || (DATE '1999-01-01' - CAST(o_orderdate AS DATE)) || ' days old' END AS warning, CAST(CAST(o_orderdate AS DATE) - 30 AS DATE) AS cutoff FROM orders")
+def snapshot_ages(spark, sf_dir):
+    day, today = F.to_date("o_orderdate"), F.lit("1999-01-01").cast("date")
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.snapshot_age(day, today).alias("age"), dates.staleness(day, today, 1500).alias("warning"), dates.retention_cutoff(day, 30).alias("cutoff"))
+
+
+@query("build_dates", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) + 1 AS built FROM orders")
+def build_dates(spark, sf_dir):
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return days.select("day", dates.build_date(F.lit(" "), F.date_format("day", "EEE, dd MMM yyyy '22:30:00 -0400'")).alias("built"))
+
+
+@query("short_numbers", r"SELECT vec_id, regexp_replace(regexp_replace(printf('%.2f', round(CAST(embedding[1] AS DOUBLE) * 8, 2) + 0.0), '(\.[0-9]*?)0+$', '\1'), '\.$', '') AS z FROM embeddings")
+def short_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", render.short_number(F.get("embedding", F.lit(0)).cast("double") * 8).alias("z"))
+
+
+@query("cached_vectors_pruned", "SELECT user_id, count(*) AS n FROM events WHERE CAST(ts AS DATE) >= (SELECT max(CAST(ts AS DATE)) - 3 FROM events) GROUP BY user_id")
+def cached_vectors_pruned(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("seen_at", F.to_date("ts"))
+    newest = events.agg(F.max("seen_at")).first()[0]
+    kept = store.cache_prune(events, dates.retention_cutoff(F.lit(newest), 3))
+    return kept.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("cache_touched", "WITH h AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'click') SELECT event_id, CASE WHEN user_id IN (SELECT k FROM h) THEN DATE '2030-01-01' ELSE CAST(ts AS DATE) END AS seen_at FROM events")
+def cache_touched(spark, sf_dir):
+    cache = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("text_sha"), F.to_date("ts").alias("seen_at"), "event_type")
+    return store.cache_touch(cache, cache.where("event_type = 'click'"), F.lit("2030-01-01").cast("date")).select("event_id", "seen_at")
+
+
+@query("parents_without_children", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def parents_without_children(spark, sf_dir):
+    return store.has_children(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", False).select("c_custkey")
+
+
+@query("status_patch", "SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'ranked' ELSE 'new' END AS status FROM orders")
+def status_patch(spark, sf_dir):
+    papers = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.lit("new").alias("status"))
+    return store.set_status(papers, papers.where("o_totalprice > 150000"), "ranked", "o_orderkey").select("o_orderkey", "status")
+
+
+@query("latest_summaries", "SELECT o_custkey, max(o_orderdate) AS created_at FROM orders GROUP BY o_custkey")
+def latest_summaries(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cite_key"), F.lit("").alias("user_id"), F.col("o_orderdate").alias("created_at"), F.col("o_clerk" if "o_clerk" in table(spark, sf_dir, "orders").columns else "o_orderstatus").alias("llm_model"))
+    return store.latest_summary(rows).select(F.col("cite_key").alias("o_custkey"), "created_at")
+
+
+@query("resolved_works", "SELECT p_partkey AS cite_key, 'W' || p_partkey AS openalex_id FROM part WHERE p_partkey % 2 = 0")
+def resolved_works(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cite_key"), _said("https://doi.org/10.7/P", F.col("p_partkey").cast("string")).alias("doi"))
+    works = parts.where("cite_key % 2 = 0").select(_said("W", F.col("cite_key").cast("string")).alias("openalex_id"), F.upper("doi").alias("doi"))
+    return match.resolve_by_doi(parts, works.withColumn("doi", F.replace("doi", F.lit("HTTPS://DOI.ORG/"), F.lit("doi:")))).select("cite_key", "openalex_id")
+
+
+@query("scite_counts", "SELECT o_orderkey AS arxiv_id, CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS BIGINT) END AS scites FROM orders")
+def scite_counts(spark, sf_dir):
+    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("arxiv_id"), F.col("o_orderstatus").alias("s"), F.col("o_custkey").cast("long").alias("scites"))
+    return match.scites(papers.select("arxiv_id"), papers.where("s = 'F'")).select("arxiv_id", "scites")
+
+
+@query("category_names", "SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'Quantum physics' ELSE 'cat-' || (s_nationkey % 3) END AS name FROM supplier")
+def category_names(spark, sf_dir):
+    code = _said("cat-", (F.col("s_nationkey") % 3).cast("string"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", match.category_name(code, {"cat-0": "Quantum physics"}).alias("name"))
+
+
+@query("verdict_words", "SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'other' END AS role FROM conversations")
+def verdict_words(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", rank.verdict(F.col("role"), ("user", "assistant"), "other").alias("role"))
+
+
+@query("haul_counts", "SELECT count(*) FILTER (event_type = 'click') AS \"new\", 0 AS \"cross\", count(*) FILTER (event_type = 'view') AS earlier, count(*) FILTER (user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')) AS cached, count(*) AS total FROM events")
+def haul_counts(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "click", "new").when(F.col("event_type") == "view", "earlier").otherwise("other")
+    stones = events.select(kind.alias("announce"), F.col("user_id").alias("text_sha"))
+    return archive.haul_breakdown(stones, events.where("event_type = 'purchase'").select(F.col("user_id").alias("text_sha")))
+
+
+@query("slug_suffixes", "SELECT event_id, event_type || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS slug FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)")
+def slug_suffixes(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("slug"))
+    return archive.unique_slugs(rows, order="event_id").select("event_id", "slug")
+
+
+@query("drifted_slugs", "SELECT CAST(c_custkey AS VARCHAR) AS slug, 'directory' AS only_in FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'x', 'manifest'")
+def drifted_slugs(spark, sf_dir):
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("slug"))
+    listed = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("slug")).distinct().unionByName(spark.createDataFrame([("x",)], "slug string"))
+    return archive.drift(own, listed)
+
+
+@query("cited_titles", "SELECT o_custkey, least(count(*), 8) AS shown, greatest(count(*) - 8, 0) AS more FROM orders GROUP BY o_custkey")
+def cited_titles(spark, sf_dir):
+    cited = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("cited"))
+    said = providers.connection_prompt(F.col("cited"))
+    more = F.coalesce(F.nullif(F.regexp_extract(said, r"and (\d+) more$", 1), F.lit("")).cast("long"), F.lit(0))
+    return cited.select("o_custkey", F.regexp_count(said, F.lit(r"(?m)^- \d+$")).cast("long").alias("shown"), more.alias("more"))
+
+
+@query("hourly_meter", """WITH RECURSIVE e AS (SELECT user_id AS client, event_id AS seq, CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT) AS t, event_id % 3 + 1 AS want, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(CAST(ts AS TIMESTAMP))), event_id) AS n FROM events),
+s AS (SELECT client, seq, n, t AS opened, want AS used, true AS allowed FROM e WHERE n = 1
+UNION ALL SELECT client, seq, n, opened, CASE WHEN had + want <= 4 THEN had + want ELSE had END, had + want <= 4 FROM (
+  SELECT e.*, CASE WHEN e.t >= s.opened + 86400 THEN e.t ELSE s.opened END AS opened, CASE WHEN e.t >= s.opened + 86400 THEN 0 ELSE s.used END AS had FROM s JOIN e ON e.client = s.client AND e.n = s.n + 1))
+SELECT seq, allowed, CAST(used AS BIGINT) AS used FROM s""")
+def hourly_meter(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("client"), F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("at"), (F.col("event_id") % 3 + 1).alias("want"))
+    return archive.hourly(rows, 4, 86_400).select("seq", "allowed", "used")
+
+
+@query("group_counts", f"WITH s AS (SELECT label, vec_id % 37 AS root, count(*) AS n FROM embeddings GROUP BY ALL) SELECT label, count(*) FILTER (n >= {cluster.LEAST}) AS clusters, CAST(coalesce(sum(n) FILTER (n >= {cluster.LEAST}), 0) AS BIGINT) AS placed, coalesce(max(n) FILTER (n >= {cluster.LEAST}), 0) AS largest, CAST(sum(n) AS BIGINT) AS total FROM s GROUP BY label")
+def group_counts(spark, sf_dir):
+    return cluster.group_counts(table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 37).alias("root")), ["label"])
+
+
+@query("cluster_names", "WITH s AS (SELECT label, vec_id, round(CAST(embedding[1] AS DOUBLE), 3) AS s FROM embeddings) SELECT label, arg_min(vec_id, struct_pack(a := -s, b := vec_id)) AS center, count(*) AS n, CASE WHEN label % 2 = 0 THEN 'name ' || label ELSE 'Cluster ' || label END AS said FROM s GROUP BY label")
+def cluster_names(spark, sf_dir):
+    scored = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 3).alias("sum"))
+    groups = cluster.center_of(scored, "label", "vec_id").withColumn("number", F.col("label"))
+    reply = F.to_json(F.array(F.struct(F.col("label").alias("group"), F.when(F.col("label") % 2 == 0, _said("name ", F.col("label").cast("string"))).otherwise("").alias("name"), F.lit("g").alias("gloss")), F.struct(F.col("label").alias("group"), F.lit("late").alias("name"), F.lit("").alias("gloss"))))
+    answers = groups.select(F.posexplode(providers.names(F.when(F.col("label") % 2 == 0, reply).otherwise("broken"))).alias("pos", "r")).select("pos", "r.*")
+    named = providers.named_groups(groups, answers)
+    return named.select("label", "center", "n", providers.cluster_label(F.col("name"), F.col("number")).alias("said"))
+
+
+@query("enrichment_checks", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{providers.VERDICTS[0]}' ELSE '' END AS verdict, CASE WHEN doc_id % 3 = 2 THEN '' ELSE 'head ' || doc_id END AS headline, CASE WHEN doc_id % 3 = 1 THEN '' ELSE 'a b|c' END AS tools FROM documents WHERE doc_id % 4 <> 3")
+def enrichment_checks(spark, sf_dir):
+    kind, own = F.col("doc_id") % 3, F.col("id")
+    verdict = F.when(kind == 0, f" {providers.VERDICTS[0].upper()} ").otherwise("nonsense")
+    reply = _said('{"verdict": "', verdict, '", "headline": "', F.when(kind == 2, "").otherwise(_said(" head  ", own)), '", "tools": ', F.when(kind == 1, "[]").otherwise('["a  b", " ", "c"]'), "}")
+    empty = F.when(F.col("doc_id") % 8 == 3, "broken").when(F.col("doc_id") % 8 == 7, '{"verdict": "x", "headline": " "}').otherwise(reply)
+    found = _docs(spark, sf_dir).select("doc_id", providers.enrichment(empty).alias("e")).where("e is not null")
+    return found.select("doc_id", "e.verdict", "e.headline", F.array_join("e.tools", "|").alias("tools"))
+
+
+@query("pruned_names", "WITH d AS (SELECT max(CAST(ts AS DATE)) AS d FROM events) SELECT count(*) FILTER (CAST(ts AS DATE) >= d - 60) AS names, count(*) FILTER (CAST(ts AS DATE) >= d - 7) AS meters, count(*) FILTER (CAST(ts AS DATE) >= d - 5) AS enrichments FROM events, d")
+def pruned_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("seen"), F.to_date("ts").alias("day"))
+    today = F.lit(rows.agg(F.max("day")).first()[0])
+    names, meters = archive.prune_names(rows.select("seen"), rows.select("day"), today)
+    kept = archive.prune_enrichment(rows.select("seen"), today, 5)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(names, "names").crossJoin(count(meters, "meters")).crossJoin(count(kept, "enrichments"))
+
+
+@query("client_hashes", "SELECT DISTINCT user_id, substr(sha256('salt' || user_id), 1, 32) AS hash FROM events")
+def client_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", text.client_hash("salt", F.col("user_id").cast("string")).alias("hash")).distinct()
+
+
+@query("cacheable_rows", "SELECT event_id FROM events WHERE event_type <> 'click' OR user_id % 2 = 0")
+def cacheable_rows(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "touchstone").otherwise("core")
+    rows = table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), F.when(F.col("user_id") % 2 == 0, "carry").alias("preset"))
+    return claims.cacheable(rows).select("event_id")
+
+
+@query("active_presets", "SELECT CASE WHEN count(DISTINCT event_type) = 1 THEN max(event_type) END AS preset, false AS edited FROM events")
+def active_presets(spark, sf_dir):
+    return claims.active_preset(table(spark, sf_dir, "events").select(F.col("event_type").alias("preset")))
+
+
+@query("preset_rows", "SELECT 'f' || c_custkey AS slug, 0 AS row_idx, 'touchstone' AS kind, 'a ' || c_name AS said, CAST(2.5 AS DOUBLE) AS weight FROM customer UNION ALL SELECT 'f' || c_custkey, 2, 'core', 'doi:10.9/' || c_custkey, CAST(1 AS DOUBLE) FROM customer")
+def preset_rows(spark, sf_dir):
+    own = F.col("c_custkey").cast("string")
+    raw = _said('{"name": "n", "touchstones": [{"text": " a ', F.col("c_name"), '", "weight": "2.5"}, {"text": " ", "weight": "1"}], "cores": [{"doi": "https://doi.org/10.9/', own, '", "weight": "x"}]}')
+    claim = table(spark, sf_dir, "customer").select(_said("f", own).alias("slug"), F.from_json(raw, "struct<touchstones: array<struct<text: string, weight: string, preset: string>>, cores: array<struct<doi: string, weight: string>>>").alias("c"))
+    found = feeds.units(claim.select("slug", "c.*"))
+    return found.select("slug", "row_idx", "kind", F.coalesce("text", "doi").alias("said"), "weight")
+
+
+@query("null_keys_upserted", "WITH c AS (SELECT DISTINCT CASE WHEN user_id % 5 > 0 THEN user_id END AS k FROM events) SELECT k, CASE WHEN k IS NULL OR k % 2 = 0 THEN 'new' ELSE 'old' END AS v FROM c UNION ALL SELECT -1, 'new'")
+def null_keys_upserted(spark, sf_dir):
+    keys = table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 5 > 0, F.col("user_id").cast("long")).alias("k")).distinct()
+    patch = keys.where("k is null or k % 2 = 0").unionByName(spark.createDataFrame([(-1,)], "k long"))
+    return store.upsert(keys.withColumn("v", F.lit("old")), patch.withColumn("v", F.lit("new")), ["k"])

@@ -31,28 +31,24 @@ def joined(lines: DataFrame, line: str, pos: str) -> DataFrame:
 
 
 def brief(papers: DataFrame, day: str) -> DataFrame:
-    """Lines of the morning brief: ``section, pos, line``: pitched papers by importance, then everything else that was judged."""
+    """Lines of the day's page: ``section, pos, line``: chosen papers by importance, then all others that were judged."""
     shown = papers.where(F.col("briefed_on") == F.lit(day).cast("date"))
     rest = papers.where(F.col("briefed_on").isNull())
+    text_of = lambda c: F.col(c).cast("string")
+    line = lambda section, pos, c: [F.lit(section).alias("section"), pos.cast("long").alias("pos"), c.alias("line")]
     counts = shown.agg(F.count("*").alias("n")).crossJoin(rest.agg(F.count("*").alias("m"), F.count_if("relevant").alias("r")))
-    some = F.concat(F.lit("*"), F.col("n").cast("string"), F.lit(" of "), (F.col("n") + F.col("m")).cast("string"), F.lit(" papers made the cut, "), (F.col("n") + F.col("r")).cast("string"), F.lit(" were on topic.*"))
-    head = counts.select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("pos"), F.concat(F.lit(f"# Morning brief, {day}\n\n"), F.when(F.col("n") > 0, some).otherwise("*Nothing cleared the bar today.*")).alias("line"))
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("importance"), "cite_key"))
-    links = F.concat(F.lit("[arXiv:"), "arxiv_id", F.lit("](https://arxiv.org/abs/"), "arxiv_id", F.lit(") · [PDF](https://arxiv.org/pdf/"), "arxiv_id", F.lit(")"))
-    dash = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("—"))
-    slide = F.concat(
-        F.lit("## "), F.col("_n").cast("string"), F.lit(". "), F.coalesce(F.nullif("claim", F.lit("")), F.col("title")), F.lit("\n\n**Why it matters:** "), dash("stakes"),
-        F.lit("\n\n**Connection:** "), dash("connection"), F.lit("\n\n**Verdict: "), rank.verdict(F.coalesce("verdict", F.lit("skim"))), F.lit("** · "), links, F.lit("\n\n<sub>"), "title", F.lit("</sub>"),
-    )
-    slides = shown.withColumn("_n", n).select(F.lit(1).alias("section"), F.col("_n").cast("long").alias("pos"), slide.alias("line"))
-    table_head = rest.agg(F.count("*").alias("m")).select(F.lit(2).alias("section"), F.lit(0).cast("long").alias("pos"), F.concat(F.lit("## Also evaluated ("), F.col("m").cast("string"), F.lit(")"), F.when(F.col("m") > 0, "\n\n| Paper | On topic | Why not |\n|---|---|---|").otherwise("\n\nNothing else was evaluated.")).alias("line"))
+    head = F.concat(F.lit(f"# Papers of {day}\n\nchosen: "), text_of("n"), F.lit(", judged: "), (F.col("n") + F.col("m")).cast("string"), F.lit(", relevant: "), (F.col("n") + F.col("r")).cast("string"))
+    listed = F.concat(F.lit("# Set aside: "), text_of("m"))
+    both = counts.select(*line(0, F.lit(0), head)).unionByName(counts.select(*line(2, F.lit(0), listed)))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("importance"), "cite_key"))
+    said = lambda label, c: F.concat(F.lit(f"\n- {label}: "), F.coalesce(F.nullif(c, F.lit("")), F.lit("not said")))
+    link = F.concat(F.lit("\n- https://arxiv.org/abs/"), "arxiv_id")
+    slide = F.concat(F.lit("## "), text_of("_n"), F.lit(" "), "title", said("claim", "claim"), said("stakes", "stakes"), said("connection", "connection"), F.lit("\n- verdict: "), rank.verdict(F.coalesce("verdict", F.lit("skim"))), link)
+    slides = shown.withColumn("_n", place).select(*line(1, F.col("_n"), slide))
     k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("relevant"), F.desc_nulls_last("importance"), "cite_key"))
-    row = F.concat(
-        F.lit("| ["), text.cell(F.coalesce(F.nullif("title", F.lit("")), F.col("cite_key"))), F.lit("](https://arxiv.org/abs/"), "arxiv_id", F.lit(") | "),
-        F.when(F.col("relevant"), "yes").otherwise("no"), F.lit(" | "), text.cell(dash("filter_reason")), F.lit(" |"),
-    )
-    others = rest.withColumn("_k", k).select(F.lit(3).alias("section"), F.col("_k").cast("long").alias("pos"), row.alias("line"))
-    return head.unionByName(slides).unionByName(table_head).unionByName(others)
+    judged = F.when(F.col("relevant"), " (relevant)").otherwise("")
+    other = F.concat(F.lit("* "), F.coalesce(F.nullif("title", F.lit("")), F.col("cite_key")), judged, F.lit(": "), F.coalesce(F.nullif("filter_reason", F.lit("")), F.lit("not said")), F.lit(" https://arxiv.org/abs/"), "arxiv_id")
+    return both.unionByName(slides).unionByName(rest.withColumn("_k", k).select(*line(3, F.col("_k"), other)))
 
 
 def brief_text(papers: DataFrame, day: str) -> DataFrame:

@@ -79,7 +79,7 @@ def take_while(rows: DataFrame, cutoff: F.Column, pos: str = "pos", published: s
     """
     old = F.min(F.when(F.col(published) < cutoff, F.col(pos))).alias("_end")
     if keys:
-        joined = rows.join(F.broadcast(rows.groupBy(*keys).agg(old)), keys)
+        joined = rows.join(rows.groupBy(*keys).agg(old), keys)
     else:
         joined = rows.crossJoin(F.broadcast(rows.agg(old)))
     return joined.where(F.col("_end").isNull() | (F.col(pos) < F.col("_end"))).drop("_end")
@@ -107,9 +107,12 @@ def fetch_all(loaders: dict[str, Callable[[], DataFrame]]) -> DataFrame:
     return merge_sources(found)
 
 
-def haul(announced: DataFrame, earlier: DataFrame | None, cutoff: F.Column, most: int) -> DataFrame:
-    """The night's candidates: the announcement, then what the lookback adds, at most ``most``; none at all is an error."""
-    sources = [announced] if earlier is None else [announced, take_while(earlier, cutoff)]
+def haul(announced: DataFrame, earlier: DataFrame | None, cutoff: F.Column, most: int, each: str | None = None) -> DataFrame:
+    """The night's candidates: the announcement, then what the lookback adds, at most ``most``; none at all is an error.
+
+    With ``each`` (a category) every category's lookback ends at its own first old row; without, all end at the first of any.
+    """
+    sources = [announced] if earlier is None else [announced, take_while(earlier, cutoff, keys=[each] if each else None)]
     rows = merge_sources(sources).orderBy("_source", "pos").limit(most).drop("_source")
     if rows.isEmpty():
         raise RuntimeError("nothing was announced")
@@ -165,10 +168,10 @@ def presets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def units(claims: DataFrame) -> DataFrame:
-    """Query rows of presets: ``slug, row_idx, kind, text, doi, weight``; blank ones are dropped, a missing weight is 1."""
+    """Query rows of presets: ``slug, row_idx, kind, text, doi, weight``, cores after touchstones; blank ones are dropped, a missing weight is 1."""
     weight = lambda c: F.coalesce(c.try_cast("double"), F.lit(1.0))
     texts = claims.select("slug", F.posexplode("touchstones").alias("row_idx", "t")).select("slug", "row_idx", F.lit("touchstone").alias("kind"), F.trim("t.text").alias("text"), F.lit(None).cast("string").alias("doi"), weight(F.col("t.weight")).alias("weight"))
-    cores = claims.select("slug", F.posexplode("cores").alias("row_idx", "c")).select("slug", (F.col("row_idx") + 10_000).alias("row_idx"), F.lit("core").alias("kind"), F.lit(None).cast("string").alias("text"), text.doi_key(F.col("c.doi")).alias("doi"), weight(F.col("c.weight")).alias("weight"))
+    cores = claims.withColumn("touchstones", F.coalesce("touchstones", F.array().cast(claims.schema["touchstones"].dataType))).select("slug", "touchstones", F.posexplode("cores").alias("row_idx", "c")).select("slug", (F.col("row_idx") + F.size("touchstones")).alias("row_idx"), F.lit("core").alias("kind"), F.lit(None).cast("string").alias("text"), text.doi_key(F.col("c.doi")).alias("doi"), weight(F.col("c.weight")).alias("weight"))
     return texts.where("text != ''").unionByName(cores.where("doi != ''"))
 
 

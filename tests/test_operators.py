@@ -64,7 +64,7 @@ def test_bands_tallies_options(spark):
     assert [r.b for r in df.select(gate.band(F.col("z"), g).alias("b")).collect()] == ["paydirt", "paydirt", "look", "longshot", "longshot"]
     df = spark.createDataFrame([(0, 0, 0), (0, 1, 2), (0, 0, 1), (2, 0, 0), (1, 3, 1)], "p long, l long, s long")
     said = [r.t for r in df.select(gate.tally(F.col("p"), F.col("l"), F.col("s")).alias("t")).collect()]
-    assert said == ["", "No pay dirt today — 1 worth a look · 2 long shots.", "No pay dirt today — 1 long shot.", "2 pay dirt.", "1 pay dirt · 3 worth a look · 1 long shot."]
+    assert said == ["", "worth a look: 1; long shot: 2", "long shot: 1", "pay dirt: 2", "pay dirt: 1; worth a look: 3; long shot: 1"]
     assert gate.parse_gate({"min_z": 99, "min_items": "", "max_items": 0.2}) == gate.Gate(min_z=4.0, max_items=1)
     assert gate.parse_gate(None) == gate.Gate() and gate.preset_of(gate.Gate()) == "carry"
 

@@ -105,7 +105,7 @@ def test_stages_end_to_end(spark):
     done = papers.where("cite_key = 'a'").first()
     assert (done.status, done.verdict, done.importance, str(done.briefed_on)) == ("briefed", "skim", 0.9, "2026-08-17")
     page = render.brief_text(papers, "2026-08-17").first().document
-    assert page.startswith("# Morning brief, 2026-08-17") and "## 1. claim" in page and "| [Beta](https://arxiv.org/abs/2) | no | off topic |" in page
+    assert page.startswith("# Papers of 2026-08-17") and "\n- claim: claim\n" in page and "* Beta: off topic https://arxiv.org/abs/2" in page
     assert page == render.brief_text(papers, "2026-08-17").first().document
 
 
@@ -128,7 +128,7 @@ def test_enrichment_replies(spark):
 def test_rss_document(spark):
     items = spark.createDataFrame([("s", "2026-08-17", "1", "A & B", "https://x/1", 0.9, 4.7, "paydirt", "row", "A One", "text <b>")], "slug string, day string, id string, title string, link string, grade double, z double, band string, label string, authors string, abstract string")
     page = render.rss(items, "https://x/").first().document
-    assert "A &amp; B" in page and "s:2026-08-17:1" in page and "1 pay dirt." in page and "&amp;lt;b&amp;gt;" in page
+    assert "A &amp; B" in page and "s:2026-08-17:1" in page and "pay dirt: 1" in page and "&amp;lt;b&amp;gt;" in page
 
 
 def events(spark, path):
@@ -153,3 +153,13 @@ def test_windows(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted(r.n for r in incremental.tumbling(df, "ts", "1 hour", ["client"]).collect()) == [1, 1, 2]
     assert sorted(r.n for r in incremental.sessions(df, "ts", "5 minutes", ["client"]).collect()) == [1, 1, 2]
+
+
+def test_each_category_looks_back_by_itself(spark):
+    days = [date(2026, 8, 14), date(2026, 8, 10)]
+    rows = [("a", 0, "x", days[0]), ("b", 1, "x", days[1]), ("c", 2, "y", days[0]), ("d", 3, "y", days[0]), ("e", 4, "x", days[0])]
+    earlier = spark.createDataFrame(rows, "arxiv_id string, pos long, category string, published date")
+    announced = earlier.limit(0)
+    cut = F.lit("2026-08-13").cast("date")
+    assert {r.arxiv_id for r in feeds.haul(announced, earlier, cut, 9).collect()} == {"a"}
+    assert {r.arxiv_id for r in feeds.haul(announced, earlier, cut, 9, "category").collect()} == {"a", "c", "d"}
