@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm import op2_language, op3_packing, op5_minhash, op6_secrets
-from skyloom.llm.storage import shared_dir
+from skyloom.llm.storage import shared_dir, write_table
 
 #: SQL can't express automata, minhash groups, a random field or token ids.
 ORACLE_SQL = None
@@ -48,10 +48,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     digest, (text, gone_id, mark, number) = F.unhex(F.sha2("text", 256)), names(docs, 4)
     found = op5_minhash.near_duplicates(docs, shingle=5, percent=80, mark=digest)
     gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(gone_id), F.col("mark").alias(mark)).distinct()
-    kept = docs.withColumn(text, digest).join(gone, (F.col("doc_id") == F.col(gone_id)) & (F.col(text) == F.col(mark)), "left_anti")
-    twice = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(number)).where(F.col(number) > 1).select(F.col("doc_id").alias(gone_id))
-    once = kept.join(twice, kept["doc_id"] == twice[gone_id], "left_anti").drop(text)
-    several = kept.join(twice, kept["doc_id"] == twice[gone_id], "left_semi")
+    gone = write_table(gone, "gone")
+    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(gone_id)).agg(F.count("*").alias(number)).where(F.col(number) > 1).drop(number)
+    twice = write_table(twice, "twice")
+    # rows of an id that occurs once are only tested; a text moves at most once, and not at all where the decisions are small
+    marked, same = docs.withColumn(text, digest), F.col("doc_id") == F.col(gone_id)
+    out = gone.unionByName(twice.withColumn(mark, F.lit(None).cast("binary")))
+    once = marked.join(out, same & (F.col(mark).isNull() | (F.col(text) == F.col(mark))), "left_anti").drop(text)
+    several = marked.join(twice, same, "left_semi").join(gone, same & (F.col(text) == F.col(mark)), "left_anti")
     first = Window.partitionBy("doc_id", text).orderBy(text)
     return once.unionByName(several.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(number, text))
 
