@@ -268,12 +268,12 @@ def near_duplicates(
     crowded = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # whether its key is frequent isn't known where a node is read, so all rows of a key are dealt, and each key that two have
     dealt, parts = F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"), F.explode(F.array(*map(F.lit, range(SPREAD))))
-    met = spread.withColumn("_spread", dealt).join(crowded.withColumn("_spread", parts), ["key", "_spread"])
+    met = spread.withColumn("_spread", dealt).join(crowded.withColumn("_spread", parts).hint("merge"), ["key", "_spread"])
     mates = write_table(met.select("key", "node", (F.col("n") > BUCKET).alias("large")), "mates")
     name = F.concat(F.lit(b"\x00"), F.unhex(F.lpad(F.hex("key"), 16, "0")))  # a key as a node, of another length than nodes
     whole = mates.where("large").select(name.alias("a"), F.col("node").alias("b"))
 
-    by_bucket = mates.where("not large").join(keyed.select("node", "small"), "node").repartition("key").sortWithinPartitions("key")
+    by_bucket = mates.where("not large").join(keyed.select("node", "small").hint("merge"), "node").repartition("key").sortWithinPartitions("key")
     ties = by_bucket.select("key", "node", "small").mapInArrow(_forest, "a binary, b binary")
     grouped = write_table(components(ties.unionByName(whole), "ties").where(F.octet_length("node") == NODE), "groups")
 
