@@ -51,10 +51,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = write_table(gone, "gone")
     twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(gone_id)).agg(F.count("*").alias(number)).where(F.col(number) > 1).drop(number)
     twice = write_table(twice, "twice")
-    # rows of an id that occurs once are only tested; a text moves at most once, and not at all where the decisions are small
+    # rows of an id that occurs once are only tested; a text moves once, by the same plan whatever the number of decisions
     marked, same = docs.withColumn(text, digest), F.col("doc_id") == F.col(gone_id)
     out = gone.unionByName(twice.withColumn(mark, F.lit(None).cast("binary")))
-    once = marked.join(out, same & (F.col(mark).isNull() | (F.col(text) == F.col(mark))), "left_anti").drop(text)
+    once = marked.join(out.hint("merge"), same & (F.col(mark).isNull() | (F.col(text) == F.col(mark))), "left_anti").drop(text)
     several = marked.join(twice, same, "left_semi").join(gone, same & (F.col(text) == F.col(mark)), "left_anti")
     first = Window.partitionBy("doc_id", text).orderBy(text)
     return once.unionByName(several.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(number, text))
