@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_lm_scoring, op2_language, op3_packing, op4_bpe, op5_minhash, op6_secrets, op7_topk, op8_token_counts, op9_fingerprints, op10_url_filter
+from . import op1_lm_scoring, op2_language, op3_packing, op4_bpe, op5_minhash, op6_secrets, op7_topk, op8_token_counts, op9_fingerprints, op10_url_filter, op11_windows
 
 #: Rules of the URL filter: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -77,6 +77,13 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("doc_id").cast("string")
+    event_s = 60 * F.floor((F.col("doc_id") + F.crc32(text.cast("binary")) % 4000) / F.lit(6))
+    docs = table(spark, sf_dir, "documents")
+    return op11_windows.window_features(docs, event_s, F.col("source"), F.char_length("text"), F.col("lang"), [3600, 21600], {"median_chars": 50, "high_chars": 75})
+
+
 def queries() -> dict:
     return {
         "op1_lm_scoring": op1_lm_scoring_query,
@@ -89,6 +96,7 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts_query,
         "op9_fingerprints": op9_fingerprints_query,
         "op10_url_filters": op10_url_filters,
+        "op11_window_features": op11_window_features,
     }
 
 
@@ -140,6 +148,27 @@ SELECT page_id, host, path,
 FROM fits
 """
 
+# the checksum goes byte by byte: eight shifts of what is left, with the polynomial where a one falls out
+_SHIFT = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+OP11_SQL = f"""
+WITH RECURSIVE shifted(k, n, c) AS (SELECT k, 0, k FROM range(256) AS r(k) UNION ALL SELECT k, n + 1, {_SHIFT.format("c")} FROM shifted WHERE n < 8),
+steps AS (SELECT list(c ORDER BY k) AS tab FROM shifted WHERE n = 8),
+docs AS (SELECT row_number() OVER () AS row_no, doc_id, source, lang, CAST(length(text) AS BIGINT) AS len,
+  xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: xor(c >> 8, tab[CAST((xor(c, b) & 255) + 1 AS INTEGER)]))) AS h FROM documents, steps),
+timed AS (SELECT row_no, doc_id, source, lang, len, 60 * ((doc_id + h % 4000) // 6) AS event_s FROM docs),
+pairs AS (SELECT a.row_no, w.window_s, b.row_no AS other, b.len, b.lang FROM timed a, (VALUES (3600), (21600)) AS w(window_s), timed b
+  WHERE a.source IS NOT DISTINCT FROM b.source AND b.event_s >= a.event_s - w.window_s AND b.event_s < a.event_s),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row_no, window_s ORDER BY len) AS place, count(len) OVER (PARTITION BY row_no, window_s) AS m FROM pairs WHERE len IS NOT NULL),
+ranks AS (SELECT row_no, window_s, sum(len) AS total, max(len) FILTER (place = (m + 1) // 2) AS median_chars, max(len) FILTER (place = (75 * m + 99) // 100) AS high_chars
+  FROM ranked GROUP BY row_no, window_s),
+asked AS (SELECT row_no, doc_id, event_s, window_s FROM timed, (VALUES (3600), (21600)) AS w(window_s)),
+counted AS (SELECT row_no, window_s, count(*) AS n, count(DISTINCT lang) AS langs FROM pairs GROUP BY row_no, window_s)
+SELECT doc_id, CAST(window_s AS BIGINT) AS window_s, CAST(event_s AS BIGINT) AS event_s, CAST(coalesce(n, 0) AS BIGINT) AS n_events,
+  CAST(coalesce(total, 0) AS BIGINT) AS sum_chars, CAST(coalesce(langs, 0) AS BIGINT) AS n_langs, median_chars, high_chars
+FROM asked LEFT JOIN counted USING (row_no, window_s) LEFT JOIN ranks USING (row_no, window_s)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_scoring": OP1_SQL, "op7_exact_topk": OP7_SQL, "op10_url_filters": OP10_SQL}
+    return {"op1_lm_scoring": OP1_SQL, "op7_exact_topk": OP7_SQL, "op10_url_filters": OP10_SQL, "op11_window_features": OP11_SQL}
