@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_lm_scoring, op2_language, op3_packing, op4_bpe, op5_minhash, op6_secrets, op7_topk, op8_token_counts, op9_fingerprints, op10_url_filter, op11_windows
+from . import op1_lm_scoring, op2_language, op3_packing, op4_bpe, op5_minhash, op6_secrets, op7_topk, op8_token_counts, op9_fingerprints, op10_url_filter, op11_windows, op13_whitening
 
 #: Rules of the URL filter: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -84,6 +84,10 @@ def op11_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_windows.window_features(docs, event_s, F.col("source"), F.char_length("text"), F.col("lang"), [3600, 21600], {"median_chars": 50, "high_chars": 75})
 
 
+def op13_whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_lm_scoring": op1_lm_scoring_query,
@@ -97,6 +101,7 @@ def queries() -> dict:
         "op9_fingerprints": op9_fingerprints_query,
         "op10_url_filters": op10_url_filters,
         "op11_window_features": op11_window_features,
+        "op13_whitening": op13_whitening_query,
     }
 
 
