@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_lm_scoring, op2_language, op3_packing, op4_bpe, op5_minhash, op6_secrets, op7_topk, op8_token_counts, op9_fingerprints, op10_url_filter, op11_windows, op13_whitening
+from . import op1_lm_scoring, op2_language, op3_packing, op4_bpe, op5_minhash, op6_secrets, op7_topk, op8_token_counts, op9_fingerprints, op10_url_filter, op11_windows, op12_pii, op13_whitening
 
 #: Rules of the URL filter: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -84,6 +84,13 @@ def op11_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_windows.window_features(docs, event_s, F.col("source"), F.char_length("text"), F.col("lang"), [3600, 21600], {"median_chars": 50, "high_chars": 75})
 
 
+def op12_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op12_pii.scan(table(spark, sf_dir, "documents"), op12_pii.fit(spark))
+    count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(op12_pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(op12_pii.listed(F.col("base")), 256).alias("base_sha256"), op12_pii.listed(F.col("spans")).alias("spans"))
+
+
 def op13_whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -101,6 +108,7 @@ def queries() -> dict:
         "op9_fingerprints": op9_fingerprints_query,
         "op10_url_filters": op10_url_filters,
         "op11_window_features": op11_window_features,
+        "op12_pii_scan": op12_pii_scan,
         "op13_whitening": op13_whitening_query,
     }
 
