@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import io
 import re
+import string
 import tarfile
 import unicodedata
 import zlib
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 # What TeX commands stand for.
@@ -130,10 +132,11 @@ def short_name(name: str | None) -> str:
 # bibliographies
 
 _TYPED = re.compile(r"@[A-Za-z_]\w*\s*\{")
-#: A DOI (10.registrant/suffix), a new-style id (YYMM.number) and an old-style one (archive/YYMMNNN), as their registries define them.
-_IDS = re.compile(r"(?<![\w./])(?:(?P<doi>10\.\d{4,9}/[^\s{}<>,\"']+)|(?P<old>[a-z][a-z-]+(?:\.[A-Z]{2})?/\d{7}(?!\d)))|(?<!\d)(?P<new>\d{4}\.\d{4,5})(?!\d)", re.ASCII)
-#: What must stand before a new-style id, which is else just a number.
-_BEFORE_ID = ("arxiv:", "arxiv", "abs/", "pdf/")
+#: Blanks, braces, quotes and commas end an identifier in running text.
+_BETWEEN = re.compile(r"([\s{}<>,\"']+)")
+#: What may stand right before a new-style number, which is else just a number; the first also with a blank between.
+_LEADS = ("arxiv:", "abs/", "/pdf/")
+_LOWER = string.ascii_lowercase + "-"
 RAW = 2000
 
 
@@ -149,28 +152,87 @@ def works(source: str | None) -> list[str]:
     return [c for c in chunks if c.strip()]
 
 
+def fields(chunk: str, name: str) -> Iterator[str]:
+    """The non-empty values of all fields of a name, in balanced braces or in quotes."""
+    for m in re.finditer(rf"(?i)(?<![a-z]){name}\s*=\s*([{{\"])", chunk):
+        depth, quoted = 0, m[1] == '"'
+        for at in range(m.end(), len(chunk)):
+            c = chunk[at]
+            if depth == 0 and c == ('"' if quoted else "}"):
+                if value := " ".join(chunk[m.end() : at].split()):
+                    yield value
+                break
+            depth += (c == "{") - (c == "}")
+
+
 def field(chunk: str, name: str) -> str | None:
-    """The value of a field, in balanced braces or in quotes; none if it has none."""
-    m = re.search(rf"(?i)(?<![a-z]){name}\s*=\s*([{{\"])", chunk)
-    if not m:
-        return None
-    depth, quoted = 0, m[1] == '"'
-    for at in range(m.end(), len(chunk)):
-        c = chunk[at]
-        if depth == 0 and c == ('"' if quoted else "}"):
-            return " ".join(chunk[m.end() : at].split()) or None
-        depth += (c == "{") - (c == "}")
+    """The first value of a field; none if it has none."""
+    return next(fields(chunk, name), None)
+
+
+def _digits(text: str, at: int, most: int) -> str:
+    """The digits at a place, up to ``most`` of them."""
+    end = at
+    while end < len(text) and end - at < most and text[end] in string.digits:
+        end += 1
+    return text[at:end]
+
+
+def _joined(char: str) -> bool:
+    """Whether an identifier can't begin behind, or end before, this character."""
+    return char.isalnum() or char == "_"
+
+
+def _doi(word: str) -> str | None:
+    """The DOI in a word: directory 10, a registrant's number, a slash, and all that follows but closing punctuation."""
+    for at in (m.start() for m in re.finditer(r"10\.", word)):
+        registrant = _digits(word, at + 3, 10)
+        slash = at + 3 + len(registrant)
+        suffix = word[slash + 1 :].rstrip(".;)]")
+        if 4 <= len(registrant) <= 9 and word[slash : slash + 1] == "/" and suffix and not _joined(word[at - 1 : at]):
+            return (word[at : slash + 1] + suffix).lower()
+    return None
+
+
+def _old_id(word: str) -> str | None:
+    """The archive's id of before 2007 in a word: a name, maybe a subject class in capitals, a slash and seven digits."""
+    for at in (m.start() for m in re.finditer("/", word)):
+        number, name, subject = _digits(word, at + 1, 8), word[:at], ""
+        if len(number) != 7 or _joined(word[at + 8 : at + 9]):
+            continue
+        if name[-3:-2] == "." and len(name) > 3 and all(c in string.ascii_uppercase for c in name[-2:]):
+            name, subject = name[:-3], name[-3:]
+        archive = name[len(name.rstrip(_LOWER)) :].lstrip("-")
+        if len(archive) > 1 and not _joined(name[: len(name) - len(archive)][-1:]):
+            return f"{archive}{subject}/{number}"
+    return None
+
+
+def _new_id(word: str, before: str) -> str | None:
+    """The archive's number YYMM.NNNN or YYMM.NNNNN in a word, behind a lead in it or in the word ``before`` a blank."""
+    low = word.lower()
+    places = [m.end() for lead in _LEADS for m in re.finditer(re.escape(lead), low)] + [0] * before.lower().endswith(("arxiv", *_LEADS))
+    for at in sorted(places):
+        month, number = _digits(word, at, 5), _digits(word, at + 5, 6)
+        if len(month) == 4 and word[at + 4 : at + 5] == "." and len(number) in (4, 5):
+            return f"{month}.{number}"
     return None
 
 
 def work(chunk: str) -> dict[str, str | None]:
-    """``raw, ref_doi, ref_arxiv, ref_title`` of a chunk; none where nothing is found."""
-    first: dict[str, str] = {}
-    for m in _IDS.finditer(chunk):
-        if m.lastgroup != "new" or chunk[max(0, m.start() - 12) : m.start()].lower().rstrip().endswith(_BEFORE_ID):
-            first.setdefault(m.lastgroup, m[m.lastgroup])
-    doi = first.get("doi", "").rstrip(".,;)}]\"'").lower() or None
-    return {"raw": chunk.strip()[:RAW], "ref_doi": doi, "ref_arxiv": first.get("new") or first.get("old"), "ref_title": field(chunk, "title")}
+    """``raw, ref_doi, ref_arxiv, ref_title`` of a chunk; none where nothing is found. A new-style id goes before an old one."""
+    parts = _BETWEEN.split(chunk)
+    doi = new = old = None
+    for k in range(0, len(parts), 2):
+        word = parts[k]
+        before = parts[k - 2] if k and not parts[k - 1].strip() else ""
+        doi, new, old = doi or _doi(word), new or _new_id(word, before), old or _old_id(word)
+    return {"raw": chunk.strip()[:RAW], "ref_doi": doi, "ref_arxiv": new or old, "ref_title": field(chunk, "title")}
+
+
+def cited_dois(source: str | None) -> list[str]:
+    """The DOI fields of a bibliography's entries, as written; a value without a directory and a slash is none."""
+    return [v for chunk in works(source) for v in fields(chunk, "doi") if "10." in v and "/" in v]
 
 
 #: Files of a submission that hold its bibliography, best first.

@@ -151,12 +151,6 @@ def rebuild_abstract(index: Column) -> Column:
     return F.coalesce(F.array_join(until, " "), F.lit(""))
 
 
-def bib_dois(c: Column) -> Column:
-    """DOIs of an uploaded bibliography: every ``doi = {...}`` of more than five characters."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?i)doi\s*=\s*\{([^}]+)\}"), F.lit(1))
-    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x) > 5)
-
-
 def cluster_key(ids: Column, titles: Column) -> Column:
     """Aggregate: a digest of a group's members, whatever their order; titles collapsed to 400 characters."""
     line = F.concat(ids, F.lit("\t"), F.left(collapse(F.coalesce(titles, F.lit(""))), F.lit(400)))
@@ -217,6 +211,12 @@ def entries(sources: pa.Array) -> pa.Array:
     return pa.array([tex.works(s) for s in sources.to_pylist()], pa.list_(pa.string()))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def bib_dois(sources: pa.Array) -> pa.Array:
+    """DOI fields of each uploaded bibliography."""
+    return pa.array([tex.cited_dois(s) for s in sources.to_pylist()], pa.list_(pa.string()))
+
+
 _ENTRY = ("raw", "ref_doi", "ref_arxiv", "ref_title")
 
 

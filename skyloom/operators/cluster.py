@@ -9,6 +9,7 @@ grows with its members, not with their pairs. Both are exact, and the time of bo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from .quantile import nth
+from .stored import stored
 
 #: Vectors of a block; members of a haul that is agglomerated over its matrix (8 bytes a pair).
 BLOCK, MOST = 1024, 8000
@@ -86,10 +89,9 @@ def similarity_histogram(rows: DataFrame, key: str, vector: str = "vector", digi
 
 def percentiles(histogram: DataFrame, shares: dict[str, float]) -> DataFrame:
     """Elements at floor(share x n) (the last at most) of the values that a histogram counts, as one row."""
-    upto = F.sum("n").over(Window.orderBy("sim").rowsBetween(Window.unboundedPreceding, 0))
-    counted = histogram.withColumn("upto", upto).crossJoin(F.broadcast(histogram.agg(F.sum("n").alias("total"))))
-    at = lambda p: F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total")))
-    return counted.agg(*[F.min(F.when(F.col("upto") > at(p), F.col("sim"))).alias(name) for name, p in shares.items()])
+    histogram = stored(histogram, "histogram")
+    found = [nth(histogram, [], F.col("sim"), lambda n, p=p: F.least(n - 1, F.floor(F.lit(p) * n)), name, F.col("n")) for name, p in shares.items()]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), found)
 
 
 def degrees(rows: DataFrame, key: str, threshold: float, vector: str = "vector") -> DataFrame:

@@ -7,6 +7,7 @@ by its columns: a column that it has is written even where it is null, a column
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,13 @@ def assert_columns(patch: DataFrame, keys: Sequence[str], allowed: Sequence[str]
         raise ValueError(f"unknown columns: {unknown}")
 
 
+def each_once(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows; a key that two of them have is an error when they are read, whichever columns are read."""
+    counted = rows.withColumn("_times", F.count("*").over(Window.partitionBy(*keys)))
+    good = F.when(F.col("_times") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("a key comes twice")).cast("boolean"))
+    return counted.where(good).drop("_times")
+
+
 def upsert(current: DataFrame, patch: DataFrame, keys: Sequence[str], allowed: Sequence[str] | None = None) -> DataFrame:
     """Inserts or enriches by key; only the patch's columns are touched. A patch of keys alone inserts what is missing.
 
@@ -34,9 +42,7 @@ def upsert(current: DataFrame, patch: DataFrame, keys: Sequence[str], allowed: S
     """
     assert_columns(patch, keys, current.columns if allowed is None else allowed)
     mine = current.select(*[F.col(c).alias(f"_c_{c}") for c in current.columns], F.lit(True).alias("_c"))
-    news = patch.select(*[F.col(c).alias(f"_p_{c}") for c in patch.columns], F.lit(True).alias("_p"))
-    once = F.count("*").over(Window.partitionBy(*[f"_p_{k}" for k in keys])) == 1
-    news = news.withColumn("_p", F.when(once, F.col("_p")).otherwise(F.raise_error(F.lit("a patch has a key twice")).cast("boolean")))
+    news = each_once(patch, keys).select(*[F.col(c).alias(f"_p_{c}") for c in patch.columns], F.lit(True).alias("_p"))
     on = [F.col(f"_c_{k}").eqNullSafe(F.col(f"_p_{k}")) for k in keys]
     both = mine.join(news, on, "full_outer")
     out = []
@@ -60,9 +66,15 @@ def set_status(current: DataFrame, who: DataFrame, status: str, key: str = "cite
     return upsert(current, who.select(key).distinct().withColumn("status", F.lit(status)), [key])
 
 
-def insert_absent(current: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds rows whose key isn't there; rows that are there keep their progress."""
-    return current.unionByName(new.join(current.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
+def insert_absent(current: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
+    """Adds rows whose key isn't there; rows that are there keep their progress. A null is a key like any other.
+
+    Of several new rows of a key the first by ``order`` counts; without an order they are an error.
+    """
+    news = each_once(new, keys) if order is None else latest(new, keys, order)
+    there = current.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
+    fresh = news.join(there, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]), "left_anti")
+    return current.unionByName(fresh, allowMissingColumns=True)
 
 
 def replace_children(children: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -104,6 +104,22 @@ def test_ranked_lists(spark):
     assert [r.cite_key for r in rank.also_evaluated(papers, papers.where("cite_key = 'hi'")).collect()] == ["lo", "none"]
 
 
+def test_a_key_twice_is_an_error_whatever_is_patched(spark):
+    current = spark.createDataFrame([("a", 1)], "k string, v int")
+    for patch in (
+        spark.createDataFrame([("b",), ("b",)], "k string"), spark.createDataFrame([("a", 5), ("a", 6)], "k string, fresh int"), spark.createDataFrame([("a", 5), ("a", 5)], "k string, v int"),
+        spark.createDataFrame([(None,), (None,)], "k string"),
+    ):
+        with pytest.raises(Exception, match="a key comes twice"):
+            store.upsert(current, patch, ["k"], ["k", "v", "fresh"]).count()
+    new = spark.createDataFrame([("b", 2), ("b", 1), ("a", 7), (None, 3)], "k string, v int")
+    with pytest.raises(Exception, match="a key comes twice"):
+        store.insert_absent(current, new, ["k"]).count()
+    out = store.insert_absent(current, new, ["k"], [F.asc("v")])
+    assert rows(out) == [("a", 1), ("b", 1), (None, 3)]
+    assert rows(store.insert_absent(out, new, ["k"], [F.asc("v")])) == [("a", 1), ("b", 1), (None, 3)]
+
+
 def test_upsert(spark):
     current = spark.createDataFrame([("a", "old", 1), ("b", "keep", 2)], "k string, title string, scites int")
     patch = spark.createDataFrame([("a", None), ("c", 5)], "k string, scites int")

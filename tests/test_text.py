@@ -145,3 +145,19 @@ def test_weekday_cutoff(spark, day, back, cut):
 def test_build_date(spark):
     df = spark.createDataFrame([("", "Mon, 17 Aug 2026 00:00:00 -0400"), (None, "garbage"), ("Tue, 18 Aug 2026 04:00:21 +0000", "x")], "l string, p string")
     assert [str(r.d) for r in df.select(dates.build_date(F.col("l"), F.col("p")).alias("d")).collect()] == ["2026-08-17", "None", "2026-08-18"]
+
+
+@pytest.mark.parametrize("chunk, doi, arxiv", [
+    (r"\href{https://doi.org/10.1103/PhysRevA.1.1}{Phys. Rev.}", "10.1103/physreva.1.1", None), ("https://dx.doi.org/10.1000/ABC.", "10.1000/abc", None), ("http://arxiv.org/abs/quant-ph/9705052", None, "quant-ph/9705052"),
+    ("abs/cond-mat/0512345v2 abs/cond-mat/0512345", None, "cond-mat/0512345"), ("arXiv:cond-mat/9701055, doi:10.1103/PhysRevA.57.120.", "10.1103/physreva.57.120", "cond-mat/9701055"), ("(doi 10.1016/S0(99)1-2)", "10.1016/s0(99)1-2", None),
+    ("math.GT/0309136 and arXiv: 2401.12345v3", None, "2401.12345"), ("ArXiv 0704.0001", None, "0704.0001"), ("https://arxiv.org/pdf/2401.01234.pdf", None, "2401.01234"), ("pp. 2401.01234, 110.1000/x, 10.99/x, x10.1000/y", None, None),
+    ("Acond-mat/0512345 hep-th/01234567 a/0512345", None, None), ("doi={10.1000/a,b}", "10.1000/a", None), ("10.1000/ 10.1000/).", None, None), ("", None, None),
+])
+def test_identifiers_of_a_reference(chunk, doi, arxiv):
+    found = tex.work(chunk)
+    assert (found["ref_doi"], found["ref_arxiv"]) == (doi, arxiv)
+
+
+def test_cited_dois():
+    assert tex.cited_dois("@a{x, doi = {10.1000/a}, title={T}}\n@b{y, DOI=\"https://doi.org/10.1/B\"}\n@c{z, doi={10.}, doi={none}}") == ["10.1000/a", "https://doi.org/10.1/B"]
+    assert tex.cited_dois("doi = {10.1/abc}, DOI={ 10.2/x }") == ["10.1/abc", "10.2/x"] and tex.cited_dois(None) == []
