@@ -1,9 +1,8 @@
 """Coupling of candidates and average-linkage clusters.
 
-Pairs are never rows: blocks of vectors meet as matrices, and what leaves a block is a histogram, a degree or, for clusters, a
-merge list. Agglomeration is sequential by nature, so it runs once for each haul; hauls run side by side. A haul of at most
-``MOST`` members is agglomerated over its matrix; a larger one by nearest-neighbour chains over vector sums, whose memory
-grows with its members, not with their pairs. Both are exact, and the time of both grows with the square of the members.
+Pairs are never rows: blocks of vectors meet as matrices, and what leaves a block is a histogram, a degree or a nearest
+neighbour. A haul of at most ``MOST`` members is agglomerated over its matrix in one task, hauls side by side; larger ones
+in rounds over all tasks (see ``linkage``). Both are exact, and the work of both grows with the square of the members.
 """
 
 from __future__ import annotations
@@ -17,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from .quantile import nth
+from . import linkage
+from .quantile import nth, with_group
 from .stored import stored
 
 #: Vectors of a block; members of a haul that is agglomerated over its matrix (8 bytes a pair).
@@ -143,88 +143,40 @@ def agglomerate(sims: np.ndarray) -> list[tuple[int, int, float]]:
     return merges
 
 
-def chained(vectors: np.ndarray) -> list[tuple[int, int, float]]:
-    """The merges of ``agglomerate`` without its matrix, by nearest-neighbour chains.
+def merges(rows: DataFrame, haul: str, key: str, vector: str = "vector", most: int = MOST) -> DataFrame:
+    """All merges of each haul: ``haul, a, b, sim``, the groups by their least member's key, with the parts' ``size_a, size_b`` and the likeness
+    at which each was made, ``born_a, born_b`` (null for one member).
 
-    The mean similarity of two groups is the inner product of their vector sums over the product of their sizes. Average
-    linkage never makes a group more alike to a third than the more alike of its parts was, so groups that are each other's
-    nearest merge in any order; the merges are then sorted. Only where similarities tie may other groups of the same
-    likeness come first.
+    Hauls of up to ``most`` members are merged in a task each, side by side; larger ones in rounds over all tasks, with the same result but
+    where likenesses tie.
     """
-    n = len(vectors)
-    sums, sizes, names = vectors.astype(float).copy(), np.ones(n), np.arange(n)
-    at, live, left = np.arange(n), np.ones(n, bool), n  # places of names; places that hold a group
-    height, found = np.full(n, np.inf), []
-    chain: list[tuple[int, float]] = []  # names, with the similarity to the one before
-    while left > 1:
-        if not chain:
-            chain.append((int(names[live.argmax()]), -np.inf))
-        tip, last = chain[-1]
-        i = at[tip]
-        sims = sums @ sums[i]
-        sims /= sizes * sizes[i]
-        sims[~np.isfinite(sims)] = -2  # vectors that are not finite come last
-        sims[~live] = -np.inf
-        sims[i] = -np.inf
-        j = int(sims.argmax())
-        if sims[j] > last and all(names[j] != c for c, _ in chain):
-            chain.append((int(names[j]), float(sims[j])))
-            continue
-        # the tip and the one before it are each other's nearest
-        chain.pop()
-        a, b = sorted((tip, chain.pop()[0]))
-        height[a] = min(last, height[a], height[b])  # a merge comes after those of its parts, whatever the rounding
-        found.append((a, b, float(height[a])))
-        sums[at[a]] += sums[at[b]]
-        sizes[at[a]] += sizes[at[b]]
-        live[at[b]] = False
-        left -= 1
-        if 2 * left < len(live):
-            sums, sizes, names = sums[live], sizes[live], names[live]
-            live = np.ones(left, bool)
-            at[names] = np.arange(left)
-    return sorted(found, key=lambda m: -m[2])
-
-
-def merges(rows: DataFrame, haul: str, key: str, vector: str = "vector") -> DataFrame:
-    """Each haul's merge list: ``haul, merge_no, a, b, sim`` with members by key."""
-    own = rows.where(F.col(vector).isNotNull()).select(haul, F.col(key).cast("long").alias("id"), vectors.unit(vectors.doubles(F.col(vector))).alias("v"))
+    own = rows.where(F.col(vector).isNotNull()).select(F.col(haul).alias("haul"), F.col(key).cast("long").alias("id"), vectors.unit(vectors.doubles(F.col(vector))).alias("v"))
+    own = stored(own, "units")
     kind = rows.schema[haul].dataType.simpleString()
+    sizes = own.groupBy("haul").agg(F.count("*").alias("members"))
+    large = sizes.where(F.col("members") > most)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
         ids, data = group.id.to_numpy(), np.array(group.v.tolist())
-        found = agglomerate(data @ data.T) if len(data) <= MOST else chained(data)
-        return pd.DataFrame({haul: group[haul].iloc[0], "merge_no": range(len(found)), "a": [ids[a] for a, _, _ in found], "b": [ids[b] for _, b, _ in found], "sim": [s for *_, s in found]})
+        size, born, out = dict.fromkeys(range(len(ids)), 1), {}, []
+        for a, b, sim in agglomerate(data @ data.T):
+            out.append((group.haul.iloc[0], ids[a], ids[b], sim, size[a], size[b], born.get(a), born.get(b)))
+            size[a], born[a] = size[a] + size[b], sim
+        return pd.DataFrame(out, columns=["haul", "a", "b", "sim", "size_a", "size_b", "born_a", "born_b"])
 
-    return own.groupBy(haul).applyInPandas(run, f"{haul} {kind}, merge_no int, a long, b long, sim double")
-
-
-def _roots(pairs: list[tuple[int, int]]) -> dict[int, int]:
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, b in pairs:
-        x, y = root(a), root(b)
-        up[max(x, y)] = min(x, y)
-    return {x: root(x) for x in up}
+    small = with_group(own, sizes.where(F.col("members") <= most), ["haul"]).drop("members")
+    found = small.groupBy("haul").applyInPandas(run, f"haul {kind}, a long, b long, sim double, size_a long, size_b long, born_a double, born_b double")
+    if not large.isEmpty():
+        found = found.unionByName(linkage.spread_merges(with_group(own, large, ["haul"]).drop("members")))
+    return found.withColumnRenamed("haul", haul)
 
 
 def cut(members: DataFrame, merge_list: DataFrame, haul: str, key: str, threshold: float) -> DataFrame:
     """Groups at a threshold: ``haul, key, root``, the root being the least member; who merges with nobody is its own root."""
-    kind = merge_list.schema[haul].dataType.simpleString()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = _roots(list(zip(group.a.tolist(), group.b.tolist(), strict=True)))
-        return pd.DataFrame({haul: group[haul].iloc[0], key: list(found), "root": list(found.values())})
-
-    joined = merge_list.where(F.col("sim") >= threshold).groupBy(haul).applyInPandas(run, f"{haul} {kind}, {key} long, root long")
-    return members.select(haul, F.col(key).cast("long").alias(key)).join(joined, [haul, key], "left").withColumn("root", F.coalesce("root", key))
+    units = members.select(F.col(haul).alias("haul"), F.col(key).cast("long").alias("id"))
+    found = linkage.roots(units, merge_list.withColumnRenamed(haul, "haul"), threshold)
+    return found.select(F.col("haul").alias(haul), F.col("id").alias(key), "root")
 
 
 def group_counts(cut_rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -234,20 +186,20 @@ def group_counts(cut_rows: DataFrame, keys: list[str]) -> DataFrame:
     return sizes.groupBy(*keys).agg(F.count_if(big).alias("clusters"), F.coalesce(F.sum(F.when(big, F.col("n"))), F.lit(0)).alias("placed"), F.coalesce(F.max(F.when(big, F.col("n"))), F.lit(0)).alias("largest"), F.sum("n").alias("total"))
 
 
-def sweep(members: DataFrame, merge_list: DataFrame, haul: str) -> DataFrame:
-    """Counts at every cut of the sweep: ``haul, cut, clusters, placed, largest``."""
-    kind = merge_list.schema[haul].dataType.simpleString()
+def sweep(members: DataFrame | None, merge_list: DataFrame, haul: str) -> DataFrame:
+    """Counts at every cut of the sweep: ``haul, cut, clusters, placed, largest``.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        pairs = sorted(zip(group.sim.tolist(), group.merge_no.tolist(), group.a.tolist(), group.b.tolist(), strict=True), reverse=True)
-        out = []
-        for t in CUTS:
-            sizes = pd.Series(_roots([(a, b) for s, _, a, b in pairs if s >= t])).value_counts()
-            big = sizes[sizes >= LEAST]
-            out.append((group[haul].iloc[0], t, len(big), int(big.sum()), int(big.max()) if len(big) else 0))
-        return pd.DataFrame(out, columns=[haul, "cut", "clusters", "placed", "largest"])
-
-    return merge_list.groupBy(haul).applyInPandas(run, f"{haul} {kind}, cut double, clusters long, placed long, largest long")
+    A group stands at the cuts from the likeness at which it was made down to, without, the one at which it merges, so each counts where it stands.
+    """
+    part = lambda side: merge_list.select(haul, F.col(f"size_{side}").alias("size"), F.col(f"born_{side}").alias("born"), F.col("sim").alias("died"))
+    last = merge_list.groupBy(haul).agg(F.max(F.col("size_a") + F.col("size_b")).alias("size"), F.min("sim").alias("born")).withColumn("died", F.lit(float("-inf")))
+    groups = part("a").unionByName(part("b")).unionByName(last).where(F.col("size") >= LEAST)
+    cuts = F.array(*map(F.lit, CUTS))
+    stands = groups.withColumn("cut", F.explode(F.filter(cuts, lambda c: (c <= F.col("born")) & (c > F.col("died")))))
+    counts = stands.groupBy(haul, "cut").agg(F.count("*").alias("clusters"), F.sum("size").alias("placed"), F.max("size").alias("largest"))
+    every = merge_list.select(haul).distinct().withColumn("cut", F.explode(cuts))
+    out = linkage.left_with(every, counts, [haul, "cut"])
+    return out.select(haul, "cut", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("clusters", "placed", "largest")))
 
 
 def best_cut(swept: DataFrame, sizes: DataFrame, haul: str) -> DataFrame:

@@ -211,32 +211,6 @@ def test_agglomeration_against_brute_force(seed):
     assert cluster.agglomerate(np.ones((1, 1))) == [] == cluster.agglomerate(np.zeros((0, 0)))
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_chains_equal_the_matrix(seed):
-    rng = np.random.default_rng(seed)
-    v = rng.normal(size=(300, 6)) + 2 * rng.normal(size=(5, 6))[rng.integers(0, 5, 300)]
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    assert [(a, b, round(x, 9)) for a, b, x in cluster.chained(v)] == [(a, b, round(x, 9)) for a, b, x in cluster.agglomerate(v @ v.T)]
-    copies = np.concatenate([v[:40], np.repeat(v[:3], 30, axis=0)])
-    for t in (0.2, 0.45, 0.7):
-        found = [cluster._roots([(a, b) for a, b, x in m if x >= t]) for m in (cluster.chained(copies), cluster.agglomerate(copies @ copies.T))]
-        assert found[0] == found[1]
-    v[7] = np.nan
-    assert len(cluster.chained(v)) == 299 and cluster.chained(v)[-1][2] == -2
-    assert cluster.chained(np.ones((1, 3))) == [] == cluster.chained(np.zeros((0, 3)))
-
-
-def test_large_haul_is_agglomerated(spark):
-    rng = np.random.default_rng(5)
-    n = cluster.MOST + 1
-    v = np.eye(4)[np.arange(n) % 4] + rng.normal(0, 0.05, (n, 4))
-    members = spark.createDataFrame([*[(1, i, x.tolist()) for i, x in enumerate(v)], (2, 0, [1.0, 0.0, 0.0, 0.0]), (2, 1, [1.0, 0.1, 0.0, 0.0])], "haul int, id long, vector array<double>")
-    found = cluster.merges(members, "haul", "id").cache()
-    assert {r.haul: r["count"] for r in found.groupBy("haul").count().collect()} == {1: n - 1, 2: 1}
-    roots = cluster.cut(members, found, "haul", "id", 0.6).where("haul = 1").collect()
-    assert len(roots) == n and all(r.root == r.id % 4 for r in roots)
-
-
 def test_clusters(spark):
     rng = np.random.default_rng(3)
     v = np.concatenate([rng.normal([8, 0, 0], 0.3, (5, 3)), rng.normal([0, 8, 0], 0.3, (4, 3)), [[0, 0, 9.0]]])
