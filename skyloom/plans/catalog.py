@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text, vectors
 from ..operators import archive, cluster, gate, grade, match, rank, store
+from ..operators.stored import stored
 from ..sources import feeds
 from . import claims, providers, render
 
@@ -223,24 +224,54 @@ def coupling_edges_degree(spark, sf_dir):
     return cluster.degrees(_candidates(spark, sf_dir), "vec_id", 0.25).withColumn("strongest", F.round("strongest", 6))
 
 
-def _merges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+#: Merges one by one: each step picks the most alike pair of groups of a haul, lower members first, and adds up what its parts had with others.
+_MERGED = f"""{_UNIT},
+steps(label, step, a, b, total, na, nb) AS (
+  SELECT x.label, 0, x.vec_id, y.vec_id, list_dot_product(x.v, y.v), 1, 1 FROM u x JOIN u y ON x.label = y.label AND x.vec_id < y.vec_id
+  UNION ALL
+  SELECT label, step + 1, least(a2, b2), greatest(a2, b2), sum(total), max(CASE WHEN a2 < b2 THEN na2 ELSE nb2 END), max(CASE WHEN a2 < b2 THEN nb2 ELSE na2 END)
+  FROM (SELECT label, step, total, CASE WHEN a = pb THEN pa ELSE a END AS a2, CASE WHEN b = pb THEN pa ELSE b END AS b2, CASE WHEN a IN (pa, pb) THEN size ELSE na END AS na2, CASE WHEN b IN (pa, pb) THEN size ELSE nb END AS nb2
+    FROM (SELECT *, first_value(a) OVER w AS pa, first_value(b) OVER w AS pb, first_value(na + nb) OVER w AS size FROM steps WINDOW w AS (PARTITION BY label ORDER BY total / (na * nb) DESC, a, b))
+    WHERE NOT (a = pa AND b = pb)) GROUP BY label, step, least(a2, b2), greatest(a2, b2)),
+merged AS (SELECT label, step, a, b, total / (na * nb) AS sim FROM steps QUALIFY row_number() OVER (PARTITION BY label, step ORDER BY total / (na * nb) DESC, a, b) = 1)"""
+
+
+def _cut_sql(cuts: str) -> str:
+    return f"""{_MERGED}, cuts AS ({cuts}),
+up(label, cut, vec_id, root) AS (SELECT label, cut, vec_id, vec_id FROM u, cuts UNION ALL SELECT up.label, cut, vec_id, a FROM up JOIN merged m ON m.label = up.label AND b = root AND sim >= cut),
+roots AS (SELECT label, cut, vec_id, min(root) AS root FROM up GROUP BY ALL), sizes AS (SELECT label, cut, root, count(*) AS n FROM roots GROUP BY ALL),
+swept AS (SELECT label, cut, count(*) FILTER (n >= 3) AS clusters, CAST(coalesce(sum(n) FILTER (n >= 3), 0) AS BIGINT) AS placed, coalesce(max(n) FILTER (n >= 3), 0) AS largest, CAST(sum(n) AS BIGINT) AS n FROM sizes GROUP BY ALL)"""
+
+
+_CUTS = "SELECT k / 200.0::DOUBLE AS cut FROM range(40, 141) AS r(k)"
+
+
+def _merges(spark, sf_dir, **how) -> tuple[DataFrame, DataFrame]:
     c = _candidates(spark, sf_dir)
-    return c, cluster.merges(c, "label", "vec_id")
+    return c, stored(cluster.merges(c, "label", "vec_id", **how), "merges")
 
 
-@query("clusters_at_threshold")
+@query("clusters_at_threshold", f"""WITH RECURSIVE {_cut_sql("SELECT 0.3::DOUBLE AS cut")}, big AS (SELECT label, root, n, row_number() OVER (PARTITION BY label ORDER BY n DESC, root) - 1 AS k FROM sizes WHERE n >= 3)
+SELECT label, vec_id, root, CAST(coalesce(k, -1) AS INTEGER) AS cluster, coalesce(n, 1) AS size FROM roots LEFT JOIN big USING (label, root)""")
 def clusters_at_threshold(spark, sf_dir):
     c, found = _merges(spark, sf_dir)
     return cluster.cluster_ids(cluster.cut(c, found, "label", "vec_id", 0.3), "label").select("label", "vec_id", "root", "cluster", "size")
 
 
-@query("cluster_sweep")
+@query("clusters_in_rounds", f"WITH RECURSIVE {_MERGED} SELECT label, a, b, round(sim, 6) AS sim FROM merged")
+def clusters_in_rounds(spark, sf_dir):
+    """The merges of all hauls by rounds over all tasks, whatever their size."""
+    return _merges(spark, sf_dir, most=0)[1].select("label", "a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query("cluster_sweep", f"WITH RECURSIVE {_cut_sql(_CUTS)} SELECT label, cut, clusters, placed, largest FROM swept")
 def cluster_sweep(spark, sf_dir):
     _, found = _merges(spark, sf_dir)
     return cluster.sweep(None, found, "label")
 
 
-@query("cluster_best_cut")
+@query("cluster_best_cut", f"""WITH RECURSIVE {_cut_sql(_CUTS)}, marked AS (SELECT *, largest <= greatest(12, floor(0.2 * n + 0.5)) AS fits FROM swept)
+SELECT label, cut, clusters, placed, largest FROM marked QUALIFY row_number() OVER (PARTITION BY label ORDER BY fits DESC, clusters DESC, placed DESC, cut) = 1""")
 def cluster_best_cut(spark, sf_dir):
     c, found = _merges(spark, sf_dir)
     return cluster.best_cut(cluster.sweep(c, found, "label"), c.groupBy("label").agg(F.count("*").alias("n")), "label")
