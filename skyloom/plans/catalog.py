@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, vectors
-from ..operators import archive, cluster, gate, grade, match, rank, store
+from ..operators import archive, cluster, gate, grade, match, meters, rank, store
 from ..operators.stored import stored
 from ..sources import feeds
+from ..streaming import ordered
 from . import claims, providers, render
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -943,3 +944,36 @@ def null_keys_upserted(spark, sf_dir):
     keys = table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 5 > 0, F.col("user_id").cast("long")).alias("k")).distinct()
     patch = keys.where("k is null or k % 2 = 0").unionByName(spark.createDataFrame([(-1,)], "k long"))
     return store.upsert(keys.withColumn("v", F.lit("old")), patch.withColumn("v", F.lit("new")), ["k"])
+
+
+# meters and streams
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    want = F.when(F.col("event_type") == "refund", -2).otherwise(F.col("event_id") % 4 + 1)
+    return e.select(F.col("user_id").cast("string").alias("client"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), want.cast("long").alias("want"))
+
+
+_METERED = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS client, event_id AS seq, CAST(CASE WHEN event_type = 'refund' THEN -2 ELSE event_id % 4 + 1 END AS BIGINT) AS want, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+s AS (SELECT client, seq, n, want, greatest(0, least(20, want)) AS used, CASE WHEN want < 0 THEN want ELSE greatest(0, least(20, want)) END AS granted FROM e WHERE n = 1
+UNION ALL SELECT e.client, e.seq, e.n, e.want, greatest(0, least(20, s.used + e.want)), CASE WHEN e.want < 0 THEN e.want ELSE greatest(0, least(20, s.used + e.want)) - s.used END FROM s JOIN e ON e.client = s.client AND e.n = s.n + 1)
+SELECT client, seq, want, CAST(granted AS BIGINT) AS granted, CAST(used AS BIGINT) AS used FROM s"""
+
+
+@query("metered_in_parts", _METERED)
+def metered_in_parts(spark, sf_dir):
+    return meters.metered(_requests(spark, sf_dir).withColumn("at", F.unix_millis("ts")), 20)
+
+
+@query("stream_meter", _METERED)
+def stream_meter(spark, sf_dir):
+    """The same requests as a stream of three nights and keyed state."""
+    return ordered.nightly(_requests(spark, sf_dir), lambda s: ordered.meter(s, 20))
+
+
+@query("stream_last_wanted", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS client, epoch_us(ts) // 1000 AS t, event_id FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER w < 172800000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY client ORDER BY t, event_id)),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY client ORDER BY t, event_id) AS stretch FROM g) SELECT client, count(*) AS uses, min(t) AS first_ms, max(t) AS last_ms FROM k GROUP BY client, stretch""")
+def stream_last_wanted(spark, sf_dir):
+    """Stretches of use with less than two days between requests, from a stream of three nights."""
+    return ordered.nightly(_requests(spark, sf_dir), lambda s: ordered.last_wanted(s, 172_800_000))
