@@ -6,6 +6,7 @@ Roles: candidates are all rows of ``embeddings`` and their nights its labels; th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text, vectors
 from ..operators import archive, cluster, gate, grade, match, meters, rank, store
-from ..operators.stored import stored
-from ..sources import feeds
+from ..operators.stored import folder, stored
+from ..sources import feeds, search
 from ..streaming import ordered
 from . import claims, providers, render
 
@@ -977,3 +978,19 @@ k AS (SELECT *, sum(fresh) OVER (PARTITION BY client ORDER BY t, event_id) AS st
 def stream_last_wanted(spark, sf_dir):
     """Stretches of use with less than two days between requests, from a stream of three nights."""
     return ordered.nightly(_requests(spark, sf_dir), lambda s: ordered.last_wanted(s, 172_800_000))
+
+
+# a paged search
+
+
+@query("paged_search", f"SELECT lang AS category, CAST(doc_id AS VARCHAR) AS arxiv_id, DATE '2026-08-17' - CAST(doc_id % 30 AS INTEGER) AS published, sha256({_COLLAPSED}) AS sha FROM documents WHERE lang IN ('en', 'fr') AND doc_id % 30 <= 12 AND {_COLLAPSED} <> ''")
+def paged_search(spark, sf_dir):
+    """Documents served as a search by language, newest first (a page is a part of a day), and read back from a first date on."""
+    docs = table(spark, sf_dir, "documents").where("lang is not null and doc_id is not null")
+    back, parts = (F.col("doc_id") % 30).cast("int"), 8
+    page = back * parts + F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    rows = docs.select(F.col("lang").alias("category"), page.alias("page"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), F.lit("A title").alias("title"), F.coalesce("text", F.lit("")).alias("summary"), F.date_sub(F.lit("2026-08-17").cast("date"), back).alias("published"), F.lit("A. One").alias("author"))
+    path = f"{folder(spark)}/skyloom/search-{uuid.uuid4().hex}"
+    search.write_pages(rows, path)
+    found = search.search(spark, path, since="2026-08-05").where(F.col("category").isin("en", "fr"))
+    return found.select("category", "arxiv_id", "published", F.sha2("abstract", 256).alias("sha"))
