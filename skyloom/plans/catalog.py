@@ -16,7 +16,7 @@ from ..functions import dates, text, vectors
 from ..operators import archive, cluster, gate, grade, match, meters, rank, store
 from ..operators.stored import folder, stored
 from ..sources import feeds, search
-from ..streaming import ordered
+from ..streaming import incremental, ledger, ordered
 from . import claims, providers, render
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -980,6 +980,19 @@ def stream_last_wanted(spark, sf_dir):
     return ordered.nightly(_requests(spark, sf_dir), lambda s: ordered.last_wanted(s, 172_800_000))
 
 
+@query("stream_stages", "SELECT CAST(user_id AS VARCHAR) AS client, count(*) AS n, CAST(sum(event_id % 4 + 1) AS BIGINT) AS total FROM events WHERE event_type <> 'refund' GROUP BY 1")
+def stream_stages(spark, sf_dir):
+    """Two stages on a stream of three nights, with a ledger of what is done; the last stage's batches added up."""
+    base = f"{folder(spark)}/skyloom/stages-{uuid.uuid4().hex}"
+    stages = [("kept", lambda rows: rows.where("want > 0")), ("counted", lambda rows: rows.groupBy("client").agg(F.count("*").alias("n"), F.sum("want").alias("total")))]
+    requests = _requests(spark, sf_dir)
+    for night in range(3):
+        requests.where(F.pmod(F.to_date("ts").cast("timestamp").cast("long") / 86_400, F.lit(3)) == night).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(requests.schema).parquet(f"{base}/in")
+        incremental.run_available(stream, f"{base}/checkpoint", ledger.staged(f"{base}/out", "nightly", stages))
+    return ledger.result(spark, f"{base}/out", "counted").groupBy("client").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 # a paged search
 
 

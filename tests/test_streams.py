@@ -60,3 +60,43 @@ def test_meter_in_parts_equals_the_loop(spark):
         out = meters.metered(df, 6, parts)
         assert sorted((tuple(r) for r in out.collect()), key=lambda r: r[1]) == metered(rows, 6)
     assert meters.metered(df.limit(0), 6, 3).collect() == []
+
+
+def test_a_killed_run_leaves_what_an_unbroken_one_does(spark, tmp_path):
+    from skyloom.streaming import incremental, ledger
+
+    calls, broken = [], {"left": 2}
+
+    def fresh(rows):
+        calls.append("fresh")
+        return rows.where("want > 0")
+
+    def counted(rows):
+        if broken["left"]:
+            broken["left"] -= 1
+            raise RuntimeError("lost")
+        return rows.groupBy("client").agg(F.count("*").alias("n"), F.sum("want").alias("total"))
+
+    def run(name):
+        stream = spark.readStream.schema("client string, ts timestamp, seq long, want long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        each = ledger.staged(str(tmp_path / name), "nightly", [("fresh", fresh), ("counted", counted)])
+        incremental.run_available(stream, str(tmp_path / f"{name}-checkpoint"), each)
+
+    for k in range(3):
+        frame(spark, requests(10 + k, 30)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        try:
+            run("killed")
+        except Exception as error:  # noqa: BLE001  the stream reports what its batch raised
+            assert "lost" in str(error)
+    assert calls == ["fresh"]  # the second start found the first stage done
+    run("killed")
+    run("killed")
+    run("whole")
+    tables = [sorted((r.client or "", r.n, r.total, r.batch) for r in ledger.result(spark, str(tmp_path / name), "counted").collect()) for name in ("killed", "whole")]
+    assert tables[0] == tables[1] and len({r[3] for r in tables[0]}) == 3
+    done = ledger.ledger(spark, str(tmp_path / "killed"), ["fresh", "counted"])
+    assert sorted((r.stage, r.batch) for r in done.collect()) == [(s, b) for s in ("counted", "fresh") for b in range(3)]
+    again = ledger.staged(str(tmp_path / "killed"), "nightly", [("fresh", fresh), ("counted", counted)])
+    again(frame(spark, requests(10, 30)), 0)  # a batch that comes again changes nothing
+    assert sorted((r.client or "", r.n, r.total, r.batch) for r in ledger.result(spark, str(tmp_path / "killed"), "counted").collect()) == tables[0]
