@@ -14,7 +14,7 @@ Repeated rows and null ids stay; an empty table gives an empty one; other column
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -170,15 +170,18 @@ def learn(
     Rows with a null language or text, or text without a letter, teach nothing.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("place", F.xxhash64("id"))
-    order = Window.partitionBy("lang").orderBy("size", "place", "id")
-    sized = rows.select("lang", "place", "id", F.greatest(F.length("text"), F.lit(usual)).alias("size"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumns({"place": F.xxhash64("id"), "digest": F.xxhash64("text")})
+    one = ["lang", "place", "id", "digest"]  # several texts of an id are several documents
+    order = Window.partitionBy("lang").orderBy("size", "place", "id", "digest")
+    sized = rows.select(*one, F.greatest(F.length("text"), F.lit(usual)).alias("size"))
     few = sized.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_docs).drop("size")
-    texts = rows.join(F.broadcast(few.drop("n").distinct()), ["lang", "place", "id"], "left_semi")
+    few = few.select(*(F.col(c).alias(f"few_{c}") for c in one)).distinct()
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"few_{c}")) for c in one))
+    texts = rows.join(F.broadcast(few), same, "left_semi")
     found: dict[str, list] = {}
-    for r in texts.dropDuplicates(["lang", "place", "id"]).collect():  # at most ``most_docs`` rows for a language
-        found.setdefault(r.lang, []).append((r.place, r.id, r.text))
-    return tuple((lang, "\n".join(t for *_, t in sorted(own, key=lambda r: (r[0], r[1] or "")))) for lang, own in sorted(found.items()))
+    for r in texts.dropDuplicates(one).collect():  # at most ``most_docs`` rows for a language
+        found.setdefault(r.lang, []).append((r.place, r.id, r.digest, r.text))
+    return tuple((lang, "\n".join(t for *_, t in sorted(own, key=lambda r: (r[0], r[1] or "", r[2])))) for lang, own in sorted(found.items()))
 
 
 def language(model: tuple[tuple[str, str], ...], text: Column) -> Column:

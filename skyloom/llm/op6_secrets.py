@@ -352,10 +352,11 @@ def fit(texts: list[str], rounds: int = 80, rate: float = 1.0, decay: float = 1e
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = 600, longest: int = 20_000) -> Field:
     """Trains the field on a bounded sample: the whole texts of up to ``most_docs`` documents of at most ``longest`` characters, in
-    hash order of the id."""
-    rows = docs.where(F.length(text_col) <= longest).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    few = rows.select(F.col("id").alias("chosen")).orderBy(F.xxhash64("id"), "id").limit(most_docs).distinct()
-    found = rows.join(F.broadcast(few), F.col("id").eqNullSafe(F.col("chosen")), "left_semi").limit(2 * most_docs).collect()
+    hash order of the id; several texts of an id are several documents, and repeated rows are one."""
+    rows = docs.where(F.length(text_col) <= longest).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    few = rows.select(F.col("id").alias("chosen"), F.col("digest").alias("mark")).orderBy(F.xxhash64("id"), "id", "digest").limit(most_docs).distinct()
+    same = F.col("id").eqNullSafe(F.col("chosen")) & (F.col("digest") == F.col("mark"))
+    found = rows.join(F.broadcast(few), same, "left_semi").dropDuplicates(["id", "digest"]).collect()
     return fit(sorted(r.text for r in found))
 
 
