@@ -17,7 +17,7 @@ from ..operators import archive, cluster, gate, grade, match, meters, rank, stor
 from ..operators.stored import folder, stored
 from ..sources import feeds, search
 from ..streaming import incremental, ledger, ordered
-from . import claims, providers, render
+from . import batching, claims, providers, render
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -947,6 +947,16 @@ def null_keys_upserted(spark, sf_dir):
     return store.upsert(keys.withColumn("v", F.lit("old")), patch.withColumn("v", F.lit("new")), ["k"])
 
 
+# providers
+
+
+@query("embedded_in_batches", "WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents), k AS (SELECT *, n // (1 << list_min(list_filter(range(0, 31), lambda x: n // (1 << x) <= 500))) AS kept FROM d) SELECT doc_id, CAST(kept AS BIGINT) AS kept, CAST(CASE WHEN kept > 0 THEN unicode(text) ELSE -1 END AS BIGINT) AS head FROM k")
+def embedded_in_batches(spark, sf_dir):
+    """Texts sent to a provider that takes 8 texts, 500 characters of one and 2000 together."""
+    made = providers.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), batching.Limited())
+    return made.select("doc_id", F.get("vector", F.lit(0)).cast("long").alias("kept"), F.get("vector", F.lit(1)).cast("long").alias("head"))
+
+
 # meters and streams
 
 

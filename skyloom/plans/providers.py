@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..operators import rank, store
+from . import batching
 
 SUMMARY = "summary string, research_question string, contribution string"
 RELEVANCE = "relevant boolean, score double, matched array<string>, reason string"
 PITCH = "claim string, stakes string, connection string, verdict string"
 ENRICHMENT = "verdict string, kind string, headline string, so_what string, caveat string, tools array<string>"
+#: Texts of a request to an embedder that doesn't say how many it takes.
+BATCH = 64
 #: The version of cached enrichment records that is understood, and their closed sets of words.
 SHAPE, VERDICTS, KINDS = 2, ("read", "skim", "skip"), ("theory", "experiment", "method", "review", "software", "data")
 
@@ -81,15 +84,16 @@ def ask(model: Model, system: str, user: Column, schema: str) -> Column:
 
 
 def embed(rows: DataFrame, embedder: Embedder, text_col: str = "text", out: str = "vector") -> DataFrame:
-    """Adds a vector to each text; a reply of the wrong number or length raises."""
+    """Adds a vector to each text, in requests of at most the embedder's ``batch`` texts (64 if it says none); a null text is empty.
+
+    Requests refused as too long are cut and tried again (see ``batching``); a reply that doesn't fit its request raises.
+    """
 
     @F.pandas_udf("array<double>")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            found = embedder.embed(texts.fillna("").tolist())
-            if len(found) != len(texts) or any(len(v) != embedder.dim for v in found):
-                raise ValueError("the embedder's reply doesn't fit its request")
-            yield pd.Series(found, dtype=object)
+            found = batching.embedded(texts.fillna("").tolist(), embedder.embed, embedder.dim, getattr(embedder, "batch", BATCH))
+            yield pd.Series(found, index=texts.index, dtype=object)
 
     return rows.withColumn(out, call(F.col(text_col)))
 
