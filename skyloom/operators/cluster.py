@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from . import linkage
+from .numbering import numbered
 from .quantile import nth, with_group
 from .stored import stored
 
@@ -241,6 +242,34 @@ def cluster_ids(cut_rows: DataFrame, haul: str) -> DataFrame:
     return cut_rows.join(numbered, [haul, "root"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1))).withColumn("size", F.coalesce("size", F.lit(1)))
 
 
+def stone_order(numbered_rows: DataFrame, members: DataFrame, haul: str, key: str, vector: str = "vector") -> DataFrame:
+    """How a haul is laid out: ``haul, key, cluster, place, centrality, spot``.
+
+    ``place`` counts clusters from the largest, the members of each by key, then the members of none; ``spot`` counts a cluster's members from the most central
+    (null outside clusters), ties by key. ``numbered_rows`` come from ``cluster_ids``.
+    """
+    last = F.when(F.col("cluster") < 0, F.lit((1 << 31) - 1)).otherwise(F.col("cluster"))
+    placed = numbered(numbered_rows.select(haul, key, "cluster", last.alias("_last")), [haul], [F.asc("_last"), F.asc(key)], "place").drop("_last")
+    inside = linkage.left_with(numbered_rows.where("cluster >= 0").select(haul, key, "cluster"), members.select(haul, F.col(key).cast("long").alias(key), vector), [haul, key])
+    group = inside.withColumn("_group", F.struct(F.col(haul).alias("haul"), F.col("cluster").alias("cluster")))
+    scored = centers(group, "_group", key, vector).select(F.col("_group.haul").alias(haul), "_group.cluster", key, F.round("centrality", 9).alias("centrality"))
+    ranked = numbered(scored, [haul, "cluster"], [F.desc("centrality"), F.asc(key)], "spot").drop("cluster")
+    return linkage.left_with(placed, ranked, [haul, key])
+
+
+def same_cluster(pairs: DataFrame, numbered_rows: DataFrame, haul: str, key: str, a: str = "a", b: str = "b") -> DataFrame:
+    """Adds ``same``: whether both of a pair are in one cluster."""
+    own = numbered_rows.where("cluster >= 0").select(haul, F.col(key).alias(a), F.col("cluster").alias("_a"))
+    other = own.select(haul, F.col(a).alias(b), F.col("_a").alias("_b"))
+    both = linkage.left_with(linkage.left_with(pairs, own, [haul, a]), other, [haul, b])
+    return both.withColumn("same", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).drop("_a", "_b")
+
+
+def map_scale(histogram: DataFrame) -> DataFrame:
+    """The least and greatest likeness of two different members, for colours: ``lo, hi``, hi from 0; both 0 without pairs."""
+    return histogram.agg(F.coalesce(F.min("sim"), F.lit(0.0)).alias("lo"), F.greatest(F.lit(0.0), F.coalesce(F.max("sim"), F.lit(0.0))).alias("hi"))
+
+
 def shares(sizes: DataFrame, haul: str, n: str = "n") -> DataFrame:
     """Adds each cluster's share of its haul, in whole per cent, and its width."""
     total = F.sum(n).over(Window.partitionBy(haul))

@@ -266,6 +266,37 @@ def clusters_in_rounds(spark, sf_dir):
     return _merges(spark, sf_dir, most=0)[1].select("label", "a", "b", F.round("sim", 6).alias("sim"))
 
 
+_BIG = "big AS (SELECT label, root, n, CAST(row_number() OVER (PARTITION BY label ORDER BY n DESC, root) - 1 AS INTEGER) AS k FROM sizes WHERE n >= 3), ids AS (SELECT label, vec_id, root, coalesce(k, -1) AS cluster FROM roots LEFT JOIN big USING (label, root))"
+
+
+def _clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c, found = _merges(spark, sf_dir)
+    return c, stored(cluster.cluster_ids(cluster.cut(c, found, "label", "vec_id", 0.3), "label"), "clusters")
+
+
+@query("stone_order", f"""WITH RECURSIVE {_cut_sql("SELECT 0.3::DOUBLE AS cut")}, {_BIG}, own AS (SELECT label, vec_id, cluster, v FROM ids JOIN u USING (label, vec_id) WHERE cluster >= 0),
+central AS (SELECT a.label, a.cluster, a.vec_id, round(round(sum(CASE WHEN a.vec_id <> b.vec_id THEN list_dot_product(a.v, b.v) ELSE 0 END) / (count(*) - 1), 6), 9) AS centrality FROM own a JOIN own b USING (label, cluster) GROUP BY ALL),
+spots AS (SELECT label, vec_id, centrality, row_number() OVER (PARTITION BY label, cluster ORDER BY centrality DESC, vec_id) AS spot FROM central)
+SELECT label, vec_id, cluster, row_number() OVER (PARTITION BY label ORDER BY cluster < 0, cluster, vec_id) AS place, centrality, spot FROM ids LEFT JOIN spots USING (label, vec_id)""")
+def stone_order(spark, sf_dir):
+    c, ids = _clusters(spark, sf_dir)
+    return cluster.stone_order(ids, c, "label", "vec_id").select("label", "vec_id", "cluster", "place", "centrality", "spot")
+
+
+@query("same_cluster", f"""WITH RECURSIVE {_cut_sql("SELECT 0.3::DOUBLE AS cut")}, {_BIG}, nexts AS (SELECT label, vec_id AS a, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)
+SELECT label, a, b, coalesce(x.cluster >= 0 AND x.cluster = y.cluster, false) AS same FROM nexts LEFT JOIN ids x USING (label) LEFT JOIN ids y USING (label) WHERE x.vec_id = a AND y.vec_id = b""")
+def same_cluster(spark, sf_dir):
+    """Whether neighbours by id within a haul are in one cluster."""
+    c, ids = _clusters(spark, sf_dir)
+    pairs = c.select("label", F.col("vec_id").alias("a"), F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("b")).where("b is not null")
+    return cluster.same_cluster(pairs, ids, "label", "vec_id").select("label", "a", "b", "same")
+
+
+@query("map_scale", f"WITH {_PAIRS} SELECT min(round(sim, 6)) AS lo, greatest(0.0, max(round(sim, 6))) AS hi FROM s")
+def map_scale(spark, sf_dir):
+    return cluster.map_scale(cluster.similarity_histogram(_candidates(spark, sf_dir), "vec_id"))
+
+
 @query("cluster_sweep", f"WITH RECURSIVE {_cut_sql(_CUTS)} SELECT label, cut, clusters, placed, largest FROM swept")
 def cluster_sweep(spark, sf_dir):
     _, found = _merges(spark, sf_dir)
