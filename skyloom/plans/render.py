@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import gate, rank
+from ..operators.numbering import numbered
 
 #: What the bands are called.
 BAND_NAMES = {"paydirt": "Pay dirt", "look": "Worth a look", "longshot": "Long shot", "picked": "Picked"}
@@ -40,15 +41,15 @@ def brief(papers: DataFrame, day: str) -> DataFrame:
     head = F.concat(F.lit(f"# Papers of {day}\n\nchosen: "), text_of("n"), F.lit(", judged: "), (F.col("n") + F.col("m")).cast("string"), F.lit(", relevant: "), (F.col("n") + F.col("r")).cast("string"))
     listed = F.concat(F.lit("# Set aside: "), text_of("m"))
     both = counts.select(*line(0, F.lit(0), head)).unionByName(counts.select(*line(2, F.lit(0), listed)))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("importance"), "cite_key"))
     said = lambda label, c: F.concat(F.lit(f"\n- {label}: "), F.coalesce(F.nullif(c, F.lit("")), F.lit("not said")))
     link = F.concat(F.lit("\n- https://arxiv.org/abs/"), "arxiv_id")
     slide = F.concat(F.lit("## "), text_of("_n"), F.lit(" "), "title", said("claim", "claim"), said("stakes", "stakes"), said("connection", "connection"), F.lit("\n- verdict: "), rank.verdict(F.coalesce("verdict", F.lit("skim"))), link)
-    slides = shown.withColumn("_n", place).select(*line(1, F.col("_n"), slide))
-    k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("relevant"), F.desc_nulls_last("importance"), "cite_key"))
+    best = [F.desc_nulls_last("importance"), F.asc("cite_key")]
+    slides = numbered(shown, [], best, "_n").select(*line(1, F.col("_n"), slide))
     judged = F.when(F.col("relevant"), " (relevant)").otherwise("")
     other = F.concat(F.lit("* "), F.coalesce(F.nullif("title", F.lit("")), F.col("cite_key")), judged, F.lit(": "), F.coalesce(F.nullif("filter_reason", F.lit("")), F.lit("not said")), F.lit(" https://arxiv.org/abs/"), "arxiv_id")
-    return both.unionByName(slides).unionByName(rest.withColumn("_k", k).select(*line(3, F.col("_k"), other)))
+    others = numbered(rest, [], [F.desc_nulls_last("relevant"), *best], "_k").select(*line(3, F.col("_k"), other))
+    return both.unionByName(slides).unionByName(others)
 
 
 def brief_text(papers: DataFrame, day: str) -> DataFrame:
