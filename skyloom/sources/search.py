@@ -76,7 +76,9 @@ class PagedReader(DataSourceReader):
             out += [Page(category, n) for n in pages if n < hi]
         return out
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Page | None) -> Iterator[tuple]:
+        if partition is None:  # there are no pages
+            return
         for row in self._entries(partition.category, partition.number):
             if self.since and row[5] is not None and row[5] < self.since or self.most is not None and row[1] >= self.most:
                 return
