@@ -54,6 +54,12 @@ def menu_note(items: F.Column, paydirt: F.Column) -> F.Column:
     return F.when(items.isNull(), "builds tonight").when(items == 0, "nothing today").otherwise(some)
 
 
+def menu(presets: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Every preset with its feed's counts and note: ``slug, name, items, paydirt, note``; one that was never built is pending."""
+    built = manifest.select("slug", "items", "paydirt").dropDuplicates(["slug"])
+    return presets.select("slug", "name").join(built, "slug", "left").withColumn("note", menu_note(F.col("items"), F.col("paydirt")))
+
+
 def drift(directory: DataFrame, listed: DataFrame, key: str = "slug") -> DataFrame:
     """Slugs that only the directory or only the manifest has: ``slug, only_in``."""
     here = directory.select(key).distinct().join(listed.select(key), key, "left_anti").withColumn("only_in", F.lit("directory"))

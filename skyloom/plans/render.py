@@ -90,10 +90,9 @@ def rss(items: DataFrame, site: str) -> DataFrame:
 
 def report_lines(items: DataFrame, key: str = "id") -> DataFrame:
     """Report items as Markdown: ``pos, line``."""
-    pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("grade"), key))
     z = F.when(F.col("z").isNotNull(), F.concat(F.lit(", z "), short_number(F.col("z")))).otherwise("")
     line = F.concat(F.col("pos").cast("string"), F.lit(". **"), "title", F.lit("** ("), band_name(F.col("band")), F.lit(", grade "), fixed(F.col("grade"), 3), z, F.lit(")"))
-    return items.withColumn("pos", pos).select("pos", line.alias("line"))
+    return numbered(items, [], [F.desc("grade"), F.asc(key)], "pos").select("pos", line.alias("line"))
 
 
 def short_number(c: Column) -> Column:
