@@ -500,11 +500,17 @@ def visible_rows(spark, sf_dir):
 # matching
 
 
+def _five(number: F.Column) -> F.Column:
+    """A number with zeros before it up to five digits; longer ones stay whole."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(5)), F.lit("0"))
+
+
 def _corpus(spark, sf_dir) -> DataFrame:
     p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
     return p.select(
         key.alias("corpus_pos"), F.concat(F.lit("P"), key).alias("cite_key"), F.concat(F.lit("W"), key).alias("openalex_id"),
-        F.when(key % 3 == 0, F.concat(F.lit("https://doi.org/10.1000/"), key)).when(key % 3 == 1, F.concat(F.lit("10.48550/arXiv.2401."), F.lpad(key.cast("string"), 5, "0"))).alias("doi"), F.col("p_name").alias("title"),
+        F.when(key % 3 == 0, F.concat(F.lit("https://doi.org/10.1000/"), key)).when(key % 3 == 1, F.concat(F.lit("10.48550/arXiv.2401."), _five(key))).alias("doi"), F.col("p_name").alias("title"),
     )
 
 
@@ -513,7 +519,7 @@ def _refs(spark, sf_dir) -> DataFrame:
     kind, key = F.col("l_linenumber") % 4, F.col("l_partkey")
     return lines.select(
         F.col("l_orderkey").alias("cite_key"), F.col("l_linenumber").alias("ref_pos"), F.when(kind == 1, F.concat(F.lit("doi:10.1000/"), key)).alias("ref_doi"),
-        F.when(kind == 2, F.concat(F.lit("2401."), F.lpad(key.cast("string"), 5, "0"))).alias("ref_arxiv"), F.when(kind == 3, F.upper("p_name")).alias("ref_title"),
+        F.when(kind == 2, F.concat(F.lit("2401."), _five(key))).alias("ref_arxiv"), F.when(kind == 3, F.upper("p_name")).alias("ref_title"),
     )
 
 
