@@ -6,6 +6,7 @@ A zero or non-finite vector is left as it is and scores 0; vectors of unequal le
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,14 @@ def usable(n: Column) -> Column:
     return (n > 0) & (n < float("inf")) & ~F.isnan(n)
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it: inside a lambda it would be for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def unit(a: Column) -> Column:
     """The vector at length 1; a zero or non-finite one stays."""
-    n = norm(a)
-    return F.when(usable(n), F.transform(a, lambda x: x / n)).otherwise(a)
+    return once(a, lambda v: once(norm(v), lambda n: F.when(usable(n), F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
 def center(a: Column, centroid: Column) -> Column:

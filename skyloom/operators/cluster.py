@@ -22,7 +22,7 @@ from .quantile import nth, with_group
 from .stored import stored
 
 #: Vectors of a block; members of a haul that is agglomerated over its matrix (8 bytes a pair).
-BLOCK, MOST = 1024, 8000
+BLOCK, MOST = 1024, 2000
 #: Cuts of the sweep: 0.20 to 0.70 by 0.005.
 CUTS = [k / 200 for k in range(40, 141)]
 #: Members that make a group a cluster.
@@ -144,12 +144,12 @@ def agglomerate(sims: np.ndarray) -> list[tuple[int, int, float]]:
     return merges
 
 
-def merges(rows: DataFrame, haul: str, key: str, vector: str = "vector", most: int = MOST) -> DataFrame:
+def merges(rows: DataFrame, haul: str, key: str, vector: str = "vector", most: int = MOST, few: int | None = None) -> DataFrame:
     """All merges of each haul: ``haul, a, b, sim``, the groups by their least member's key, with the parts' ``size_a, size_b`` and the likeness
     at which each was made, ``born_a, born_b`` (null for one member).
 
-    Hauls of up to ``most`` members are merged in a task each, side by side; larger ones in rounds over all tasks, with the same result but
-    where likenesses tie.
+    Hauls of up to ``most`` members are merged over their matrix in a task each, side by side; larger ones in rounds, with the same result but
+    where likenesses tie; rounds of more than ``few`` groups go over all tasks (see ``linkage``).
     """
     own = rows.where(F.col(vector).isNotNull()).select(F.col(haul).alias("haul"), F.col(key).cast("long").alias("id"), vectors.unit(vectors.doubles(F.col(vector))).alias("v"))
     own = stored(own, "units")
@@ -169,7 +169,7 @@ def merges(rows: DataFrame, haul: str, key: str, vector: str = "vector", most: i
     small = with_group(own, sizes.where(F.col("members") <= most), ["haul"]).drop("members")
     found = small.groupBy("haul").applyInPandas(run, f"haul {kind}, a long, b long, sim double, size_a long, size_b long, born_a double, born_b double")
     if not large.isEmpty():
-        found = found.unionByName(linkage.spread_merges(with_group(own, large, ["haul"]).drop("members")))
+        found = found.unionByName(linkage.spread_merges(with_group(own, large, ["haul"]).drop("members"), few))
     return found.withColumnRenamed("haul", haul)
 
 

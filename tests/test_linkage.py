@@ -96,3 +96,28 @@ def test_nothing_and_vectors_that_are_not_finite(spark):
     assert sorted((r.a, r.b, round(r.sim, 3)) for r in found.collect()) == [(0, 1, -2.0), (0, 2, 0.995)]
     cut = {r.id: r.root for r in cluster.cut(odd.where(F.col("vector").isNotNull()), found, "haul", "id", 0.5).collect()}
     assert cut == {0: 0, 1: 1, 2: 0}
+
+
+def test_rounds_over_all_tasks_and_in_one_give_one_table(spark, monkeypatch, hauls):
+    """Hauls are finished in one task after a few rounds, or from the start."""
+    monkeypatch.setattr(linkage, "BLOCK", 16)
+    monkeypatch.setattr(linkage, "STRIP", 7)
+    members = spark.createDataFrame(rows_of(hauls), SCHEMA)
+    tables = [sorted((tuple(r) for r in cluster.merges(members, "haul", "id", most=0, few=f).collect()), key=lambda r: (r[0] or "", r[1], r[2])) for f in (8, 1000)]
+    for table in tables[1:]:
+        assert len(table) == len(tables[0]) == 59 + 30 + 64 + 1 + 8
+        for x, y in zip(tables[0], table, strict=True):
+            assert (x[:3], x[4:6]) == (y[:3], y[4:6]) and x[3] == pytest.approx(y[3], abs=1e-9)
+            assert all(p == q if p is None or q is None else p == pytest.approx(q, abs=1e-9) for p, q in zip(x[6:], y[6:], strict=True))
+
+
+def test_a_large_haul_takes_few_jobs(spark):
+    """Jobs are counted: 3,000 members took some for each of dozens of rounds."""
+    v = unit(np.random.default_rng(5).normal(size=(3000, 16)))
+    members = spark.createDataFrame(rows_of({"h": v}), SCHEMA).repartition(2)
+    spark.sparkContext.setJobGroup("large haul", "")
+    found = cluster.merges(members, "haul", "id", most=0).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("large haul"))
+    spark.sparkContext.setJobGroup("", "")
+    same([(r.a, r.b, r.sim) for r in found], cluster.agglomerate(v @ v.T))
+    assert jobs < 40
