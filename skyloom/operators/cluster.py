@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,11 @@ from .numbering import numbered
 from .quantile import nth, with_group
 from .stored import stored
 
-#: Vectors of a block; members of a haul that is agglomerated over its matrix (8 bytes a pair).
-BLOCK, MOST = 1024, 2000
+#: Blocks that meet, as their copies are shuffled once for each other; vectors of a block, at least and at most; rows of a strip of cosines;
+#: tasks among which the meetings of a block are dealt.
+BLOCKS, BLOCK, MOST_BLOCK, STRIP, SALTS = 40, 1024, 16_384, 512, 4
+#: Members of a haul that is agglomerated over its matrix (8 bytes a pair).
+MOST = 2000
 #: Cuts of the sweep: 0.20 to 0.70 by 0.005.
 CUTS = [k / 200 for k in range(40, 141)]
 #: Members that make a group a cluster.
@@ -50,42 +54,99 @@ def centered(rows: DataFrame, vector: str = "vector") -> DataFrame:
     return rows.crossJoin(F.broadcast(mean)).withColumn(vector, out).drop("centroid", "norm")
 
 
-def blocks(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
-    """Vectors in blocks: ``block, ids, data`` with float64 bytes."""
+def blocks(rows: DataFrame, key: str, vector: str = "vector") -> tuple[DataFrame, int]:
+    """Vectors in blocks, ``block, ids, data`` with float64 bytes, and how many blocks there are: ``BLOCKS`` of ``BLOCK`` to ``MOST_BLOCK`` vectors, more if those don't do."""
     own = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), vectors.unit(vectors.doubles(F.col(vector))).alias("v"))
-    numbered = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-own.count() // BLOCK)))).cast("int"))
+    n = own.count()
+    parts = max(1, min(-(-n // BLOCK), BLOCKS), -(-n // MOST_BLOCK))
+    numbered = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
 
-    def packed(group: pd.DataFrame) -> pd.DataFrame:
-        data = np.array(group.v.tolist())
-        return pd.DataFrame({"block": [group.block.iloc[0]], "ids": [group.id.to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
+    def packed(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        data = group["v"].combine_chunks().flatten().to_numpy().tobytes()
+        return pa.table([group["block"].slice(0, 1).cast(pa.int32()), pa.array([group["id"].to_numpy().tobytes()], pa.binary()), pa.array([data], pa.binary())], ["block", "ids", "data"])
 
-    return numbered.groupBy("block").applyInPandas(packed, "block int, ids binary, data binary")
+    return numbered.groupBy("block").applyInArrow(packed, "block int, ids binary, data binary"), parts
 
 
 def _meetings(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    own = blocks(rows, key, vector)
-    other = own.select(F.col("block").alias("block_b"), F.col("ids").alias("ids_b"), F.col("data").alias("data_b"))
-    return own.join(other, F.col("block") <= F.col("block_b"))
-
-
-def _products(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    a, b = np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids_b, np.int64)
-    sims = np.frombuffer(r.data).reshape(len(a), -1) @ np.frombuffer(r.data_b).reshape(len(b), -1).T
-    keep = a[:, None] < b[None, :] if r.block == r.block_b else np.ones(sims.shape, bool)
-    return a, b, sims, keep
+    """Each two blocks once, and each with itself: a block goes to the half of the blocks that follow it in a circle, so all take part in as many."""
+    own, parts = blocks(rows, key, vector)
+    own = stored(own, "blocks")
+    salt = lambda step: F.pmod(step, F.lit(SALTS)).cast("int").alias("salt")
+    steps = F.sequence(F.lit(0), F.lit(parts // 2))
+    # at half of an even circle both would go to each other
+    once = (F.col("step") < parts - F.col("step")) | ((F.col("step") * 2 == parts) & (F.col("block") < parts // 2)) | (F.col("step") == 0)
+    going = own.withColumn("step", F.explode(steps)).where(once)
+    going = going.select("block", "ids", "data", F.pmod(F.col("block") + F.col("step"), F.lit(parts)).alias("block_b"), salt(F.col("step")))
+    staying = own.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
+    staying = staying.select(F.col("block").alias("block_b"), F.col("ids").alias("ids_b"), F.col("data").alias("data_b"), "salt")
+    return going.join(staying.hint("shuffle_hash"), ["block_b", "salt"]).select("block", "ids", "data", "block_b", "ids_b", "data_b")
+
+
+def _products(batch: pa.RecordBatch, tall: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Strips of the cosines of the meetings in a batch: both sides' ids, and the cosines, -inf for what isn't a pair (a pair is met once)."""
+    for k in range(batch.num_rows):
+        ids, data, ids_b, data_b = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in (("ids", np.int64), ("data", float), ("ids_b", np.int64), ("data_b", float)))
+        own, other = data.reshape(len(ids), -1), data_b.reshape(len(ids_b), -1).T
+        alone = batch.column("block")[k].as_py() == batch.column("block_b")[k].as_py()
+        high, wide = tall * STRIP, 4 * STRIP
+        for at in range(0, len(ids), high):
+            for to in range(0, len(ids_b), wide):
+                a, b = ids[at : at + high], ids_b[to : to + wide]
+                sims = own[at : at + high] @ other[:, to : to + wide]
+                if alone:
+                    sims[a[:, None] >= b[None, :]] = -np.inf
+                yield a, b, sims
 
 
 def similarity_histogram(rows: DataFrame, key: str, vector: str = "vector", digits: int = 6) -> DataFrame:
-    """How often each rounded cosine occurs among all pairs: ``sim, n``; the rounding bounds the number of rows."""
+    """How often each rounded cosine occurs among all pairs: ``sim, n``; the rounding bounds the number of rows, also of a task's counts."""
+    unit = 10**digits
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, odd = np.zeros(2 * unit + 1, np.int64), {}
         for batch in batches:
-            for r in batch.itertuples():
-                _, _, sims, keep = _products(r)
-                values, n = np.unique(np.round(sims[keep], digits) + 0.0, return_counts=True)
-                yield pd.DataFrame({"sim": values, "n": n})
+            for _, _, sims in _products(batch, 8):  # more pairs at once than there are cells
+                sims = sims.ravel()
+                sims *= unit
+                np.rint(sims, out=sims)
+                if len(sims) and not (-unit <= sims.min() and sims.max() <= unit):
+                    inside = (sims >= -unit) & (sims <= unit)
+                    for value, n in zip(*np.unique(sims[~inside & (sims != -np.inf)], return_counts=True), strict=True):
+                        odd[value] = odd.get(value, 0) + int(n)
+                    sims = sims[inside]
+                if len(sims):
+                    low = sims.min()
+                    sims -= low
+                    found = np.bincount(sims.astype(np.intp))
+                    counts[int(low) + unit : int(low) + unit + len(found)] += found
+        for at in range(0, len(counts), 1 << 16):
+            here = np.flatnonzero(counts[at : at + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array((here + at - unit) / unit), pa.array(counts[at + here])], ["sim", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([*odd], float) / unit), pa.array([*odd.values()], pa.int64())], ["sim", "n"])
+
+    return _meetings(rows, key, vector).mapInArrow(count, "sim double, n long").groupBy("sim").agg(F.sum("n").alias("n"))
+
+
+def similarity_extremes(rows: DataFrame, key: str, vector: str = "vector", digits: int = 6) -> DataFrame:
+    """The least and the greatest rounded cosine of the pairs that each two blocks have, as ``sim``."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a, b, sims in _products(batch):
+                high = sims.max(initial=-np.inf)
+                low = sims.min(initial=np.inf)
+                if not (-np.inf < low and high < np.inf):  # some are no pairs, or no numbers
+                    pairs = sims[sims != -np.inf]
+                    if not len(pairs):
+                        continue
+                    low, high = np.fmin.reduce(pairs), pairs.max()
+                found += [low, high]
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(np.array(found, float), digits) + 0.0)], ["sim"])
 
-    return _meetings(rows, key, vector).mapInPandas(count, "sim double, n long").groupBy("sim").agg(F.sum("n").alias("n"))
+    return _meetings(rows, key, vector).mapInArrow(ends, "sim double")
 
 
 def percentiles(histogram: DataFrame, shares: dict[str, float]) -> DataFrame:
@@ -98,17 +159,15 @@ def percentiles(histogram: DataFrame, shares: dict[str, float]) -> DataFrame:
 def degrees(rows: DataFrame, key: str, threshold: float, vector: str = "vector") -> DataFrame:
     """Edges of the coupling graph at a threshold, as ``key, degree, strongest`` of every vector that has one."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples():
-                a, b, sims, keep = _products(r)
-                hit = keep & (sims >= threshold)
-                for ids, axis in ((a, 1), (b, 0)):
-                    n = hit.sum(axis=axis)
-                    top = np.where(hit, sims, -np.inf).max(axis=axis, initial=-np.inf)
-                    yield pd.DataFrame({key: ids[n > 0], "degree": n[n > 0], "strongest": top[n > 0]})
-
-    found = _meetings(rows, key, vector).mapInPandas(count, f"{key} long, degree long, strongest double")
+            for a, b, sims in _products(batch):
+                hit = sims >= threshold
+                tops = [np.fmax.reduce(sims, axis=axis) for axis in (1, 0)] if len(a) and len(b) else [np.zeros(0)] * 2
+                for ids, top, n in zip((a, b), tops, (np.count_nonzero(hit, axis=1), np.count_nonzero(hit, axis=0)), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0], pa.int64()), pa.array(top[n > 0])], [key, "degree", "strongest"])
+
+    found = _meetings(rows, key, vector).mapInArrow(count, f"{key} long, degree long, strongest double")
     return found.groupBy(key).agg(F.sum("degree").alias("degree"), F.max("strongest").alias("strongest"))
 
 

@@ -294,7 +294,7 @@ def same_cluster(spark, sf_dir):
 
 @query("map_scale", f"WITH {_PAIRS} SELECT min(round(sim, 6)) AS lo, greatest(0.0, max(round(sim, 6))) AS hi FROM s")
 def map_scale(spark, sf_dir):
-    return cluster.map_scale(cluster.similarity_histogram(_candidates(spark, sf_dir), "vec_id"))
+    return cluster.map_scale(cluster.similarity_extremes(_candidates(spark, sf_dir), "vec_id"))
 
 
 @query("cluster_sweep", f"WITH RECURSIVE {_cut_sql(_CUTS)} SELECT label, cut, clusters, placed, largest FROM swept")
