@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tex
+from .vectors import once
 
 #: Runs of blanks: one explicit class, since engines differ in what they call a space.
 BLANKS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
@@ -142,13 +143,31 @@ def json_list(c: Column) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).when(s.startswith("["), F.coalesce(items, F.array(s))).otherwise(one)
 
 
+def invert_abstract(c: Column) -> Column:
+    """A text's words, split at single blanks, as a map of word to ascending places. Words are sorted with their places, and runs of equal ones cut out."""
+    placed = F.array_sort(F.transform(F.split(c, " "), lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+
+    def runs(words: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(words, i)["word"] != F.get(words, i - 1)["word"])
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), first)
+        size = lambda all_, start, k: F.coalesce(F.get(all_, k + 1), F.size(words)) - start
+        entry = lambda all_, start, k: F.struct(F.get(words, start)["word"].alias("word"), F.transform(F.slice(words, start + 1, size(all_, start, k)), lambda p: p["at"]).alias("at"))
+        return once(starts, lambda all_: F.map_from_entries(F.transform(all_, lambda start, k: entry(all_, start, k))))
+
+    return once(placed, runs)
+
+
 def rebuild_abstract(index: Column) -> Column:
     """Prose from a map of word to places; the first missing place ends it."""
     pairs = F.array_sort(F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e.value, lambda p: F.struct(p.alias("at"), e.key.alias("word"))))))
-    firsts = F.filter(F.transform(pairs, lambda p, i: F.when(p.at == i, p.word)), lambda w: w.isNotNull())
-    gap = F.array_position(F.transform(pairs, lambda p, i: (p.at == i).cast("int")), 0)
-    until = F.when(gap > 0, F.slice(firsts, 1, (gap - 1).cast("int"))).otherwise(firsts)
-    return F.coalesce(F.array_join(until, " "), F.lit(""))
+
+    def prose(placed: Column) -> Column:
+        whole = F.transform(placed, lambda p: p["word"])
+        gaps = F.transform(placed, lambda p, i: (p["at"] == i).cast("int"))
+        # words after the first missing place are cut off
+        return once(F.array_position(gaps, 0), lambda gap: F.array_join(F.when(gap > 0, F.slice(whole, 1, (gap - 1).cast("int"))).otherwise(whole), " "))
+
+    return F.coalesce(once(pairs, prose), F.lit(""))
 
 
 def cluster_key(ids: Column, titles: Column) -> Column:

@@ -789,11 +789,11 @@ def json_lists(spark, sf_dir):
 
 @query("rebuilt_abstracts", f"SELECT doc_id, sha256({_COLLAPSED}) AS sha FROM documents WHERE {_COLLAPSED} <> ''")
 def rebuilt_abstracts(spark, sf_dir):
-    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(text.collapse(F.coalesce("text", F.lit(""))), " ")).alias("pos", "word"))
-    places = words.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-    index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
-    rebuilt = text.rebuild_abstract(F.col("index"))
-    return index.where(rebuilt != "").select("doc_id", F.sha2(rebuilt, 256).alias("sha"))
+    index = _docs(spark, sf_dir).select("doc_id", text.invert_abstract(text.collapse(F.coalesce("text", F.lit("")))).alias("index"))
+    sha = F.sha2(text.rebuild_abstract(F.col("index")), 256)
+    # an empty text is told by its digest in the lambda, so that a text is rebuilt once and not again for a filter
+    found = index.select("doc_id", F.explode(F.array(sha)).alias("sha"))
+    return found.where(F.col("sha") != F.sha2(F.lit("").cast("binary"), 256))
 
 
 @query("vector_codec", "SELECT vec_id, 64 AS floats, true AS same, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(range(1, 65), lambda x: CAST(x AS DOUBLE))), 6) AS cosine FROM embeddings")

@@ -33,3 +33,19 @@ SHOP = {
 @pytest.mark.parametrize("name", ["match_cascade", "bibliography_matches", "connect_decision"])
 def test_parts_of_six_digits_are_told_apart(spark, tmp_path, name):
     same(spark, name, tmp_path, SHOP)
+
+
+@pytest.fixture
+def words(tmp_path):
+    same_word = "SELECT 1 AS doc_id, repeat('a ', 3000) AS text UNION ALL SELECT 2, NULL UNION ALL SELECT 3, ' ' UNION ALL SELECT 4, 'b  a b' UNION ALL SELECT 4, 'c d'"
+    return {"documents": f"{same_word} UNION ALL SELECT 10, (SELECT string_agg('w' || (i * 7919 % 1000), ' ' ORDER BY i) FROM range(5000) r(i))"}
+
+
+def test_abstracts_are_rebuilt_from_rows_of_any_length_and_id(spark, tmp_path, words):
+    """Two texts of one id are two texts, which a grouping by id had made one."""
+    same(spark, "rebuilt_abstracts", tmp_path, words)
+
+
+def test_abstracts_are_rebuilt_without_a_shuffle(spark, tmp_path, words):
+    duckdb.sql(f"COPY ({words['documents']}) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    assert "Exchange" not in QUERIES["rebuilt_abstracts"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
