@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GLOBAL = "@global"
-
 
 def entry(items: DataFrame) -> DataFrame:
     """Items as the archive keeps them: flat, without the abstract, grade to 3 and z to 1 places."""
@@ -80,39 +80,50 @@ def spend(requests: DataFrame, client_cap: int, global_cap: int) -> DataFrame:
     """Grants of a day's requests in order: ``day, seq, client, want, granted, client_calls, global_calls``.
 
     A request gets what it wants, as far as the client's and the day's headroom go; a negative one refunds, never below 0.
-    A day is decided by one task, in order, since each grant depends on all before it.
+    A day is decided by one task, in order, since each grant depends on all before it; the task holds what clients have used, not their requests.
     """
 
-    def day(group: pd.DataFrame) -> pd.DataFrame:
-        calls: dict[str, int] = {}
-        out = []
-        for r in group.sort_values("seq").itertuples():
-            mine, all_ = calls.get(r.client, 0), calls.get(GLOBAL, 0)
-            grant = int(r.want) if r.want < 0 else max(0, min(int(r.want), global_cap - all_, client_cap - mine))
-            calls[r.client], calls[GLOBAL] = max(0, mine + grant), max(0, all_ + grant)
-            out.append((r.day, r.seq, r.client, r.want, grant, calls[r.client], calls[GLOBAL]))
-        return pd.DataFrame(out, columns=["day", "seq", "client", "want", "granted", "client_calls", "global_calls"])
+    def grants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        today, calls, every = None, {}, 0
+        for batch in batches:
+            out = []
+            for day, client, want in zip(*(batch.column(c).to_pylist() for c in ("day", "client", "want")), strict=True):
+                if day != today:
+                    today, calls, every = day, {}, 0
+                mine = calls.pop(client, 0)
+                grant = want if want < 0 else max(0, min(want, global_cap - every, client_cap - mine))
+                mine, every = max(0, mine + grant), max(0, every + grant)
+                if mine:
+                    calls[client] = mine
+                out.append((grant, mine, every))
+            made = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("day", "seq", "client", "want")), *made], ["day", "seq", "client", "want", "granted", "client_calls", "global_calls"])
 
     kind = requests.schema["day"].dataType.simpleString()
-    rows = requests.select("day", F.col("seq").cast("long"), "client", F.col("want").cast("long"))
-    return rows.groupBy("day").applyInPandas(day, f"day {kind}, seq long, client string, want long, granted long, client_calls long, global_calls long")
+    rows = requests.select("day", F.col("seq").cast("long"), F.col("client").cast("string"), F.col("want").cast("long"))
+    ordered = rows.repartition("day").sortWithinPartitions("day", F.asc_nulls_last("seq"))
+    return ordered.mapInArrow(grants, f"day {kind}, seq long, client string, want long, granted long, client_calls long, global_calls long")
 
 
 def hourly(requests: DataFrame, cap: int, seconds: int = 3600) -> DataFrame:
     """Grants of a per-client meter whose window opens with the first request after the last one ended."""
 
-    def client(group: pd.DataFrame) -> pd.DataFrame:
-        opened, used, out = None, 0, []
-        for r in group.sort_values(["at", "seq"]).itertuples():
-            if opened is None or r.at >= opened + seconds:
-                opened, used = r.at, 0
-            ok = used + r.want <= cap
-            used += r.want if ok else 0
-            out.append((r.client, r.seq, r.at, r.want, ok, used))
-        return pd.DataFrame(out, columns=["client", "seq", "at", "want", "allowed", "used"])
-
-    rows = requests.select("client", F.col("seq").cast("long"), F.col("at").cast("long"), F.col("want").cast("long"))
-    return rows.groupBy("client").applyInPandas(client, "client string, seq long, at long, want long, allowed boolean, used long")
+    def grants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, opened, used = (), None, 0
+        for batch in batches:
+            out = []
+            for client, at, want in zip(*(batch.column(c).to_pylist() for c in ("client", "at", "want")), strict=True):
+                if now != (client,) or (opened is not None and at is not None and at >= opened + seconds):
+                    now, opened, used = (client,), at, 0
+                ok = want is not None and used + want <= cap
+                used += want if ok else 0
+                out.append((ok, used))
+            made = list(zip(*out, strict=True)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("client", "seq", "at", "want")), pa.array(made[0], pa.bool_()), pa.array(made[1], pa.int64())], ["client", "seq", "at", "want", "allowed", "used"])
+
+    rows = requests.select(F.col("client").cast("string"), F.col("seq").cast("long"), F.col("at").cast("long"), F.col("want").cast("long"))
+    ordered = rows.repartition("client").sortWithinPartitions("client", F.asc_nulls_last("at"), F.asc_nulls_last("seq"))
+    return ordered.mapInArrow(grants, "client string, seq long, at long, want long, allowed boolean, used long")
 
 
 def prune_enrichment(cache: DataFrame, today: F.Column, days: int = 30) -> DataFrame:
