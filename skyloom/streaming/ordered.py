@@ -1,8 +1,10 @@
 """Keyed state over requests in their own order, whatever order they arrive in.
 
-Requests are held in a key's list state until the watermark has passed them, and are then taken by time and sequence, so results don't depend on
+Requests are held in list state until the watermark has passed them, and are then taken by time and sequence, so results don't depend on
 batches, partitions or arrival. What is held is what the watermark's delay covers. Timers, not new rows, end a
-key: one that isn't asked for again is forgotten.
+client: one that isn't asked for again is forgotten.
+
+Reaching state and timers costs the same for one row as for thousands, so a key of the state is not a client but one of ``BUCKETS`` buckets of clients.
 """
 
 from __future__ import annotations
@@ -20,41 +22,55 @@ from . import incremental
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _FAR = 1 << 62
+#: Buckets of clients; a bucket's requests that are due and its clients' states are held by a task at once.
+BUCKETS = 256
 
 
 class InOrder(StatefulProcessor):
-    """Holds a key's rows (at in ms, seq, want) until they are due, and gives them to ``take`` in order."""
+    """Holds a bucket's rows (client, at in ms, seq, want) until they are due, and gives each client's to ``take`` in order."""
 
     #: Schema of the state that ``take`` reads and returns.
     kept = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "at long, seq long, want long")
-        self.state = handle.getValueState("state", self.kept)
+        self.held = handle.getListState("held", "client string, at long, seq long, want long")
+        self.states = handle.getListState("states", f"client string, {self.kept}")
 
     def take(self, key: tuple, state: tuple | None, rows: list[tuple], now: int) -> tuple[tuple | None, list[tuple], int]:
         """New state (none: forgotten), rows of the result, and when to look again if nothing comes; ``now`` is the watermark in ms."""
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        came = [tuple(map(int, r)) for batch in rows for r in batch[["at", "seq", "want"]].itertuples(index=False)]
-        if came:
-            self.held.appendList(came)
-            due = min(at for at, _, _ in came)
-            if all(t > due for t in self.handle.listTimers()):
-                self.handle.registerTimer(due)
+        due = _FAR
+        for batch in rows:
+            clients = (None if c is None or c != c else c for c in batch.client.tolist())
+            came = list(zip(clients, *(batch[c].astype("int64").tolist() for c in ("at", "seq", "want")), strict=True))
+            if came:
+                self.held.appendList(came)
+                due = min(due, *(r[1] for r in came), _FAR)
+        if due < _FAR and all(t > due for t in self.handle.listTimers()):
+            self.handle.registerTimer(due)
         yield self.frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.held.get()]
-        due, rest = sorted(r for r in held if r[0] <= now), [r for r in held if r[0] > now]
-        state, out, again = self.take(key, self.state.get() if self.state.exists() else None, due, now)
-        if due:
-            self.held.put(rest) if rest else self.held.clear()
-        self.state.update(state) if state is not None else self.state.clear()
-        following = min([again, *(r[0] for r in rest)])
+        states = {r[0]: tuple(r[1:]) for r in self.states.get()} if self.states.exists() else {}
+        due, rest = {client: [] for client in states}, []
+        for client, *row in self.held.get() if self.held.exists() else ():
+            if row[0] <= now:
+                due.setdefault(client, []).append(tuple(row))
+            else:
+                rest.append((client, *row))
+        following, out = min((r[1] for r in rest), default=_FAR), []
+        for client, own in due.items():
+            state, found, again = self.take((client,), states.pop(client, None), sorted(own), now)
+            out += found
+            following = min(following, again)
+            if state is not None:
+                states[client] = state
+        self.held.put(rest) if rest else self.held.clear()
+        self.states.put([(client, *state) for client, state in states.items()]) if states else self.states.clear()
         if following < _FAR:
             self.handle.registerTimer(max(following, now + 1))
         yield self.frame(out)
@@ -106,7 +122,8 @@ class LastWanted(InOrder):
 def keyed(stream: DataFrame, processor: InOrder, schema: str, late: str) -> DataFrame:
     """``processor`` over ``stream`` (client, ts, seq, want), a row being late once the watermark, ``late`` behind the newest, has passed it."""
     rows = stream.select("client", "ts", F.unix_millis("ts").alias("at"), F.col("seq").cast("long").alias("seq"), F.col("want").cast("long").alias("want"))
-    return rows.withWatermark("ts", late).groupBy("client").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("client"), F.lit(BUCKETS)).cast("int"))
+    return rows.withWatermark("ts", late).groupBy("bucket").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def meter(stream: DataFrame, cap: int, late: str = "1 hour") -> DataFrame:

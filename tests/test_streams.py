@@ -100,3 +100,15 @@ def test_a_killed_run_leaves_what_an_unbroken_one_does(spark, tmp_path):
     again = ledger.staged(str(tmp_path / "killed"), "nightly", [("fresh", fresh), ("counted", counted)])
     again(frame(spark, requests(10, 30)), 0)  # a batch that comes again changes nothing
     assert sorted((r.client or "", r.n, r.total, r.batch) for r in ledger.result(spark, str(tmp_path / "killed"), "counted").collect()) == tables[0]
+
+
+def test_keys_of_the_state_are_buckets(spark, monkeypatch):
+    """All clients in one bucket, and more clients than buckets, give what the loop does; the state has no key for each client."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *(f"c{k}" for k in range(60))]), 1_700_000_000 + rng.randint(0, 60) * 1800, i, rng.choice([1, 3, -2])) for i in range(500)]
+    monkeypatch.setattr(ordered, "BUCKETS", 1)
+    got = ordered.nightly(frame(spark, rows), lambda s: ordered.meter(s, 6), nights=2)
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[1]) == metered(rows, 6)
+    monkeypatch.setattr(ordered, "BUCKETS", 7)
+    got = ordered.nightly(frame(spark, rows), lambda s: ordered.last_wanted(s, 7_200_000), nights=2)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == wanted(rows, 7200)
